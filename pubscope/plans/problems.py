@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pubscope.operators.orphans import orphan_references, orphan_report
 from pubscope.operators.snapshots import snapshot_changes
+from pubscope.operators.unpack import unpack
 from pubscope.session import table
 
 
@@ -30,10 +31,16 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshot_changes(table(spark, d, "publication_snapshots"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every name of a listing line's authors cell with its position."""
+    return unpack(table(spark, d, "listing_entries"), "entry_id", "authors", "author")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_report": p1_report,
     "p2_found": p2_found,
+    "p4_found": p4_found,
 }
 
 _SLUG = r"""lower(regexp_extract(regexp_replace(url_decode(replace(regexp_replace(regexp_replace(regexp_replace({c}, '^[\s\x{{a0}}]+|[\s\x{{a0}}]+$', '', 'g'), '^([A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*', ''), '(?s)[?#].*$', ''), '+', '%2B')), '^[/\s\x{{a0}}]+|[/\s\x{{a0}}]+$', '', 'g'), '[^/]*$'))"""
