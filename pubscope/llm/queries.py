@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pubscope.llm.cooccur import co_occurrence, latest_baskets
 from pubscope.llm.encode import encode_corpus
 from pubscope.llm.mixture import mixture
 from pubscope.llm.pieces import split_oversized
+from pubscope.llm.variants import link_variants, variant_pairs
 from pubscope.session import table
 
 
@@ -27,6 +29,24 @@ def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d)
 
 
+def _variants(spark: SparkSession, d: str) -> DataFrame:
+    records = table(spark, d, "publications")
+    forms = [records.select(F.lit("author").alias("field"), F.explode(F.array_distinct("authors")).alias("form"))]
+    forms += [records.select(F.lit(c).alias("field"), F.col(c).alias("form")) for c in ("journal", "publisher")]
+    counts = forms[0].unionByName(forms[1]).unionByName(forms[2]).where("form is not null").groupBy("field", "form").agg(F.count("*").alias("n"))
+    return link_variants(table(spark, d, "name_forms"), counts)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of forms that denote the same person, journal or publisher."""
+    return variant_pairs(_variants(spark, d))
+
+
+def p6_entities(spark: SparkSession, d: str) -> DataFrame:
+    """The entity of each form."""
+    return _variants(spark, d)
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return encode_corpus(table(spark, d, "documents"))
@@ -50,6 +70,8 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_pairs": p3_pairs,
+    "p6_found": p6_found,
+    "p6_entities": p6_entities,
     "p7_ids": p7_ids,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
