@@ -102,6 +102,11 @@ _SRC, _DST = _latin_pairs()
 _NATIVE = r"^[\x{0}-\x{7f}" + "".join(f"\\x{{{ord(c):x}}}\\x{{{ord(c.upper()):x}}}" for c in _SRC if len(c.upper()) == 1) + r"\x{2010}-\x{2027}\x{2030}-\x{2031}\x{2039}-\x{203a}ßøØæÆœŒđĐłŁıðÐþÞ«»]*$"
 
 
+def fold_rough(c: Column) -> Column:
+    """Lower case without Latin accents, in the JVM alone; for keys that need no exact fold."""
+    return F.translate(F.lower(c), _SRC, _DST)
+
+
 def fold_key(c: Column) -> Column:
     """The keying fold: natively for Latin text, through an Arrow function for what the native path cannot fold exactly."""
     native = c.rlike(_NATIVE)
