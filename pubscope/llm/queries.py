@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pubscope.llm.boilerplate import main_blocks
 from pubscope.llm.cooccur import co_occurrence, latest_baskets
 from pubscope.llm.encode import encode_corpus
 from pubscope.llm.mixture import mixture
@@ -29,6 +30,11 @@ def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d)
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks of each page's main body."""
+    return main_blocks(table(spark, d, "unit_pages"))
+
+
 def _variants(spark: SparkSession, d: str) -> DataFrame:
     records = table(spark, d, "publications")
     forms = [records.select(F.lit("author").alias("field"), F.explode(F.array_distinct("authors")).alias("form"))]
@@ -70,6 +76,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_pairs": p3_pairs,
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_entities": p6_entities,
     "p7_ids": p7_ids,
