@@ -1,6 +1,6 @@
 """Query plans: the registered queries and their SQL."""
 
-from pubscope.plans import problems
+from pubscope.plans import problems, register, register_sql
 
-QUERIES = {**problems.QUERIES}
-ORACLES = {**problems.ORACLES}
+QUERIES = {**problems.QUERIES, **register.QUERIES}
+ORACLES = {**problems.ORACLES, **register_sql.ORACLES}
