@@ -32,7 +32,7 @@ def rank(counts: DataFrame, limit: int | None = None, collation: str | None = No
     tail of rare keys is spread over many tasks. (A collation has no such groups and so asks for a limit.)
     """
     if limit is not None:
-        return counts.orderBy(*_ranking(collation)).limit(limit).withColumn("rank", F.row_number().over(W.orderBy(*_ranking(collation))))
+        return counts.orderBy(*_ranking(collation)).limit(limit).withColumn("rank", F.row_number().over(W.orderBy(*_ranking(collation))).cast("bigint"))
     if collation:
         raise ValueError("a ranking by collation needs a limit")
     grouped = counts.withColumn("p", F.left("key", F.lit(2)))
@@ -40,7 +40,7 @@ def rank(counts: DataFrame, limit: int | None = None, collation: str | None = No
     # one row per distinct count and pair of first letters
     begin = sizes.select("count", "p", F.coalesce(F.sum("n").over(W.orderBy(F.desc("count"), "p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("begin"))
     inside = F.row_number().over(W.partitionBy("count", "p").orderBy("key"))
-    return grouped.join(begin, ["count", "p"]).select("key", "count", (F.col("begin") + inside).cast("int").alias("rank"))
+    return grouped.join(begin, ["count", "p"]).select("key", "count", (F.col("begin") + inside).cast("bigint").alias("rank"))
 
 
 def top_keys_with_other(counts: DataFrame, limit: int, other: str) -> DataFrame:

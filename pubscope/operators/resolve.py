@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pubscope.functions.names import canonical_name, display_name, extends, name_key
 from pubscope.functions.text import merge_key
-from pubscope.session import small
+from pubscope.session import cut, small
 
 
 def alias_table(df: DataFrame, section: str) -> DataFrame:
@@ -57,8 +57,8 @@ def fuller_names(keys: DataFrame, fold_equal_length: bool = False) -> DataFrame:
 
 def resolve_names(names: DataFrame, order: list[str], raw: str = "name", aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(occurrences with ``author``, the name under which the person appears; merges: variant, target)."""
-    read = read_names(names, raw, aliases)
-    keys = name_keys(read, order)
+    read = cut(read_names(names, raw, aliases), "names")
+    keys = cut(name_keys(read, order), "keys")
     links = fuller_names(keys)
     shown = keys.join(links, F.col("key") == F.col("alias"), "left").select("key", "surface", F.coalesce("target", "key").alias("root"))
     roots = shown.join(keys.select(F.col("key").alias("root"), F.col("surface").alias("author")), "root")

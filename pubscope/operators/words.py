@@ -21,8 +21,25 @@ CUSTOM_STOPWORDS = (
 WORDS, LETTERS = "words", "letters"
 
 
+# Spark's English stopwords.
+ENGLISH = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers
+herself it its itself they them their theirs themselves what which who whom this that these those am is are
+was were be been being have has had having do does did doing a an the and but if or because as until while of
+at by for with about against between into through during before after above below to from up down in out on
+off over under again further then once here there when where why how all any both each few more most other
+some such no nor not only own same so than too very s t can will just don should now i'll you'll he'll she'll
+we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're they're i've we've you've
+they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't
+mustn't can't couldn't cannot could here's how's let's ought that's there's what's when's where's who's why's
+would
+""".split()
+
+
 def stopwords(language: str = "english", extra: tuple[str, ...] = CUSTOM_STOPWORDS) -> list[str]:
-    """Spark's own list of a language, and the corpus's."""
+    """Spark's list of a language, and the corpus's. Languages other than English are read from Spark."""
+    if language == "english":
+        return sorted({*ENGLISH, *extra})
     from pyspark.ml.feature import StopWordsRemover
 
     return sorted({*StopWordsRemover.loadDefaultStopWords(language), *extra})
@@ -85,7 +102,7 @@ def frequencies(found: DataFrame, members: DataFrame | None = None) -> DataFrame
 def most_common(freq: DataFrame, top_n: int) -> DataFrame:
     """The ``top_n`` terms of each unit: unit, text, size, rank; ties by first use, then by term."""
     order = W.partitionBy("unit").orderBy(F.desc("n"), "first", "term")
-    return freq.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n).select("unit", F.col("term").alias("text"), F.col("n").alias("size"), "rank")
+    return freq.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= top_n).select("unit", F.col("term").alias("text"), F.col("n").alias("size"), "rank")
 
 
 def token_totals(found: DataFrame) -> DataFrame:
@@ -103,7 +120,7 @@ def prepare(words: DataFrame, count: int, tie: str) -> DataFrame:
     """The ``count`` largest words, cleaned, with their rank: text, size, original_size, rank."""
     clean = words.withColumn("text", clean_word(F.col("text"))).where((F.length("text") > 0) & ~F.isnan(F.col("size").cast("double")) & (F.abs(F.col("size").cast("double")) < float("inf")))
     top = clean.orderBy(F.desc("size"), tie).limit(count)
-    return top.withColumn("original_size", F.col("size")).withColumn("rank", F.row_number().over(W.orderBy(F.desc("size"), tie)))
+    return top.withColumn("original_size", F.col("size")).withColumn("rank", F.row_number().over(W.orderBy(F.desc("size"), tie)).cast("bigint"))
 
 
 def layout(prepared: DataFrame, area: float, slots: int = 6) -> DataFrame:
