@@ -62,7 +62,7 @@ def suffix_lemma(token: Column) -> Column:
     noun = (
         F.when(token.rlike("^.{2,}ies$"), F.regexp_replace(token, "ies$", "y"))
         .when(token.rlike("^.{2,}(?:ss|sh|ch|x|z)es$"), F.regexp_replace(token, "es$", ""))
-        .when(token.rlike("^.{3,}[^sui]s$"), F.regexp_replace(token, "s$", ""))
+        .when(token.rlike("^.{2,}[^sui]s$"), F.regexp_replace(token, "s$", ""))
         .otherwise(token)
     )
     verb = F.when(token.rlike("^.{4,}[^e]ing$"), F.regexp_replace(token, "ing$", "")).when(token.rlike("^.{4,}[^e]ed$"), F.regexp_replace(token, "ed$", "")).otherwise(token)

@@ -112,7 +112,7 @@ _VENUES = f"""forms AS (SELECT publisher AS form, count(*) AS n FROM rec WHERE p
 
 
 def _lemma(c: str) -> str:
-    noun = f"CASE WHEN regexp_matches({c}, '^.{{2,}}ies$') THEN regexp_replace({c}, 'ies$', 'y') WHEN regexp_matches({c}, '^.{{2,}}(?:ss|sh|ch|x|z)es$') THEN regexp_replace({c}, 'es$', '') WHEN regexp_matches({c}, '^.{{3,}}[^sui]s$') THEN regexp_replace({c}, 's$', '') ELSE {c} END"
+    noun = f"CASE WHEN regexp_matches({c}, '^.{{2,}}ies$') THEN regexp_replace({c}, 'ies$', 'y') WHEN regexp_matches({c}, '^.{{2,}}(?:ss|sh|ch|x|z)es$') THEN regexp_replace({c}, 'es$', '') WHEN regexp_matches({c}, '^.{{2,}}[^sui]s$') THEN regexp_replace({c}, 's$', '') ELSE {c} END"
     verb = f"CASE WHEN regexp_matches({c}, '^.{{4,}}[^e]ing$') THEN regexp_replace({c}, 'ing$', '') WHEN regexp_matches({c}, '^.{{4,}}[^e]ed$') THEN regexp_replace({c}, 'ed$', '') ELSE {c} END"
     return f"CASE WHEN ({noun}) <> {c} THEN {noun} ELSE {verb} END"
 

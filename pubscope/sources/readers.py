@@ -22,8 +22,14 @@ _UNIT = T.StructType([T.StructField(c, T.StringType()) for c in ("stem", "slug",
 _MANIFEST = T.StructType([T.StructField("source", T.StringType()), T.StructField("units", T.ArrayType(_UNIT))])
 
 
-def read_register(spark: SparkSession, path: str) -> DataFrame:
-    """The publications of register payloads, with their position; missing required fields are not yet judged."""
+def read_register(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The publications of register payloads, with their position; missing required fields are not yet judged.
+
+    A payload is one JSON object, which one task reads; ``lines`` reads records line by line in parallel, as the sinks
+    write them.
+    """
+    if lines:
+        return spark.read.schema(PUBLICATION).json(path).select(F.monotonically_increasing_id().alias("position"), "*")
     payload = spark.read.schema(_PAYLOAD).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
     return payload.select(F.posexplode("publications").alias("position", "p")).where("p is not null").select("position", "p.*")
 
@@ -107,7 +113,7 @@ def whichever(*reads: object) -> list[DataFrame | None]:
 def count_parameter(value: Column, default: int = 75, low: int = 10, high: int = 100) -> Column:
     """A count from a request: an integer clamped to its range, else the default."""
     number = F.regexp_extract(F.coalesce(value, F.lit("")), r"^\s*([+-]?\d{1,9})", 1)
-    return F.coalesce(F.least(F.greatest(F.nullif(number, F.lit("")).cast("int"), F.lit(low)), F.lit(high)), F.lit(default))
+    return F.when(number != "", F.least(F.greatest(number.cast("int"), F.lit(low)), F.lit(high))).otherwise(F.lit(default))
 
 
 def unit_parameter(value: Column, known: list[str], default: str) -> Column:

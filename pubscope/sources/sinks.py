@@ -41,10 +41,11 @@ def write_dataset(records: DataFrame, path: str, dry_run: bool = False) -> int:
 
 
 def write_words(words: DataFrame, path: str, dry_run: bool = False) -> int:
-    """text, size in their ranking (``rank``); ranked words are few by construction."""
-    if dry_run:
-        return words.count()
-    words.coalesce(1).sortWithinPartitions("rank").select("text", "size").write.mode("overwrite").json(path)
+    """One JSON array of text and size in their ranking (``rank``), as the cloud reads it; a ranking's top is bounded."""
+    if not dry_run:
+        ranked = F.array_sort(F.collect_list(F.struct("rank", "text", "size")))
+        payload = words.agg(F.to_json(F.transform(ranked, lambda x: F.struct(x["text"].alias("text"), x["size"].alias("size")))).alias("value"))
+        payload.coalesce(1).write.mode("overwrite").text(path)
     return words.count()
 
 
