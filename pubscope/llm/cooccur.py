@@ -47,7 +47,8 @@ def co_occurrence(baskets: DataFrame, min_count: int = 4, min_lift: float = 5) -
     useful = cut(single.where(F.col("n") >= min_count).where(F.col("n") * F.lit(min_lift) <= F.lit(n_all)), "items")
     wide = (
         baskets.where(f"size(items) > {WIDE}")
-        .select(F.monotonically_increasing_id().alias("id"), F.explode("items").alias("item"))
+        .withColumn("id", F.monotonically_increasing_id())  # before the explode, which would number the items
+        .select("id", F.explode("items").alias("item"))
         .join(useful.select("item"), "item", "left_semi")
         .groupBy("id")
         .agg(F.array_sort(F.collect_list("item")).alias("items"))

@@ -74,14 +74,14 @@ def budgets(targets: list[tuple[str, float, int]], available: dict[str, int], to
     if not live:
         return [Budget(s, w, r, available.get(s, 0), 0) for s, w, r in targets]
     if total is None:
-        total = int(min(cap[s] * weight / w for s, w in live.items()))
+        total = min(cap[s] * weight / w for s, w in live.items())
     got: dict[str, int] = {}
     left = total
     while live:
         weight = sum(live.values())
-        full = [s for s, w in live.items() if left * w / weight > cap[s]]
+        full = [s for s, w in live.items() if left * w / weight > cap[s] + 0.5]
         if not full:
-            got |= {s: int(left * w / weight) for s, w in live.items()}
+            got |= {s: min(cap[s], round(left * w / weight)) for s, w in live.items()}
             break
         for s in full:
             got[s] = cap[s]

@@ -55,13 +55,13 @@ def levels(text: str, ends: np.ndarray) -> np.ndarray:
     return np.where(after_blank & (breaks > 1), PARAGRAPH, out)
 
 
-def units(enc: Encoder, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def units(enc: Encoder, text: str, longest: int = LONG_UNIT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ends (character offsets), tokens and hashes of the smallest pieces: pre-tokens, or parts of very long ones."""
     ends, tokens, hashes = [], [], []
     for m in PRE_TOKEN.finditer(text):
         word = m.group()
         ids = enc.piece(word)
-        if len(ids) <= LONG_UNIT:
+        if len(ids) <= longest:
             ends.append(m.end())
             tokens.append(len(ids))
             hashes.append(zlib.crc32(word.encode("utf-8", "surrogatepass")))
@@ -112,7 +112,7 @@ def split(enc: Encoder, text: str, most: int, overlap: int) -> list[tuple[int, i
     Every piece has at most ``most`` tokens when encoded by itself; the overlap is the fewest whole words that have
     ``overlap`` tokens. The only exception is a single character that has more tokens than ``most``.
     """
-    ends, tokens, hashes = units(enc, text)
+    ends, tokens, hashes = units(enc, text, min(LONG_UNIT, max(1, most // 8)))
     cum = np.concatenate([[0], np.cumsum(tokens)])
     if cum[-1] <= most:
         return []

@@ -125,7 +125,8 @@ def read_person(form: str) -> tuple[str, list[str], str, str, str] | None:
             at = next((k for k in range(1, len(tokens)) if fold_py(tokens[k]) in PARTICLES), len(tokens) - 1)
             surname, given = " ".join(tokens[at:]), " ".join(tokens[:at])
     s = "".join(re.findall(r"[^\W_]+", fold_py(surname)))
-    g = [t for t in (fold_py(w).strip(".") for w in re.findall(r"[^\W_]+(?:-[^\W_]+)*\.?", given.replace(".", ". "))) if t and t not in TITLES and t not in PARTICLES]
+    g = [t for t in (fold_py(w).strip(".") for w in re.findall(r"[^\W_]+(?:-[^\W_]+)*\.?", given.replace(".", ". "))) if t and t not in TITLES]
+    g = [t for k, t in enumerate(g) if not k or t not in PARTICLES]
     if not s:
         return None
     if not g:
