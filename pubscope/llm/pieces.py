@@ -120,7 +120,7 @@ def split(enc: Encoder, text: str, most: int, overlap: int) -> list[tuple[int, i
     least = max(most // 2, min(overlap + LONG_UNIT, most - 1), 1)
     level, mark = levels(text, ends), rolling(hashes)
     out: list[tuple[int, int, int, int]] = []
-    a, shared, n = 0, 0, len(ends)
+    a, shared, n, done = 0, 0, len(ends), -1
     while True:
         start = int(ends[a - 1]) if a else 0
         hi = int(np.searchsorted(cum, cum[a] + most, "right")) - 2  # last unit that fits
@@ -137,8 +137,13 @@ def split(enc: Encoder, text: str, most: int, overlap: int) -> list[tuple[int, i
         while size > most and end > a:
             end -= 1
             size = enc.count(text[start : ends[end]])
+        if end <= done:  # what is shared leaves no room for the next unit: this piece shares nothing
+            a, shared = done + 1, 0
+            continue
         out.append((start, int(ends[end]), size, shared))
-        b = end + 1
+        if end == n - 1:
+            return out
+        b, done = end + 1, end
         if overlap:
             b = int(np.searchsorted(cum, cum[end + 1] - overlap, "right")) - 1
             # begin at a word, if there is one within a few tokens before
