@@ -100,7 +100,7 @@ def summary(records: DataFrame) -> DataFrame:
     dated = F.nullif(F.col("year"), F.lit(0))
     base = records.agg(F.count("*").alias("publications"), F.count_if(F.coalesce("type", F.lit("")) == "").alias("untyped"), F.count_if(dated.isNull()).alias("without_year"), F.min(dated).alias("year_min"), F.max(dated).alias("year_max"))
     names = records.select(F.explode("authors").alias("a")).agg(F.countDistinct("a").alias("authors"))
-    return base.crossJoin(names)  # one row with one row
+    return base.withColumn("authors", F.coalesce(names.scalar(), F.lit(0)))
 
 
 def sorted_list(records: DataFrame) -> list[Column]:

@@ -76,4 +76,4 @@ def own_links(links: DataFrame, selected: list[str]) -> DataFrame:
 def signature(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """One row that tells two drawn graphs apart: the joined ids, the number of links and the sum of their weights. For drawn graphs, which are limited."""
     ids = nodes.agg(F.array_join(F.array_sort(F.collect_list("id")), "|").alias("ids"))
-    return ids.crossJoin(links.agg(F.count("*").alias("links"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")))
+    return links.agg(F.count("*").alias("links"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")).withColumn("ids", ids.scalar())

@@ -82,8 +82,7 @@ def gates(records: DataFrame, previous: DataFrame | None = None, most_missing_ye
     """gate, ok, detail: is there anything, are years there, and is no large part of the records gone?"""
     year = F.nullif(F.col("year"), F.lit(0))
     now = records.agg(F.count("*").alias("n"), F.count_if(year.isNull()).alias("no_year"))
-    before = previous.agg(F.count("*").alias("m")) if previous is not None else None
-    base = now.crossJoin(before) if before is not None else now.withColumn("m", F.lit(0).cast("bigint"))
+    base = now.withColumn("m", previous.agg(F.count("*")).scalar() if previous is not None else F.lit(0).cast("bigint"))
     checks = F.array(
         F.struct(F.lit("not_empty").alias("gate"), (F.col("n") > 0).alias("ok"), F.col("n").alias("detail")),
         F.struct(F.lit("years").alias("gate"), (F.col("no_year") <= F.col("n") * most_missing_years).alias("ok"), F.col("no_year").alias("detail")),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pubscope.functions.names import canonical_name, display_name, extends, name_key
@@ -40,18 +40,38 @@ def name_keys(read: DataFrame, order: list[str]) -> DataFrame:
     return read.groupBy("key").agg(F.count("*").alias("count"), first.alias("f")).select("key", "count", F.col("f.display").alias("surface"))
 
 
+#: Keys of more given names than this don't list their shortened forms, whose number doubles with each.
+FORMS_OF = 6
+
+
+def shortened(tokens: Column, equal_length: bool = False) -> Column:
+    """All given names that extend to these: the first ones, at least one fewer, each as it is or as its initial."""
+    first = tokens if equal_length else F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0)))
+    begin = F.struct(F.array(F.lit("")).alias("last"), F.array().cast("array<string>").alias("all"))
+
+    def longer(acc: Column, t: Column) -> Column:
+        last = F.flatten(F.transform(acc["last"], lambda p: F.array(F.ltrim(F.concat(p, F.lit(" "), t)), F.ltrim(F.concat(p, F.lit(" "), F.left(t, F.lit(1)))))))
+        return F.struct(last.alias("last"), F.concat(acc["all"], last).alias("all"))
+
+    return F.array_distinct(F.aggregate(first, begin, longer, lambda acc: acc["all"]))
+
+
 def fuller_names(keys: DataFrame, fold_equal_length: bool = False) -> DataFrame:
     """alias, target: each key of a shortened given name with the only fuller key that it can belong to.
 
-    Candidates have the same surname, and given names with the same first letter (which every match has), so the join
-    is on both; groups are namesakes under one letter. A key with two candidates stays, and so does one whose candidate
-    is itself shortened.
+    Each key lists the shortened forms that extend to it, and these are joined by equality, so namesakes are never
+    compared pair by pair. Only keys of more than FORMS_OF given names are compared with the keys of their surname and
+    first letter. A key with two candidates stays, and so does one whose candidate is itself shortened.
     """
     split = keys.select("key", F.split_part("key", F.lit("|"), F.lit(1)).alias("s"), F.split_part("key", F.lit("|"), F.lit(2)).alias("g")).where("g <> ''")
-    split = split.withColumn("c", F.left("g", F.lit(1)))
-    other = split.select("s", "c", F.col("g").alias("long"), F.col("key").alias("target"))
-    fits = split.join(other, ["s", "c"]).where((F.col("key") != F.col("target")) & extends(F.col("g"), F.col("long"), fold_equal_length))
-    only = fits.groupBy("key").agg(F.count("*").alias("n"), F.min("target").alias("target")).where("n = 1").select(F.col("key").alias("alias"), "target")
+    split = split.withColumn("t", F.filter(F.split("g", " "), lambda x: x != ""))
+    few, many = split.where(F.size("t") <= FORMS_OF), split.where(F.size("t") > FORMS_OF)
+    forms = few.select("s", F.col("key").alias("target"), F.explode(shortened(F.col("t"), fold_equal_length)).alias("g"))
+    fits = split.join(forms, ["s", "g"]).where("key <> target").select("key", "target")
+    long = many.select("s", F.left("g", F.lit(1)).alias("c"), F.col("g").alias("long"), F.col("key").alias("target"))
+    rest = split.withColumn("c", F.left("g", F.lit(1))).join(long, ["s", "c"]).where((F.col("key") != F.col("target")) & extends(F.col("g"), F.col("long"), fold_equal_length))
+    found = fits.unionByName(rest.select("key", "target"))
+    only = found.groupBy("key").agg(F.count("*").alias("n"), F.min("target").alias("target")).where("n = 1").select(F.col("key").alias("alias"), "target")
     return only.join(only.select(F.col("alias").alias("target")), "target", "left_anti").select("alias", "target")
 
 

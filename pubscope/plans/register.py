@@ -157,8 +157,8 @@ def suggestions(spark: SparkSession, d: str) -> DataFrame:
 def list_pages(spark: SparkSession, d: str) -> DataFrame:
     """Each author's place in the ranking, its page of twelve, and its share of the largest."""
     ranked = ag.rank(ag.count_values(rec(spark, d), "authors"))
-    top = ranked.agg(F.max("count").alias("peak"))
-    return ranked.crossJoin(F.broadcast(top)).select("key", "count", "rank", ag.page_of(F.col("rank"), 12).alias("page"), (F.col("count") / F.col("peak") * 100).alias("share"))
+    peak = ranked.agg(F.max("count")).scalar()
+    return ranked.select("key", "count", "rank", ag.page_of(F.col("rank"), 12).alias("page"), (F.col("count") / peak * 100).alias("share"))
 
 
 def record_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -240,8 +240,8 @@ def coauthor_links(spark: SparkSession, d: str) -> DataFrame:
 
 def coauthor_nodes(spark: SparkSession, d: str) -> DataFrame:
     nodes = _graph(spark, d)[0]
-    peak = nodes.agg(F.max("count").alias("peak"))
-    return nodes.crossJoin(F.broadcast(peak)).select("id", "count", fmt.node_radius(F.col("count"), F.col("peak")).alias("radius"))
+    peak = nodes.agg(F.max("count")).scalar()
+    return nodes.select("id", "count", fmt.node_radius(F.col("count"), peak).alias("radius"))
 
 
 def neighbour_map(spark: SparkSession, d: str) -> DataFrame:

@@ -25,6 +25,20 @@ def test_chains_are_dropped(spark):
     assert {tuple(r) for r in rs.fuller_names(keys).collect()} == {("x|a b", "x|a b c")}
 
 
+def test_shortened_forms_are_those_that_extend(spark):
+    import itertools
+
+    from pubscope.functions.names import extends
+
+    given = [" ".join(x) for k in (1, 2, 3) for x in itertools.product(["s", "sam", "b"], repeat=k)] + ["a b c d e f g", "a b c d e f"]
+    df = spark.createDataFrame([(f"x|{g}",) for g in given], "key string")
+    split = df.select("key", F.split_part("key", F.lit("|"), F.lit(2)).alias("g"), F.split(F.split_part("key", F.lit("|"), F.lit(2)), " ").alias("t"))
+    for equal in (False, True):
+        pairs = split.alias("a").join(split.alias("b"), extends(F.col("a.g"), F.col("b.g"), equal)).select("a.g", "b.g").collect()
+        listed = split.select("g", F.explode(rs.shortened(F.col("t"), equal)).alias("f")).where("f <> g").collect()
+        assert {(r[0], r[1]) for r in pairs} == {(r["f"], r["g"]) for r in listed if r["f"] in set(given)}
+
+
 def test_aliases_apply_before_counting(spark):
     aliases = rs.alias_table(spark.createDataFrame([("authors", "Jones, Bob", "Jones, Robert")], "section string, variant string, target string"), "authors")
     out, merges = rs.resolve_names(names(spark, "Bob Jones", "Jones, Robert"), ["slug", "pos"], aliases=aliases)
