@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -69,7 +69,7 @@ def slug_start(text: str) -> str:
     return re.sub(r"[^a-z0-9]+", "-", fold_py(text)).strip("-")
 
 
-def classify(blocks: list[str], keys: list[int], template: list[int], title: str, url: str, notices: set[int]) -> list[str]:
+def classify(blocks: list[str], keys: list[int], template: list[int], title: str, url: str, notices: frozenset[int]) -> list[str]:
     """The kind of each (cleaned) block of a page."""
     constant, fixed = match(keys, template), set(template)
     tail = re.sub(r"-\d+$", "", url.rstrip("/").rpartition("/")[2].split("?")[0]) if url else ""
@@ -101,15 +101,19 @@ def classify(blocks: list[str], keys: list[int], template: list[int], title: str
     return out
 
 
-def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _classify(notices: frozenset[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = ["row", "page_id", "kinds", "keys"]
     types = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
-    for b in batches:
-        rows = []
-        for row, page, blocks, keys, template, title, url, notices in zip(*(b.column(c).to_pylist() for c in range(8))):
-            rows.append((row, page, classify(blocks, keys, template or [], title or "", url or "", set(notices or ())), keys))
-        cols = list(zip(*rows)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for row, page, blocks, keys, template, title, url in zip(*(b.column(c).to_pylist() for c in range(7))):
+                rows.append((row, page, classify(blocks, keys, template or [], title or "", url or "", notices), keys))
+            cols = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+
+    return run
 
 
 def _neighbour(kinds: Column, i: Column, step: int) -> Column:
@@ -153,9 +157,10 @@ def main_blocks(pages: DataFrame) -> DataFrame:
     template = cut(constant.groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "key"))), lambda x: x["key"]).alias("template")), "templates")
     # at most (blocks of an average page) / NOTICE_SHARE nodes are on so many pages
     n_pages = keyed.count()
-    notices = overall.where((F.col("all_df") >= max(NOTICE_PAGES, NOTICE_SHARE * n_pages)) & (F.col("hosts") >= NOTICE_HOSTS)).agg(F.collect_list("key").alias("notices"))
-    aligned = keyed.join(small(template), "host", "left").crossJoin(F.broadcast(notices))
-    kinds = cut(aligned.select("row", "page_id", "blocks", "keys", "template", "title", "url", "notices").mapInArrow(_classify, _PAGE), "kinds")
+    spread = overall.where((F.col("all_df") >= max(NOTICE_PAGES, NOTICE_SHARE * n_pages)) & (F.col("hosts") >= NOTICE_HOSTS))
+    notices = frozenset(r["key"] for r in spread.select("key").collect())
+    aligned = keyed.join(small(template), "host", "left")
+    kinds = cut(aligned.select("row", "page_id", "blocks", "keys", "template", "title", "url").mapInArrow(_classify(notices), _PAGE), "kinds")
 
     labels = kinds.select("row", "kinds", F.posexplode("kinds").alias("i", "kind"), "keys").where(F.col("kind") == LABEL)
     labels = labels.select("row", "i", F.get("keys", F.col("i")).alias("key"), _neighbour(F.col("kinds"), F.col("i"), -1).alias("prev"), _neighbour(F.col("kinds"), F.col("i"), 1).alias("next"))

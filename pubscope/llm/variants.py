@@ -104,7 +104,7 @@ LEAST_STEM = 7
 #: How much likelier the best candidate must be than one of another entity.
 ODDS = 3
 
-_READ = "name_id long, field string, kind string, stems array<string>, s string, i string, mid string"
+_READ = "name_id long, field string, n long, kind string, stems array<string>, s string, i string, mid string"
 
 
 def words_of(text: str) -> list[str]:
@@ -175,13 +175,13 @@ def read_venue(form: str) -> tuple[str, list[str], str, str, str] | None:
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for name_id, field, form in zip(*(b.column(c).to_pylist() for c in range(3))):
-            got = None if form is None else read_person(form) if field == "author" else read_venue(form)
+        for name_id, field, form, n in zip(*(b.column(c).to_pylist() for c in range(4))):
+            got = read_person(form) if field == "author" else read_venue(form)
             if got:
-                rows.append((name_id, field, *got))
-        cols = list(zip(*rows)) or [()] * 7
-        types = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["name_id", "field", "kind", "stems", "s", "i", "mid"])
+                rows.append((name_id, field, n, *got))
+        cols = list(zip(*rows)) or [()] * 8
+        types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["name_id", "field", "n", "kind", "stems", "s", "i", "mid"])
 
 
 def one_slip(a: str, b: str) -> bool:
@@ -236,12 +236,10 @@ def link_variants(forms: DataFrame, counts: DataFrame) -> DataFrame:
     """
     rows = forms.select("name_id", "field", "form").where("field is not null and form is not null")
     prior = counts.groupBy("field", "form").agg(F.sum("n").alias("n"))
-    read = rows.mapInArrow(_read, _READ)
-    known = rows.join(prior, ["field", "form"], "left").select("name_id", F.coalesce("n", F.lit(0)).alias("n"))
-    read = cut(read.join(known, "name_id"), "read")
+    known = rows.join(prior, ["field", "form"], "left").select(F.col("name_id").cast("bigint").alias("name_id"), "field", "form", F.coalesce("n", F.lit(0)).alias("n"))
+    read = cut(known.mapInArrow(_read, _READ).distinct(), "read")
 
     # stems of full names and venues; a nickname of several names stands for the one that its surname has
-    tag = lambda c: F.concat("field", F.lit(":"), c)
     full = read.where("kind in ('full', 'venue', 'bare')").withColumn("stems", F.transform("stems", lambda x: F.concat(F.col("field"), F.lit(":"), x)))
     sure = full.where("size(stems) = 1").withColumn("stem", F.col("stems")[0])
     exists = sure.select("stem").distinct()
