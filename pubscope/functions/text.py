@@ -98,8 +98,9 @@ def _latin_pairs() -> tuple[str, str]:
 
 
 _SRC, _DST = _latin_pairs()
-#: Characters for which translate() over the generated pairs equals the exact fold.
-_NATIVE = r"^[\x{0}-\x{7f}" + "".join(f"\\x{{{ord(c):x}}}\\x{{{ord(c.upper()):x}}}" for c in _SRC if len(c.upper()) == 1) + r"\x{2010}-\x{2027}\x{2030}-\x{2031}\x{2039}-\x{203a}ßøØæÆœŒđĐłŁıðÐþÞ«»]*$"
+#: What a text that was folded natively may hold for the result to be exact: ASCII, letters that have no decomposition,
+#: quotes and dashes that have none. Anything else in it (a combining mark, a ligature, another script) asks for the exact fold.
+_EXACT = r"^[\x{0}-\x{7f}ßøæœđłıðþ«»\x{2010}\x{2012}-\x{2016}\x{2018}-\x{2023}\x{2027}\x{2030}\x{2031}\x{2039}\x{203a}]*$"
 
 
 def fold_rough(c: Column) -> Column:
@@ -109,14 +110,16 @@ def fold_rough(c: Column) -> Column:
 
 def fold_key(c: Column) -> Column:
     """The keying fold: natively for Latin text, through an Arrow function for what the native path cannot fold exactly."""
-    native = c.rlike(_NATIVE)
-    return F.when(native, F.translate(F.lower(c), _SRC, _DST)).otherwise(_fold_exact(F.when(~native, c)))
+    rough = fold_rough(c)
+    native = rough.rlike(_EXACT)
+    return F.when(native, rough).otherwise(_fold_exact(F.when(~native, c)))
 
 
 def fold_search(c: Column) -> Column:
     """The search fold; as fold_key, but spacing diacritics go as well."""
-    native = c.rlike(_NATIVE) & ~c.rlike(r"[\^`]")
-    return F.when(native, F.translate(F.lower(c), _SRC, _DST)).otherwise(_fold_search_exact(F.when(~native, c)))
+    rough = fold_rough(c)
+    native = rough.rlike(_EXACT) & ~c.rlike(r"[\^`]")
+    return F.when(native, rough).otherwise(_fold_search_exact(F.when(~native, c)))
 
 
 #: Articles that do not count at the start of a key.

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pubscope.functions.text import present, slug_key
-from pubscope.session import cut
+from pubscope.session import BROADCAST_ROWS, cut, small
 
 FOREVER = "9999-12-31 23:59:59"
 
@@ -67,9 +67,9 @@ def orphan_references(refs: dict[str, DataFrame], register: DataFrame) -> DataFr
     orphan; a reference loaded twice comes once (the row with the smallest slug text and time counts); a null from_slug
     orphans no record. Empty tables give an empty result.
 
-    The fixpoint runs semi-joins from the records orphaned last to the references that name them. Each level is cut to
-    the shared folder, shrinks the remaining references, and ends when no new record is orphaned, at the latest after
-    as many levels as there are records.
+    The fixpoint runs semi-joins from the records orphaned last to the references that name them, until no new record
+    is orphaned (at the latest after as many levels as there are records). What a level finds, its new records, is cut
+    to the shared folder; a level of few records is broadcast, so the references aren't shuffled again.
     """
     rows = reduce(
         DataFrame.unionByName,
@@ -84,18 +84,21 @@ def orphan_references(refs: dict[str, DataFrame], register: DataFrame) -> DataFr
     spans = register.select(F.lower(F.trim("slug")).alias("target"), "harvested_at", "withdrawn_at")
     edges = cut(covered_at(once, spans, "target", "listed_at", "harvested_at", "withdrawn_at"), "edges")
     cols = ["ref_table", "ref_id", "from_slug", "target", "listed_at"]
-    direct = edges.where(~F.col("covered"))
-    parts = [direct.select(*cols, F.lit("direct").alias("kind"), F.lit(0).alias("depth"))]
-    rest = edges.where("covered")
-    seen = frontier = cut(direct.select(F.col("from_slug").alias("rec")).where("rec is not null").distinct(), "front")
-    depth = 0
-    while not frontier.isEmpty():
-        depth += 1
-        hit = cut(rest.join(frontier, rest["target"] == frontier["rec"], "left_semi"), "level")
-        parts.append(hit.select(*cols, F.lit("inherited").alias("kind"), F.lit(depth).alias("depth")))
-        frontier = cut(hit.select(F.col("from_slug").alias("rec")).where("rec is not null").distinct().join(seen, "rec", "left_anti"), "front")
-        seen = seen.unionByName(frontier)
-    return reduce(DataFrame.unionByName, parts)
+    direct, rest = edges.where(~F.col("covered")).select(*cols), edges.where("covered").select(*cols)
+    record = F.col("from_slug").alias("rec")
+    frontier = cut(direct.select(record).where("rec is not null").distinct(), "front")
+    levels: list[DataFrame] = []
+    while n := frontier.limit(BROADCAST_ROWS + 1).count():
+        levels.append(frontier)
+        seen = reduce(DataFrame.unionByName, levels)
+        last = F.broadcast(frontier) if n <= BROADCAST_ROWS else frontier
+        reached = rest.join(last, rest["target"] == last["rec"], "left_semi").select(record).where("rec is not null").distinct()
+        frontier = cut(reached.join(seen, "rec", "left_anti"), "front")
+    found = direct.select(*cols, F.lit("direct").alias("kind"), F.lit(0).alias("depth"))
+    if not levels:
+        return found
+    orphaned = reduce(DataFrame.unionByName, [x.select(F.col("rec").alias("target"), F.lit(k).alias("depth")) for k, x in enumerate(levels, 1)])
+    return found.unionByName(rest.join(small(orphaned), "target").select(*cols, F.lit("inherited").alias("kind"), "depth"))
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:
