@@ -38,11 +38,11 @@ elizabeth: liz beth eliza lisa lizzy betty bess
 francesca: franca cesca fran
 friedrich: fritz fred freddy
 gabriele: gabi gaby
-gunther: guenther guenni
+gunther: guenni gunni
 ibrahim: ibo ibra
 johannes: hannes jan hans jo
 josephine: josie jo jos
-jurgen: juergen
+jurgen: jogi
 katharina: kathi kathe kati katja kat
 leonard: lenny leo len lennie
 margaret: maggie peggy meg marge
@@ -57,6 +57,7 @@ susanna: susi sanna susie sue
 theodora: dora thea theda
 theodor: theo ted
 thomas: tom tommy
+tomasz: tom tomek
 ulrike: ulli uli rike
 victoria: vicky vicki tori
 viktoria: vicky vicki tori
@@ -107,6 +108,11 @@ ODDS = 3
 _READ = "name_id long, field string, n long, kind string, stems array<string>, s string, i string, mid string"
 
 
+def spelled(text: str) -> str:
+    """A folded word with umlauts written out (ue, oe, ae) spelled like those with points."""
+    return re.sub(r"([aou])e", r"\1", text)
+
+
 def words_of(text: str) -> list[str]:
     return re.findall(r"[^\W_]+(?:-[^\W_]+)*\.?", text)
 
@@ -124,7 +130,7 @@ def read_person(form: str) -> tuple[str, list[str], str, str, str] | None:
         else:
             at = next((k for k in range(1, len(tokens)) if fold_py(tokens[k]) in PARTICLES), len(tokens) - 1)
             surname, given = " ".join(tokens[at:]), " ".join(tokens[:at])
-    s = "".join(re.findall(r"[^\W_]+", fold_py(surname)))
+    s = spelled("".join(re.findall(r"[^\W_]+", fold_py(surname))))
     g = [t for t in (fold_py(w).strip(".") for w in re.findall(r"[^\W_]+(?:-[^\W_]+)*\.?", given.replace(".", ". "))) if t and t not in TITLES]
     g = [t for k, t in enumerate(g) if not k or t not in PARTICLES]
     if not s:
@@ -137,9 +143,9 @@ def read_person(form: str) -> tuple[str, list[str], str, str, str] | None:
     first = g[0].replace("-", "")
     fulls = NICK.get(g[0])
     if fulls is None:
-        return "full", [f"{s}|{first}"], s, first[0], mid
-    stems = [f"{s}|{x.replace('-', '')}" for x in fulls]
-    return "full", stems if len(stems) == 1 else [*stems, f"{s}|{first}"], s, stems[0][len(s) + 1], mid
+        return "full", [f"{s}|{spelled(first)}"], s, first[0], mid
+    stems = [f"{s}|{spelled(x.replace('-', ''))}" for x in fulls]
+    return "full", stems if len(stems) == 1 else [*stems, f"{s}|{spelled(first)}"], s, stems[0][len(s) + 1], mid
 
 
 def read_venue(form: str) -> tuple[str, list[str], str, str, str] | None:
@@ -168,7 +174,7 @@ def read_venue(form: str) -> tuple[str, list[str], str, str, str] | None:
         out = [*out[1:], out[0]]
     if out[:3] == ["university", "press", "of"] and len(out) > 3:
         out = [*out[3:], "university", "press"]
-    stem = "".join(out)
+    stem = spelled("".join(out))
     return ("venue", [stem], stem, "", "") if stem else None
 
 

@@ -55,7 +55,7 @@ FORMS = {
         {"Hadanuyek, Omar H.", "Hadanuyek OH", "Omar Hadanuyek", "Hadanuyek, Omar (Ed.)"},
         {"Walazuso, Samuel", "Sam Walazuso"}, {"Walazuso, Susanna", "Walazuso, Susi"},
         {"de la Jepesimol, Benjamin", "Benjamin DE LA JEPESIMOL", "Ben de la Jepesimol"},
-        {"Çetinoglu, Çağla", "Cetinoglu, Cagla"},
+        {"Çetinoglu, Çağla", "Cetinoglu, Cagla"}, {"Zivürumus, Jürgen", "Zivuerumus, Juergen", "J. Zivürumus"},
         {"Bifibrigál-Mapojekis, Paula", "Paula Bifibrigál-Mapojekis"},
         {"Solo, Maria"},
     ],
