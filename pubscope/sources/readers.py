@@ -119,3 +119,10 @@ def count_parameter(value: Column, default: int = 75, low: int = 10, high: int =
 def unit_parameter(value: Column, known: list[str], default: str) -> Column:
     """A unit from a request, if it is a known one."""
     return F.when(value.isin(*known), value).otherwise(F.lit(default))
+
+
+def known_units(wanted: list[str], known: list[str]) -> list[str]:
+    """The wanted units in the known order; unknown ones raise."""
+    if unknown := sorted(set(wanted) - set(known)):
+        raise ValueError(f"no such unit: {', '.join(unknown)}; there are {', '.join(known)}")
+    return [u for u in known if u in wanted]

@@ -70,6 +70,9 @@ def test_aliases(spark, tmp_path):
 def test_parameters(spark):
     df = spark.createDataFrame([(x,) for x in ("5", "500", "x", None, "42", "9a")], "v string")
     assert [r[0] for r in df.select(readers.count_parameter(F.col("v"))).collect()] == [10, 100, 75, 75, 42, 10]
+    assert readers.known_units(["b"], ["a", "b"]) == ["b"]
+    with pytest.raises(ValueError, match="no such unit: x"):
+        readers.known_units(["x", "a"], ["a", "b"])
     assert spark.range(1).select(readers.unit_parameter(F.lit("q"), ["a"], "all")).first()[0] == "all"
 
 

@@ -9,6 +9,7 @@ CELLS = [
     ('["Ada, Mira", "Bo, Jan"]', ["Ada, Mira", "Bo, Jan"]),
     ('"Ada, Mira","The ""Cy"" Group"', ["Ada, Mira", 'The "Cy" Group']),
     ("1) Ada,Mira; 2) Bo,  Jan", ["Ada, Mira", "Bo, Jan"]),
+    ("(1)Ada, Mira (2)Bo, Jan", ["Ada, Mira", "Bo, Jan"]),
     ("(1) Ada, Mira\n(2) Bo, Jan", ["Ada, Mira", "Bo, Jan"]),
     ("Ada, Mira (Ed.); ; Bo, Jan [Hrsg.]; et al.", ["Ada, Mira", "Bo, Jan"]),
     ("Ada, Mira, Bo, Jan, et al.", ["Ada, Mira", "Bo, Jan"]),
