@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pubscope.llm.encoder import PRE_TOKEN, Encoder, encoder, vocabulary
+from pubscope.llm.encoder import MEMO, PRE_TOKEN, Encoder, encoder, vocabulary
 from pubscope.session import small
 
 #: Units that the rolling hash covers.
@@ -24,63 +24,100 @@ _SCHEMA = "doc_id long, source string, piece_no int, n_pieces int, char_start in
 
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, INSIDE = 5, 4, 3, 2, 1, 0
 
-_NEWLINES = np.array([0x0A, 0x0D, 0x85, 0x2028, 0x2029], np.uint32)
-_SPACES = np.array([0x09, 0x0B, 0x0C, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000], np.uint32)
-_ENDERS = np.array([ord(c) for c in ".!?…。！？؟।"], np.uint32)
-_CLOSERS = np.array([ord(c) for c in "\"')]}»”’"], np.uint32)
-_CLAUSES = np.array([ord(c) for c in ",;:–—、，；："], np.uint32)
+# Kinds of characters, as bits of a table.
+_BLANK, _NEWLINE, _ENDER, _CLOSER, _CLAUSE, _WIDE_ENDER, _WIDE = 1, 2, 4, 8, 16, 32, 64
+_KINDS = {
+    _BLANK | _NEWLINE: "\n\r\x85\u2028\u2029",
+    _BLANK: "\t\x0b\x0c \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000",
+    _ENDER: ".!?…؟।",
+    _ENDER | _WIDE_ENDER: "。！？",
+    _CLOSER: "\"')]}»”’",
+    _CLAUSE: ",;:–—",
+    _CLAUSE | _WIDE: "、，；：",
+}
+_TABLE = np.zeros(0x10000, np.uint8)
+for _bits, _chars in _KINDS.items():
+    for _c in _chars:
+        _TABLE[ord(_c)] |= _bits
+
+
+def kinds_of(text: str) -> np.ndarray:
+    """The kind bits of each character."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return _TABLE[np.minimum(c, 0xFFFF)]
 
 
-def levels(text: str, ends: np.ndarray) -> np.ndarray:
-    """How natural a cut is after each of the character offsets ``ends``."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    newline, space = np.isin(c, _NEWLINES), np.isin(c, _SPACES)
-    blank = newline | space
-    prev, nxt = c[ends - 1], np.append(c, np.uint32(0x0A))[ends]
-    after_blank, before_blank = np.isin(prev, _NEWLINES) | np.isin(prev, _SPACES), np.isin(nxt, _NEWLINES) | np.isin(nxt, _SPACES)
+def _last(mask: np.ndarray) -> np.ndarray:
+    """For each offset, the offset after the last character before it that is in the mask (0 without one)."""
+    out = np.zeros(len(mask) + 1, np.int64)
+    at = np.flatnonzero(mask) + 1
+    out[at] = at
+    return np.maximum.accumulate(out)
+
+
+def levels(kind: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How natural a cut is after each of the character offsets ``ends`` of a text with these kinds of characters."""
+    blank = (kind & _BLANK) > 0
+    prev, nxt = kind[ends - 1], np.append(kind, np.uint8(_BLANK))[ends]
+    after_blank, before_blank = (prev & _BLANK) > 0, (nxt & _BLANK) > 0
     # newlines in the run of blanks that ends at an offset
-    total = np.concatenate([[0], np.cumsum(newline)])
-    solid = np.concatenate([[0], np.where(~blank, np.arange(1, len(c) + 1), 0)])
-    run_from = np.maximum.accumulate(solid)[ends]
-    breaks = total[ends] - total[run_from]
+    total = np.concatenate([[0], np.cumsum((kind & _NEWLINE) > 0)])
+    breaks = total[ends] - total[_last(~blank)[ends]]
     # the last character that isn't a closing mark
-    closing = np.isin(c, _CLOSERS)
-    core = np.maximum.accumulate(np.concatenate([[0], np.where(~closing, np.arange(1, len(c) + 1), 0)]))[ends]
-    ended = np.isin(c[np.maximum(core - 1, 0)], _ENDERS) & (core > 0)
-    wide = np.isin(prev, np.array([ord(x) for x in "。！？"], np.uint32))
+    core = _last((kind & _CLOSER) == 0)[ends]
+    ended = ((kind[np.maximum(core - 1, 0)] & _ENDER) > 0) & (core > 0)
     out = np.where(after_blank | before_blank, WORD, INSIDE)
-    out = np.where(np.isin(prev, _CLAUSES) & (before_blank | (prev > 0x2FFF)), CLAUSE, out)
-    out = np.where(ended & (before_blank | wide), SENTENCE, out)
+    out = np.where(((prev & _CLAUSE) > 0) & (before_blank | ((prev & _WIDE) > 0)), CLAUSE, out)
+    out = np.where(ended & (before_blank | ((prev & _WIDE_ENDER) > 0)), SENTENCE, out)
     out = np.where(after_blank & (breaks == 1), LINE, out)
     return np.where(after_blank & (breaks > 1), PARAGRAPH, out)
 
 
-def units(enc: Encoder, text: str, longest: int = LONG_UNIT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ends (character offsets), tokens and hashes of the smallest pieces: pre-tokens, or parts of very long ones."""
-    ends, tokens, hashes = [], [], []
-    for m in PRE_TOKEN.finditer(text):
-        word = m.group()
-        ids = enc.piece(word)
-        if len(ids) <= longest:
-            ends.append(m.end())
-            tokens.append(len(ids))
-            hashes.append(zlib.crc32(word.encode("utf-8", "surrogatepass")))
-            continue
-        # token ends that are also character ends, counted through the word's bytes
+class Memo(dict):
+    """Tokens and hash of pre-tokens, packed in one number: what is asked for again is not encoded again."""
+
+    def __init__(self, enc: Encoder) -> None:
+        self.enc = enc
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > MEMO:
+            self.clear()
+        got = min(self.enc.count(word), 2**30) << 32 | zlib.crc32(word.encode("utf-8", "surrogatepass"))
+        if len(word) <= 64:
+            self[word] = got
+        return got
+
+
+def units(enc: Encoder, text: str, longest: int = LONG_UNIT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ends (character offsets), tokens and hashes of the smallest pieces, and which of them end inside of a pre-token.
+
+    These are pre-tokens, or the parts of very long ones, cut where tokens and characters end together.
+    """
+    if not hasattr(enc, "memo"):
+        enc.memo = Memo(enc)  # type: ignore[attr-defined]
+    words = PRE_TOKEN.findall(text)
+    packed = np.fromiter(map(enc.memo.__getitem__, words), np.int64, len(words))  # type: ignore[attr-defined]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    tokens, hashes, inside = packed >> 32, (packed & 0xFFFFFFFF).astype(np.uint64), np.zeros(len(words), bool)
+    out: list[tuple] = []
+    done = 0
+    for k in np.flatnonzero(tokens > longest):
+        word, start = words[k], int(ends[k]) - len(words[k])
         raw = np.frombuffer(word.encode("utf-8", "surrogatepass"), np.uint8)
         starts = (raw & 0xC0) != 0x80
-        chars = np.concatenate([np.cumsum(starts), [len(word)]])
-        at = seen = held = 0
-        for i in ids:
-            at += len(enc.bpe.decode_single_token_bytes(i))
-            held += 1
-            if at == len(raw) or starts[at]:
-                end = int(chars[at - 1])
-                ends.append(m.start() + end)
-                tokens.append(held)
-                hashes.append(zlib.crc32(word[seen:end].encode("utf-8", "surrogatepass")))
-                seen, held = end, 0
-    return np.array(ends, np.int64), np.array(tokens, np.int64), np.array(hashes, np.uint64)
+        chars = np.cumsum(starts)
+        sizes = np.cumsum([len(enc.bpe.decode_single_token_bytes(i)) for i in enc.ids(word).tolist()])
+        whole = (sizes == len(raw)) | starts[np.minimum(sizes, len(raw) - 1)]
+        part_ends, held = chars[sizes[whole] - 1], np.diff(np.concatenate([[0], np.flatnonzero(whole) + 1]))
+        cuts = np.concatenate([[0], part_ends])
+        marks = [zlib.crc32(word[x:y].encode("utf-8", "surrogatepass")) for x, y in zip(cuts[:-1], cuts[1:])]
+        out.append((ends[done:k], tokens[done:k], hashes[done:k], inside[done:k]))
+        out.append((part_ends + start, held, np.array(marks, np.uint64), np.arange(len(part_ends)) < len(part_ends) - 1))
+        done = k + 1
+    if out:
+        out.append((ends[done:], tokens[done:], hashes[done:], inside[done:]))
+        ends, tokens, hashes, inside = (np.concatenate(x) for x in zip(*out))
+    return ends, tokens, hashes, inside
 
 
 def rolling(hashes: np.ndarray) -> np.ndarray:
@@ -112,20 +149,29 @@ def split(enc: Encoder, text: str, most: int, overlap: int) -> list[tuple[int, i
     Every piece has at most ``most`` tokens when encoded by itself; the overlap is the fewest whole words that have
     ``overlap`` tokens. The only exception is a single character that has more tokens than ``most``.
     """
-    ends, tokens, hashes = units(enc, text, min(LONG_UNIT, max(1, most // 8)))
+    ends, tokens, hashes, inside = units(enc, text, min(LONG_UNIT, max(1, most // 8)))
     cum = np.concatenate([[0], np.cumsum(tokens)])
     if cum[-1] <= most:
         return []
     overlap = max(0, min(overlap, most // 2))
     least = max(most // 2, min(overlap + LONG_UNIT, most - 1), 1)
-    level, mark = levels(text, ends), rolling(hashes)
+    kind = kinds_of(text)
+    level, mark = levels(kind, ends), rolling(hashes)
+
+    def size_of(a: int, end: int) -> int:
+        """Tokens of units a..end by themselves: their sum, but for cut words and for runs of blanks that the cut shortens."""
+        s, e = int(ends[a - 1]) if a else 0, int(ends[end])
+        if inside[end] or (a and inside[a - 1]) or (e - s > 1 and kind[e - 1] & kind[e - 2] & _BLANK):
+            return enc.count(text[s:e])
+        return int(cum[end + 1] - cum[a])
+
     out: list[tuple[int, int, int, int]] = []
     a, shared, n, done = 0, 0, len(ends), -1
     while True:
         start = int(ends[a - 1]) if a else 0
         hi = int(np.searchsorted(cum, cum[a] + most, "right")) - 2  # last unit that fits
         if hi >= n - 1:
-            size = enc.count(text[start:])
+            size = size_of(a, n - 1)
             if size <= most:
                 out.append((start, len(text), size, shared))
                 return out
@@ -133,10 +179,10 @@ def split(enc: Encoder, text: str, most: int, overlap: int) -> list[tuple[int, i
         hi = max(hi, a)
         lo = min(max(int(np.searchsorted(cum, cum[a] + least, "left")) - 1, a), hi)
         end = snap(lo + int(np.argmin(mark[lo : hi + 1])), lo, hi, level, most // 8, cum)
-        size = enc.count(text[start : ends[end]])  # by itself: a run of blanks at the end or a cut word may count otherwise
+        size = size_of(a, end)
         while size > most and end > a:
             end -= 1
-            size = enc.count(text[start : ends[end]])
+            size = size_of(a, end)
         if end <= done:  # what is shared leaves no room for the next unit: this piece shares nothing
             a, shared = done + 1, 0
             continue
