@@ -46,19 +46,20 @@ def encode_chunk(enc: Encoder, chunk: str, first: bool, last: bool, overlap: int
     The boundaries come as offsets in the chunk and as the number of ids before them, for the head zone and the tail
     zone. A boundary at the chunk's very end depends on what follows and is not listed, except in the last chunk.
     """
-    ids: list[int] = []
-    head_at, head_n, tail_at, tail_n = [], [], [], []
+    words = PRE_TOKEN.findall(chunk)
+    begins = np.cumsum([0, *map(len, words)])[:-1]
+    ids = enc.ids(chunk).astype(np.int32)
+
+    def zone(a: int, b: int, base: int, n: int) -> tuple[list[int], list[int]]:
+        """Offsets from ``base`` of words a..b, and the ids before each, the first one having ``n`` before it."""
+        before = np.cumsum([n, *(len(enc.piece(w)) for w in words[a:b])])[:-1] if b > a else []
+        return (begins[a:b] - base).tolist(), np.asarray(before, int).tolist()
+
+    head = ([], []) if first else zone(0, int(np.searchsorted(begins, overlap)), 0, 0)
     tail_from = len(chunk) - overlap
-    for m in PRE_TOKEN.finditer(chunk):
-        s = m.start()
-        if not first and s < overlap:
-            head_at.append(s)
-            head_n.append(len(ids))
-        if not last and s >= tail_from:
-            tail_at.append(s - tail_from)
-            tail_n.append(len(ids))
-        ids.extend(enc.piece(m.group()))
-    return np.array(ids, np.int32), head_at, head_n, tail_at, tail_n
+    k = int(np.searchsorted(begins, tail_from))
+    tail = ([], []) if last else zone(k, len(words), tail_from, len(ids) - sum(len(enc.piece(w)) for w in words[k:]))
+    return ids, *head, *tail
 
 
 def _encode_chunks(vocab: Broadcast, overlap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
