@@ -35,7 +35,7 @@ def co_occurrence(baskets: DataFrame, min_count: int = 4, min_lift: float = 5) -
     """Pairs of items with n_ab >= min_count and n_ab * N >= min_lift * n_a * n_b.
 
     ``baskets`` has one column ``items``, a sorted array of distinct strings. Result: a, b (a before b by code point),
-    n_ab, n_a, n_b, n_all, lift, pmi (natural logarithm). No baskets or no such pair: an empty result.
+    n_ab, n_a, n_b, n_all, lift, pmi (natural logarithm, 9 decimals). No baskets or no such pair: an empty result.
 
     Pair counts combine map-side, then meet the marginals; only pairs that reach ``min_count`` are joined. A basket of
     n items has n*(n-1)/2 pairs, so from wide baskets the items are first removed that cannot be in any result: those
@@ -63,4 +63,4 @@ def co_occurrence(baskets: DataFrame, min_count: int = 4, min_lift: float = 5) -
     )
     enough = F.col("n_ab").cast(_BIG) * F.lit(n_all).cast(_BIG) >= F.col("n_a").cast(_BIG) * F.col("n_b").cast(_BIG) * F.lit(min_lift)
     lift = F.col("n_ab") / F.col("n_a") * F.col("n_all") / F.col("n_b")
-    return both.where(enough).select("a", "b", "n_ab", "n_a", "n_b", "n_all", lift.alias("lift"), F.log(lift).alias("pmi"))
+    return both.where(enough).select("a", "b", "n_ab", "n_a", "n_b", "n_all", lift.alias("lift"), F.round(F.log(lift), 9).alias("pmi"))

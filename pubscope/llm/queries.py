@@ -95,5 +95,5 @@ _PAIRS = r"""WITH latest AS (SELECT slug, arg_max_null(authors, (harvested_at, i
 """
 ORACLES: dict[str, str] = {
     "p3_found": _PAIRS + "SELECT a AS author_a, b AS author_b FROM found WHERE n_ab * n_all >= 5 * n_a * n_b",
-    "p3_pairs": _PAIRS + "SELECT *, n_ab / n_a * n_all / n_b AS lift, ln(n_ab / n_a * n_all / n_b) AS pmi FROM found WHERE n_ab * n_all >= 5 * n_a * n_b",
+    "p3_pairs": _PAIRS + "SELECT *, n_ab / n_a * n_all / n_b AS lift, round(ln(n_ab / n_a * n_all / n_b), 9) AS pmi FROM found WHERE n_ab * n_all >= 5 * n_a * n_b",
 }
