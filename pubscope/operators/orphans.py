@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pubscope.functions.text import present, slug_key
-from pubscope.session import BROADCAST_ROWS, cut, small
+from pubscope.session import BROADCAST_ROWS, cut, cut_counted, small
 
 FOREVER = "9999-12-31 23:59:59"
 
@@ -86,14 +86,14 @@ def orphan_references(refs: dict[str, DataFrame], register: DataFrame) -> DataFr
     cols = ["ref_table", "ref_id", "from_slug", "target", "listed_at"]
     direct, rest = edges.where(~F.col("covered")).select(*cols), edges.where("covered").select(*cols)
     record = F.col("from_slug").alias("rec")
-    frontier = cut(direct.select(record).where("rec is not null").distinct(), "front")
+    frontier, n = cut_counted(direct.select(record).where("rec is not null").distinct(), "front")
     levels: list[DataFrame] = []
-    while n := frontier.limit(BROADCAST_ROWS + 1).count():
+    while n:
         levels.append(frontier)
         seen = reduce(DataFrame.unionByName, levels)
         last = F.broadcast(frontier) if n <= BROADCAST_ROWS else frontier
         reached = rest.join(last, rest["target"] == last["rec"], "left_semi").select(record).where("rec is not null").distinct()
-        frontier = cut(reached.join(seen, "rec", "left_anti"), "front")
+        frontier, n = cut_counted(reached.join(seen, "rec", "left_anti"), "front")
     found = direct.select(*cols, F.lit("direct").alias("kind"), F.lit(0).alias("depth"))
     if not levels:
         return found

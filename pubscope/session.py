@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Most rows that a side may have to be broadcast; every broadcast side here is narrow (keys and numbers).
@@ -51,6 +51,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _OWN_DIRS[app]
 
 
+def cut_counted(df: DataFrame, label: str = "cut") -> tuple[DataFrame, int]:
+    """``cut``, and the number of rows, counted while they are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    return out, seen.get["n"]
+
+
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
