@@ -117,15 +117,23 @@ def words_of(text: str) -> list[str]:
     return re.findall(r"[^\W_]+(?:-[^\W_]+)*\.?", text)
 
 
+def initials(token: str) -> bool:
+    """Up to three capitals without points."""
+    return bool(re.fullmatch(r"[^\W\d_]{1,3}", token)) and token.isupper()
+
+
 def read_person(form: str) -> tuple[str, list[str], str, str, str] | None:
     """(kind, stems, surname, initial, middle initial) of a person's name; kind 'full', 'init' or 'bare'."""
     text = re.sub(r"[\s ]+", " ", _NOTE.sub("", form)).strip(" ,;")
     surname, comma, given = text.partition(",")
+    if comma and initials(given.strip()):
+        given = " ".join(given.strip())
     if not comma:
-        tokens = [t for t in text.split() if fold_py(t).strip(".") not in TITLES]
+        words = text.split()
+        tokens = [t for k, t in enumerate(words) if fold_py(t).strip(".") not in TITLES or (k and k == len(words) - 1 and initials(t))]
         if not tokens:
             return None
-        if len(tokens) > 1 and re.fullmatch(r"[^\W\d_]{1,3}", tokens[-1]) and tokens[-1].isupper() and not tokens[0].endswith("."):
+        if len(tokens) > 1 and initials(tokens[-1]) and not tokens[0].endswith("."):
             surname, given = " ".join(tokens[:-1]), " ".join(tokens[-1])
         else:
             at = next((k for k in range(1, len(tokens)) if fold_py(tokens[k]) in PARTICLES), len(tokens) - 1)

@@ -56,7 +56,7 @@ FORMS = {
         {"Walazuso, Samuel", "Sam Walazuso"}, {"Walazuso, Susanna", "Walazuso, Susi"},
         {"de la Jepesimol, Benjamin", "Benjamin DE LA JEPESIMOL", "Ben de la Jepesimol"},
         {"Çetinoglu, Çağla", "Cetinoglu, Cagla"}, {"Zivürumus, Jürgen", "Zivuerumus, Juergen", "J. Zivürumus"},
-        {"Bifibrigál-Mapojekis, Paula", "Paula Bifibrigál-Mapojekis"},
+        {"Bifibrigál-Mapojekis, Paula", "Paula Bifibrigál-Mapojekis"}, {"Ketuberi, Hilde C.", "Ketuberi HC", "Ketuberi, HC", "Prof. Dr. h.c. Hilde C. Ketuberi"},
         {"Solo, Maria"},
     ],
     "journal": [
