@@ -170,6 +170,8 @@ def prior(shape: str) -> float:
         return 0.002 if shape == "C" else 1e-6
     if re.fullmatch(r"(?:C|N).*", shape) and ("w" in shape or "&" in shape or "/" in shape):
         return 0.05 * 0.6**k
+    if shape.count(",") > 1:
+        return 1e-9 * 0.2**k  # several names rather than one
     return 1e-3 * 0.2**k
 
 
@@ -187,7 +189,7 @@ class Model:
     def value(self, v: str, seen: float) -> float:
         """Log probability of a value that occurs ``seen`` times elsewhere."""
         shape = shape_of(v)
-        p_shape = (self.shapes.get(shape, 0.0) + PRIOR * prior(shape)) / (self.total + PRIOR) if shape != "long" else 1e-12
+        p_shape = (self.shapes.get(shape, 0.0) + PRIOR * prior(shape)) / (self.total + PRIOR) if shape != "long" else 1e-30
         words = sum(1 for t in v.split() if t not in ("/", "&", "and", "und", "et"))
         new = max(100.0, NEW_VALUES * self.total)
         # the words' own probabilities: the same in every segmentation, but not beside the count of a seen value
