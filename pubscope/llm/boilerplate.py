@@ -9,7 +9,6 @@ if over the whole corpus it stands between prose, and furniture (the head of a b
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -41,27 +40,38 @@ _PAGE = "row long, page_id long, kinds array<string>, keys array<long>"
 
 
 def match(page: list[int], template: list[int]) -> set[int]:
-    """Simple tree matching of two one-level trees: indices of the page's nodes in a longest common ordered matching."""
-    where: dict[int, list[int]] = {}
-    for j, k in enumerate(template):
-        where.setdefault(k, []).append(j)
-    tails: list[int] = []
-    last: list[tuple[int, int]] = []  # per length: index into steps
-    steps: list[tuple[int, int, int]] = []  # node, template position, step before
-    for i, k in enumerate(page):
-        for j in reversed(where.get(k, ())):
-            at = bisect_left(tails, j)
-            steps.append((i, j, last[at - 1][0] if at else -1))
-            if at == len(tails):
-                tails.append(j)
-                last.append((len(steps) - 1, j))
-            else:
-                tails[at] = j
-                last[at] = (len(steps) - 1, j)
-    out, s = set(), last[-1][0] if last else -1
-    while s >= 0:
-        out.add(steps[s][0])
-        s = steps[s][2]
+    """Simple tree matching of two one-level trees: indices of the page's nodes in a longest common ordered matching.
+
+    Of several that are longest, the one with most nodes that also follow each other in the template, or stand at an end
+    of both: a block of the body that is spelled like a node of the template doesn't take that node's place.
+    """
+    fixed = set(template)
+    nodes = [i for i, k in enumerate(page) if k in fixed]
+    m, one = len(template), len(page) + 2  # a matched node outweighs all neighbourhoods
+    best = [[0] * (m + 1)]  # of the first nodes and the first template nodes
+    ends: list[list[int]] = [[-1] * (m + 1)]  # the same, where the last two are matched; -1: they aren't
+    for a, i in enumerate(nodes):
+        row, end, near = [0] * (m + 1), [-1] * (m + 1), a > 0 and nodes[a - 1] == i - 1
+        for j in range(m):
+            row[j + 1] = max(row[j], best[a][j + 1])
+            if template[j] == page[i]:
+                before = max(best[a][j], ends[a][j] + 1 if near and ends[a][j] >= 0 else 0, int(i == 0 and j == 0))
+                end[j + 1] = before + one + int(i == len(page) - 1 and j == m - 1)
+                row[j + 1] = max(row[j + 1], end[j + 1])
+        best.append(row)
+        ends.append(end)
+    out, a, j, held = set(), len(nodes), m, False
+    while a and j:
+        if held or best[a][j] == ends[a][j]:
+            i = nodes[a - 1]
+            out.add(i)
+            before = ends[a][j] - one - int(i == len(page) - 1 and j == m)
+            held = a > 1 and nodes[a - 2] == i - 1 and ends[a - 1][j - 1] >= 0 and ends[a - 1][j - 1] + 1 == before
+            a, j = a - 1, j - 1
+        elif best[a][j] == best[a - 1][j]:
+            a -= 1
+        else:
+            j -= 1
     return out
 
 
@@ -71,7 +81,8 @@ def slug_start(text: str) -> str:
 
 def classify(blocks: list[str], keys: list[int], template: list[int], title: str, url: str, notices: frozenset[int]) -> list[str]:
     """The kind of each (cleaned) block of a page."""
-    constant, fixed = match(keys, template), set(template)
+    filled = [i for i, b in enumerate(blocks) if b]
+    constant = {filled[i] for i in match([keys[i] for i in filled], template)}
     tail = re.sub(r"-\d+$", "", url.rstrip("/").rpartition("/")[2].split("?")[0]) if url else ""
     out = []
     for i, (b, k) in enumerate(zip(blocks, keys)):
@@ -79,7 +90,7 @@ def classify(blocks: list[str], keys: list[int], template: list[int], title: str
         parts = [p for p in _LINKS.split(b) if p]
         if not b:
             kind = BLANK
-        elif i in constant or k in fixed:
+        elif i in constant:
             kind = TEMPLATE
         elif b == title or (not title and len(tail) > 7 and slug_start(b)[: len(tail)] == tail):
             kind = TITLE
@@ -122,6 +133,28 @@ def _neighbour(kinds: Column, i: Column, step: int) -> Column:
     return F.coalesce(F.get(F.filter(part, lambda k: ~k.isin(BLANK, TEMPLATE, LINKS)), F.lit(0)), F.lit(""))
 
 
+def _templates(keyed: DataFrame, constant: DataFrame) -> DataFrame:
+    """host, template: the constant nodes of each host in the order that its pages, aligned with each other, have them in.
+
+    Of two nodes, the one that stands first on more pages is the earlier; a node's place is the number of nodes it is
+    later than, less those it is earlier than. Pages whose constant nodes are the same count together.
+    """
+    wanted = constant.groupBy("host").agg(F.collect_set(F.struct("key", "nth")).alias("wanted"))
+    known = F.transform("wanted", lambda w: w["key"])
+    held = keyed.join(small(wanted), "host").select("host", "wanted", F.filter("keys", lambda k: F.array_contains(known, k)).alias("keys"))
+    nth = F.transform("keys", lambda k, i: F.struct(k.alias("key"), F.size(F.filter(F.slice("keys", F.lit(1), i + 1), lambda x: x == k)).alias("nth")))
+    lines = held.select("host", F.filter(nth, lambda x: F.array_contains("wanted", x)).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+    first = lines.select("host", "line", "n", F.posexplode("line").alias("i", "a"))
+    pairs = first.select("host", "n", "a", F.explode(F.slice("line", F.col("i") + 2, F.size("line"))).alias("b"))
+    ahead = pairs.select("host", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.when(F.col("a") < F.col("b"), F.col("n")).otherwise(-F.col("n")).alias("n"))
+    won = ahead.groupBy("host", "x", "y").agg(F.signum(F.sum("n")).alias("sign"))
+    sides = won.select("host", F.col("x").alias("node"), (-F.col("sign")).alias("sign")).unionByName(won.select("host", F.col("y").alias("node"), "sign"))
+    place = sides.groupBy("host", "node").agg(F.sum("sign").alias("place"))
+    all_ = constant.select("host", F.struct("key", "nth").alias("node")).join(place, ["host", "node"], "left")
+    order = F.sort_array(F.collect_list(F.struct(F.coalesce("place", F.lit(0.0)).alias("place"), F.col("node.nth").alias("nth"), F.col("node.key").alias("key"))))
+    return all_.groupBy("host").agg(F.transform(order, lambda x: x["key"]).alias("template"))
+
+
 def main_blocks(pages: DataFrame) -> DataFrame:
     """The blocks of the main body: page_id, pos (from 1 over all blocks of the page, blank and null ones included).
 
@@ -143,21 +176,21 @@ def main_blocks(pages: DataFrame) -> DataFrame:
     name = F.coalesce(F.get(F.split("host", r"\."), F.size(F.split("host", r"\.")) - 2), F.lit(""))
     keyed = keyed.withColumn("name", F.when(name.rlike("^[a-z0-9-]{5,}$"), name).otherwise("0"))
     keyed = cut(keyed.withColumn("keys", F.transform("blocks", lambda b: F.xxhash64(F.regexp_replace(F.replace(fold_rough(b), F.col("name"), F.lit("@")), r"[0-9]+", "#")))).drop("name"), "pages")
-    empty = F.xxhash64(F.lit(""))
     sizes = keyed.groupBy("host").agg(F.count("*").alias("pages"))
-    seen = keyed.select("host", F.posexplode("keys").alias("i", "key"), F.size("keys").alias("n")).where(F.col("key") != empty)
-    # a node that stands twice on a page counts once: its first place
-    df = seen.groupBy("host", "key").agg(F.count("*").alias("times"), F.avg(F.col("i") / F.col("n")).alias("place"))
-    once = keyed.select("host", F.explode(F.array_distinct("keys")).alias("key")).groupBy("host", "key").agg(F.count("*").alias("df"))
-    nodes = cut(once.where(F.col("df") > 1).join(df, ["host", "key"]).join(sizes, "host"), "nodes")
-    overall = nodes.groupBy("key").agg(F.sum("df").alias("all_df"), F.sum("pages").alias("all_pages"), F.count("*").alias("hosts"))
+    # a node that a page has several times is as many nodes: the first, the second ...
+    filled = F.filter("keys", lambda k: k != F.xxhash64(F.lit("")))
+    times = F.transform(F.array_distinct(filled), lambda k: F.struct(k.alias("key"), F.size(F.filter(filled, lambda x: x == k)).alias("times")))
+    each = keyed.select("host", F.explode(times).alias("t")).select("host", "t.key", F.explode(F.sequence(F.lit(1), F.col("t.times"))).alias("nth"))
+    once = each.groupBy("host", "key", "nth").agg(F.count("*").alias("df"))
+    nodes = cut(once.where(F.col("df") > 1).join(sizes, "host"), "nodes")
+    overall = nodes.groupBy("key", "nth").agg(F.sum("df").alias("all_df"), F.sum("pages").alias("all_pages"), F.count("*").alias("hosts"))
     elsewhere = F.coalesce((F.col("all_df") - F.col("df")) / F.nullif(F.col("all_pages") - F.col("pages"), F.lit(0)), F.lit(UNKNOWN))
     share = (F.col("df") + OTHER_HOSTS * elsewhere) / (F.col("pages") + OTHER_HOSTS)
-    constant = nodes.join(overall, "key").where(share > CONSTANT)
-    template = cut(constant.groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "key"))), lambda x: x["key"]).alias("template")), "templates")
+    constant = cut(nodes.join(overall, ["key", "nth"]).where(share > CONSTANT).select("host", "key", "nth"), "constant")
+    template = cut(_templates(keyed, constant), "templates")
     # at most (blocks of an average page) / NOTICE_SHARE nodes are on so many pages
     n_pages = keyed.count()
-    spread = overall.where((F.col("all_df") >= max(NOTICE_PAGES, NOTICE_SHARE * n_pages)) & (F.col("hosts") >= NOTICE_HOSTS))
+    spread = overall.where((F.col("nth") == 1) & (F.col("all_df") >= max(NOTICE_PAGES, NOTICE_SHARE * n_pages)) & (F.col("hosts") >= NOTICE_HOSTS))
     notices = frozenset(r["key"] for r in spread.select("key").collect())
     aligned = keyed.join(small(template), "host", "left")
     kinds = cut(aligned.select("row", "page_id", "blocks", "keys", "template", "title", "url").mapInArrow(_classify(notices), _PAGE), "kinds")

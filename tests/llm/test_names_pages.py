@@ -140,3 +140,17 @@ def test_no_pages(spark):
 
 def test_match_is_a_longest_common_ordered_matching():
     assert bp.match([1, 2, 9, 3], [1, 2, 3]) == {0, 1, 3} and bp.match([3, 1, 2], [1, 2, 3]) == {1, 2} and bp.match([], [1]) == set() and bp.match([1, 1], [1]) in ({0}, {1})
+
+
+def test_a_body_block_spelled_like_a_node_of_the_template_is_body(spark):
+    foot = "This site is kept with care. No liability is assumed."
+    pages = [page(k, [P[k]]) for k in range(1, 5)] + [page(5, [P[5], foot, P[6], "Projects A–Z", P[7], "Projects A–Z", P[8]])]
+    df = spark.createDataFrame([r[:5] for r in pages], "page_id long, url string, unit string, title string, paragraphs array<string>")
+    got = sorted(pages[4][4][r["pos"] - 1] for r in bp.main_blocks(df).collect() if r["page_id"] == 5)
+    assert got == sorted([P[5], foot, P[6], "Projects A–Z", P[7], "Projects A–Z", P[8]])
+
+
+def test_of_equal_matchings_the_one_in_place_is_taken():
+    assert bp.match([1, 2, 3, 9, 3, 9, 7, 8], [1, 2, 3, 7, 8]) == {0, 1, 2, 6, 7}
+    assert bp.match([1, 2, 9, 7, 9, 7, 8], [1, 2, 7, 8]) == {0, 1, 5, 6}
+    assert bp.match([7, 9, 7], [7]) in ({0}, {2}) and bp.match([9, 1, 9, 1], [1]) == {3}
