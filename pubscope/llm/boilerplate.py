@@ -24,8 +24,8 @@ CONSTANT = 0.5
 OTHER_HOSTS, UNKNOWN = 3.0, 0.1
 #: A sentence on this share of all pages, over several hosts, is a notice and not somebody's prose.
 NOTICE_SHARE, NOTICE_PAGES, NOTICE_HOSTS = 0.01, 5, 3
-#: A label is a heading if it is seen at least so often, with these shares of prose after and before it.
-HEADING_SEEN, HEADING_NEXT, HEADING_PREV = 2, 0.5, 0.3
+#: A label is a heading if it is seen with more than these shares of prose after and before it; one seen once is judged by where it stands.
+HEADING_NEXT, HEADING_PREV = 0.5, 0.3
 
 _PROSE = re.compile(r"[.!?؟。！？।][\"”’»'“)\]]*$")
 _TEASER = re.compile(r"(?:…|\.\.\.)[\"”’»]?(?:\s*\S{1,12}(?: \S{1,12})?)?$|\[(?:more|mehr|…|suite)\]$|(?:…|\.\.\.)\s*\[[^\]]{1,14}\]$", re.I)
@@ -199,8 +199,8 @@ def main_blocks(pages: DataFrame) -> DataFrame:
     labels = labels.select("row", "i", F.get("keys", F.col("i")).alias("key"), _neighbour(F.col("kinds"), F.col("i"), -1).alias("prev"), _neighbour(F.col("kinds"), F.col("i"), 1).alias("next"))
     labels = cut(labels, "labels")
     body = (PROSE, BULLET)
-    stats = labels.groupBy("key").agg(F.count("*").alias("n"), F.avg(F.col("next").isin(*body).cast("int")).alias("after"), F.avg(F.col("prev").isin(*body, TITLE, BYLINE, "").cast("int")).alias("before"))
-    heading = stats.where((F.col("n") >= HEADING_SEEN) & (F.col("after") > HEADING_NEXT) & (F.col("before") > HEADING_PREV)).select("key")
+    stats = labels.groupBy("key").agg(F.avg(F.col("next").isin(*body).cast("int")).alias("after"), F.avg(F.col("prev").isin(*body, TITLE, BYLINE, "").cast("int")).alias("before"))
+    heading = stats.where((F.col("after") > HEADING_NEXT) & (F.col("before") > HEADING_PREV)).select("key")
     headings = labels.join(small(cut(heading, "headings")), "key").select("row", "i")
     page_ids = kinds.select("row", "page_id")
     text = kinds.select("page_id", F.posexplode("kinds").alias("i", "kind")).where(F.col("kind").isin(*body)).select("page_id", "i")

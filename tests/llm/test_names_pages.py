@@ -154,3 +154,11 @@ def test_of_equal_matchings_the_one_in_place_is_taken():
     assert bp.match([1, 2, 3, 9, 3, 9, 7, 8], [1, 2, 3, 7, 8]) == {0, 1, 2, 6, 7}
     assert bp.match([1, 2, 9, 7, 9, 7, 8], [1, 2, 7, 8]) == {0, 1, 5, 6}
     assert bp.match([7, 9, 7], [7]) in ({0}, {2}) and bp.match([9, 1, 9, 1], [1]) == {3}
+
+
+def test_a_heading_seen_once_is_judged_by_its_neighbours(spark):
+    pages = [page(k, [P[k]]) for k in range(1, 5)]
+    pages += [page(5, ["A heading of its own", P[5], "Another one", "• item one of a list", "Related projects", "Some Other Title Here", "A teaser that is cut…"])]
+    df = spark.createDataFrame([r[:5] for r in pages], "page_id long, url string, unit string, title string, paragraphs array<string>")
+    got = sorted(pages[4][4][r["pos"] - 1] for r in bp.main_blocks(df).collect() if r["page_id"] == 5)
+    assert got == sorted(["A heading of its own", P[5], "Another one", "• item one of a list"])
