@@ -24,6 +24,8 @@ CONSTANT = 0.5
 OTHER_HOSTS, UNKNOWN = 3.0, 0.1
 #: A sentence on this share of all pages, over several hosts, is a notice and not somebody's prose.
 NOTICE_SHARE, NOTICE_PAGES, NOTICE_HOSTS = 0.01, 5, 3
+#: A sentence on one page of its host is a notice by what other hosts show if at least so many have it; fewer may be sister pages.
+ALIKE_HOSTS = 5
 #: A label is a heading if it is seen with more than these shares of prose after and before it; one seen once is judged by where it stands.
 HEADING_NEXT, HEADING_PREV = 0.5, 0.3
 
@@ -119,8 +121,8 @@ def _classify(notices: frozenset[int]) -> Callable[[Iterator[pa.RecordBatch]], I
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for row, page, blocks, keys, template, title, url in zip(*(b.column(c).to_pylist() for c in range(7))):
-                rows.append((row, page, classify(blocks, keys, template or [], title or "", url or "", notices), keys))
+            for row, page, blocks, keys, template, title, url, alike in zip(*(b.column(c).to_pylist() for c in range(8))):
+                rows.append((row, page, classify(blocks, keys, template or [], title or "", url or "", notices.union(alike) if alike else notices), keys))
             cols = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
@@ -163,8 +165,8 @@ def main_blocks(pages: DataFrame) -> DataFrame:
     page under two ids, and a page_id that occurs twice, are separate pages.
 
     Statistics cover all pages: on how many pages of a host a node (a block with its digits masked) stands, smoothed
-    for small hosts by what other hosts show; between which neighbours a label stands in the whole corpus. Nodes are
-    counted by hash, combined before the shuffle. A template has at most 1 / CONSTANT nodes per average block of a page,
+    for small hosts by what all other hosts show, those with one page included; between which neighbours a label stands
+    in the whole corpus. Nodes are counted by hash, combined before the shuffle. A template has at most 1 / CONSTANT nodes per average block of a page,
     so it stays small and is joined to the pages by host. Every page is then handled by itself.
     """
     host = F.coalesce(F.nullif(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]+)", 1)), F.lit("")), F.concat(F.lit("unit:"), F.coalesce("unit", F.lit(""))))
@@ -182,18 +184,22 @@ def main_blocks(pages: DataFrame) -> DataFrame:
     times = F.transform(F.array_distinct(filled), lambda k: F.struct(k.alias("key"), F.size(F.filter(filled, lambda x: x == k)).alias("times")))
     each = keyed.select("host", F.explode(times).alias("t")).select("host", "t.key", F.explode(F.sequence(F.lit(1), F.col("t.times"))).alias("nth"))
     once = each.groupBy("host", "key", "nth").agg(F.count("*").alias("df"))
-    nodes = cut(once.where(F.col("df") > 1).join(sizes, "host"), "nodes")
-    overall = nodes.groupBy("key", "nth").agg(F.sum("df").alias("all_df"), F.sum("pages").alias("all_pages"), F.count("*").alias("hosts"))
+    counted = cut(once.join(sizes, "host"), "nodes")
+    overall = counted.groupBy("key", "nth").agg(F.sum("df").alias("all_df"), F.sum("pages").alias("all_pages"), F.count("*").alias("hosts")).where("all_df > 1")
+    overall = cut(overall, "overall")
+    nodes = counted.join(overall, ["key", "nth"])
     elsewhere = F.coalesce((F.col("all_df") - F.col("df")) / F.nullif(F.col("all_pages") - F.col("pages"), F.lit(0)), F.lit(UNKNOWN))
     share = (F.col("df") + OTHER_HOSTS * elsewhere) / (F.col("pages") + OTHER_HOSTS)
-    constant = cut(nodes.join(overall, ["key", "nth"]).where(share > CONSTANT).select("host", "key", "nth"), "constant")
-    template = cut(_templates(keyed, constant), "templates")
+    expected = cut(nodes.where((share > CONSTANT) & ((F.col("df") > 1) | (F.col("hosts") >= ALIKE_HOSTS))).select("host", "key", "nth", "df"), "constant")
+    template = cut(_templates(keyed, expected.where("df > 1").drop("df")), "templates")
+    # on one page it may also be a heading that many hosts use, so only sentences are judged by it
+    alike = cut(expected.where("df = 1").groupBy("host").agg(F.collect_set("key").alias("alike")), "alike")
     # at most (blocks of an average page) / NOTICE_SHARE nodes are on so many pages
     n_pages = keyed.count()
     spread = overall.where((F.col("nth") == 1) & (F.col("all_df") >= max(NOTICE_PAGES, NOTICE_SHARE * n_pages)) & (F.col("hosts") >= NOTICE_HOSTS))
     notices = frozenset(r["key"] for r in spread.select("key").collect())
-    aligned = keyed.join(small(template), "host", "left")
-    kinds = cut(aligned.select("row", "page_id", "blocks", "keys", "template", "title", "url").mapInArrow(_classify(notices), _PAGE), "kinds")
+    aligned = keyed.join(small(template), "host", "left").join(small(alike), "host", "left")
+    kinds = cut(aligned.select("row", "page_id", "blocks", "keys", "template", "title", "url", "alike").mapInArrow(_classify(notices), _PAGE), "kinds")
 
     labels = kinds.select("row", "kinds", F.posexplode("kinds").alias("i", "kind"), "keys").where(F.col("kind") == LABEL)
     labels = labels.select("row", "i", F.get("keys", F.col("i")).alias("key"), _neighbour(F.col("kinds"), F.col("i"), -1).alias("prev"), _neighbour(F.col("kinds"), F.col("i"), 1).alias("next"))

@@ -162,3 +162,16 @@ def test_a_heading_seen_once_is_judged_by_its_neighbours(spark):
     df = spark.createDataFrame([r[:5] for r in pages], "page_id long, url string, unit string, title string, paragraphs array<string>")
     got = sorted(pages[4][4][r["pos"] - 1] for r in bp.main_blocks(df).collect() if r["page_id"] == 5)
     assert got == sorted(["A heading of its own", P[5], "Another one", "• item one of a list"])
+
+
+def test_furniture_of_hosts_with_one_page_is_known_from_other_hosts(spark):
+    notice = "We use cookies to keep this site running."
+    rows = [(k, f"https://h{k}.example/p", None, None, [f"Sentence number {'abcdefgh'[k]} of its own page.", "Aims", f"And a second one {'abcdefgh'[k]} has.", notice]) for k in range(8)]
+    rows += [(20 + k, f"https://big.example/{k}", None, None, [f"{'One Two Three'.split()[k % 3]} sentence {chr(97 + k % 26)}{chr(97 + k // 26)} of the large host."]) for k in range(1200)]
+    rows += [(9000 + k, f"https://sister{k}.example/p", None, None, [P[0], f"And what only {'xy'[k]} has is this."]) for k in range(2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, unit string, title string, paragraphs array<string>")
+    got = {}
+    for r in bp.main_blocks(df).collect():
+        got.setdefault(r["page_id"], []).append(r["pos"])
+    assert [sorted(got[k]) for k in range(8)] == [[1, 2, 3]] * 8
+    assert sum(len(got[20 + k]) for k in range(1200)) == 1200 and sorted(got[9000]) == sorted(got[9001]) == [1, 2]
