@@ -5,7 +5,7 @@ order, case, accents, subtitles, legal forms, usual abbreviations and nicknames
 channel that costs nothing. What remains is the noise of typing, shortening to initials and dropping middle names. Stems
 are ranked by how often their forms occur in the register; frequent ones are the candidate canonical forms, and each
 variant is attached to the candidate with the highest posterior: prior (frequency) times likelihood (one slip of typing,
-an initial, a dropped middle name).
+an initial, a dropped middle name). Two stems whose differing words both stand in other stems too are two entities.
 
 All of this is done by equi-joins on keys (deletion signatures for slips, surname and initial for initials), so no
 group of namesakes is ever compared pair by pair.
@@ -104,6 +104,8 @@ ABBR = {a: full for line in ABBREVIATIONS.split("\n") if line for full, _, short
 LEAST_STEM = 7
 #: How much likelier the best candidate must be than one of another entity.
 ODDS = 3
+#: A word is one of its own and no slip of a neighbour if so many stems have it, and more than this share of those that have the neighbour.
+OWN_STEMS, SLIP_SHARE = 3, 0.2
 
 _READ = "name_id long, field string, n long, kind string, stems array<string>, s string, i string, mid string"
 
@@ -183,7 +185,7 @@ def read_venue(form: str) -> tuple[str, list[str], str, str, str] | None:
     if out[:3] == ["university", "press", "of"] and len(out) > 3:
         out = [*out[3:], "university", "press"]
     stem = spelled("".join(out))
-    return ("venue", [stem], stem, "", "") if stem else None
+    return ("venue", [stem], " ".join(map(spelled, out)), "", "") if stem else None
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,6 +227,34 @@ def _keep_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array(keep, pa.bool_()))
 
 
+def _apart(near: DataFrame, placed: DataFrame) -> DataFrame:
+    """``near`` without the pairs of stems that are likelier two entities than one and its slip.
+
+    How often a stem occurs doesn't tell, since a misspelling is copied as often as any form. How many stems have the word
+    that differs does: a slip falls on a word once in a while, while a name or word of its own stands in others as well.
+    A stem between two such stems explains neither of them, though it may be a slip of one.
+    """
+    venue = F.col("kind") == "venue"
+    words = placed.select("stem", "kind", F.when(venue, F.split("s", " ")).otherwise(F.split(F.regexp_replace("stem", "^[^:]*:", ""), r"\|")).alias("words"))
+    words = cut(words.groupBy("stem").agg(F.max(F.struct(F.size("words").alias("n"), "words", "kind")).alias("w")).select("stem", "w.words", "w.kind"), "words")
+    role = F.concat(F.substring_index("stem", ":", 1), F.when(venue, F.lit("")).otherwise(F.col("i").cast("string")))
+    borne = words.select("stem", "kind", F.posexplode("words").alias("i", "word")).select(role.alias("role"), "word", "stem").groupBy("role", "word").agg(F.countDistinct("stem").alias("stems"))
+    borne = cut(borne.where(F.col("stems") >= OWN_STEMS), "borne")
+    both = near.where("x < y").join(words.select(F.col("stem").alias("x"), F.col("words").alias("wx"), "kind"), "x").join(words.select(F.col("stem").alias("y"), F.col("words").alias("wy")), "y")
+    other = F.filter(F.arrays_zip(F.sequence(F.lit(0), F.size("wx") - 1).alias("i"), F.col("wx").alias("a"), F.col("wy").alias("b")), lambda z: z["a"] != z["b"])
+    one = both.where("size(wx) = size(wy)").select("x", "y", "kind", F.col("x").alias("stem"), other.alias("d")).where("size(d) = 1").select("x", "y", "kind", "stem", F.col("d")[0]["i"].alias("i"), F.col("d")[0]["a"].alias("a"), F.col("d")[0]["b"].alias("b"))
+    known = one.withColumn("role", role).join(borne.select("role", F.col("word").alias("a"), F.col("stems").alias("na")), ["role", "a"]).join(borne.select("role", F.col("word").alias("b"), F.col("stems").alias("nb")), ["role", "b"])
+    known = cut(known.select("x", "y", "role", "a", "b", "na", "nb"), "known")
+    # slips of one common word are one slip apart too, and are as rare as each other
+    sides = known.select("role", F.col("a").alias("w"), F.col("na").alias("n"), F.col("nb").alias("m")).unionByName(known.select("role", F.col("b").alias("w"), F.col("nb").alias("n"), F.col("na").alias("m")))
+    slips = sides.where(F.col("n") <= SLIP_SHARE * F.col("m")).select("role", "w").distinct()
+    two = known.join(slips.withColumnRenamed("w", "a"), ["role", "a"], "left_anti").join(slips.withColumnRenamed("w", "b"), ["role", "b"], "left_anti").select("x", "y")
+    two = cut(two.unionByName(two.select(F.col("y").alias("x"), F.col("x").alias("y"))), "apart")
+    left = cut(near.join(two, ["x", "y"], "left_anti"), "left")
+    around = two.join(left.select("x", F.col("y").alias("z")), "x").join(left.select(F.col("x").alias("y"), F.col("y").alias("z")), ["y", "z"])
+    return left.join(around.select(F.col("z").alias("y")).distinct(), "y", "left_anti").select("x", "y")
+
+
 def _roots(stems: DataFrame, parents: DataFrame) -> DataFrame:
     """stem, root: the end of each stem's chain of parents. Parents rank higher, so chains end; each round halves them."""
     at = cut(stems.join(parents, "stem", "left").select("stem", F.coalesce("parent", "stem").alias("root")), "roots")
@@ -266,7 +296,7 @@ def link_variants(forms: DataFrame, counts: DataFrame) -> DataFrame:
     # slips: every stem and its likelier neighbours
     stems = cut(placed.groupBy("stem").agg(F.sum("n").alias("n"), F.count("*").alias("forms")), "stems")
     long = stems.where(F.length("stem") - F.instr("stem", ":") >= LEAST_STEM)
-    near = cut(_near(long.select("stem"), "stem"), "near")
+    near = cut(_apart(cut(_near(long.select("stem"), "stem"), "slips"), placed), "near")
     # the prior of a candidate is what it would explain: its own occurrences and those of its neighbours
     weight = F.col("n") + F.col("forms")
     explained = near.join(stems.select(F.col("stem").alias("y"), weight.alias("w")), "y").groupBy(F.col("x").alias("stem")).agg(F.sum("w").alias("around"))

@@ -175,3 +175,15 @@ def test_furniture_of_hosts_with_one_page_is_known_from_other_hosts(spark):
         got.setdefault(r["page_id"], []).append(r["pos"])
     assert [sorted(got[k]) for k in range(8)] == [[1, 2, 3]] * 8
     assert sum(len(got[20 + k]) for k in range(1200)) == 1200 and sorted(got[9000]) == sorted(got[9001]) == [1, 2]
+
+
+def test_namesakes_one_slip_apart_are_two(spark):
+    names = ["Rossini, Maria", "Rossini, Mario", "Rossini, Mari", "Rossini, Mxria"]
+    names += [f"{s}, {g}" for s in ("Bellucci", "Caruso", "Donati") for g in ("Maria", "Mario")]
+    journals = [f"{w} Proceedings Series {c}" for w in ("Tavaro", "Welimo", "Zugeba") for c in "AB"] + ["Tavaro Prceedings Series A"]
+    rows = [(k, "author" if k < len(names) else "journal", x) for k, x in enumerate(names + journals)]
+    counts = spark.createDataFrame([(f, x, 1 if x in ("Rossini, Mari", "Rossini, Mxria", "Tavaro Prceedings Series A") else 10000) for _, f, x in rows], "field string, form string, n long")
+    df = spark.createDataFrame(rows, "name_id long, field string, form string")
+    form = {i: x for i, _, x in rows}
+    got = {(form[r["name_id_a"]], form[r["name_id_b"]]) for r in va.variant_pairs(va.link_variants(df, counts)).collect()}
+    assert got == {("Rossini, Maria", "Rossini, Mxria"), ("Tavaro Proceedings Series A", "Tavaro Prceedings Series A")}
