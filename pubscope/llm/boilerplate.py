@@ -1,13 +1,18 @@
 """Main content of web pages by wrapper induction over the pages of a host.
 
-A page is a tree of one level: its blocks in order. The pages of a host are aligned by simple tree matching with the
-host's template, which holds the nodes that are constant over its pages; nodes that match are furniture, and the slots
-between them vary. In the slots, prose and list items are content. Short blocks are labels: a label is a section heading
-if over the whole corpus it stands between prose, and furniture (the head of a box, or an item in it) if boxes follow it.
+A page is a tree of two levels: its blocks in order, and the parts of a block that lists links. The pages of a host are
+aligned by simple tree matching with the host's template, which holds the nodes that are constant over its pages; nodes
+that match are furniture, and what stands in the slots between them varies. A list of links matches through its parts.
+
+What fills a slot is judged by statistics of the slots, not by how it is worded. Sentences are text. A block without a
+full stop is a label, and the corpus shows what that label is: a section heading stands between text, a teaser, a date
+or a title in a box stands among other labels, and a byline stands in the slot under the title, which holds many
+different values, while a heading that opens pages comes back. A block as long as text is, among text, is text.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -26,19 +31,26 @@ OTHER_HOSTS, UNKNOWN = 3.0, 0.1
 NOTICE_SHARE, NOTICE_PAGES, NOTICE_HOSTS = 0.01, 5, 3
 #: A sentence on one page of its host is a notice by what other hosts show if at least so many have it; fewer may be sister pages.
 ALIKE_HOSTS = 5
-#: A label is a heading if it is seen with more than these shares of prose after and before it; one seen once is judged by where it stands.
+#: A label is a heading if text follows it on more than this share, and stands before it on more than this share of its places.
 HEADING_NEXT, HEADING_PREV = 0.5, 0.3
+#: One only seen right under the title is a heading if it is this share of what its host has there, or there on so many hosts,
+#: or if its host has something there on less than this share of its pages, so that the place is none for bylines.
+OPENING_SHARE, OPENING_HOSTS, OPENING_FILLED = 0.25, 3, 0.25
+#: A part of a list of links is one of the host's labels if it stands in such lists on so many pages and on this share of them.
+PART_PAGES, PART_SHARE = 2, 0.01
 
-_PROSE = re.compile(r"[.!?؟。！？।][\"”’»'“)\]]*$")
-_TEASER = re.compile(r"(?:…|\.\.\.)[\"”’»]?(?:\s*\S{1,12}(?: \S{1,12})?)?$|\[(?:more|mehr|…|suite)\]$|(?:…|\.\.\.)\s*\[[^\]]{1,14}\]$", re.I)
+# Marks that end a sentence (but for an ellipsis, which breaks one off), that begin an item, that part links.
+_PROSE = re.compile(r"(?<!\.\.)[.!?؟。！？।][\"”’»'“)\]]*$")
+_BROKEN = re.compile(r"…|\.\.\.")
 _BULLET = re.compile(r"^(?:[•‣▪◦●*–—-]\s+|\(?\d{1,2}[.)]\s+\S|\(?[a-z]\)\s)")
-_LINKS = re.compile(r"\s+[·|›»>/•–]\s+|\s{2,}(?=→)")
-_BYLINE = re.compile(r"^(?:(?:prof|dr|pd|priv\.-doz|mag|dipl|phd|m\.\s?a|by|von|par)\b\.?[\s-]*)+\S+(?:\s\S+){0,6}$", re.I)
-_DATED = re.compile(r"^\d{1,2}\.? ?\S+ \d{4}|\b\d{1,2}[:.]\d{2}\b.*[“\"„«]|^\d+ \w+$|^[←→]|^\w+: \S|^\+?\d[\d ()/-]{6,}$")
+LINKS_AT = r"\s+[·|›»>/•–]\s+|\s{2,}(?=→)"
+_PARTS = re.compile(LINKS_AT)
 
-TEMPLATE, BLANK, LINKS, TITLE, BYLINE, ITEM, PROSE, BULLET, LABEL, NOTICE = "TBLNYDPUSX"
+TEMPLATE, BLANK, LINKS, TITLE, PROSE, BULLET, LABEL, NOTICE = "TBLNPUSX"
+#: Where a label stands: after text, under the title or at the start (alone or after one other label), among labels.
+TEXT_BEFORE, OPENING, AMONG = "tol"
 
-_PAGE = "row long, page_id long, kinds array<string>, keys array<long>"
+_PAGE = "row long, page_id long, host string, sure array<int>, prose array<int>, labels array<struct<i:int,key:long,before:string,follows:boolean,raw:boolean,under:long,words:int>>"
 
 
 def match(page: list[int], template: list[int]) -> set[int]:
@@ -81,60 +93,87 @@ def slug_start(text: str) -> str:
     return re.sub(r"[^a-z0-9]+", "-", fold_py(text)).strip("-")
 
 
-def classify(blocks: list[str], keys: list[int], template: list[int], title: str, url: str, notices: frozenset[int]) -> list[str]:
-    """The kind of each (cleaned) block of a page."""
+def classify(blocks: list[str], keys: list[int], template: list[int], title: str, url: str, notices: frozenset[int], parts: dict[str, list[int]], known: frozenset[int]) -> list[str]:
+    """The kind of each (cleaned) block of a page. ``parts``: the keys of the parts of blocks that list links."""
     filled = [i for i, b in enumerate(blocks) if b]
     constant = {filled[i] for i in match([keys[i] for i in filled], template)}
     tail = re.sub(r"-\d+$", "", url.rstrip("/").rpartition("/")[2].split("?")[0]) if url else ""
+
+    def titled(text: str) -> bool:
+        return text == title or (len(tail) > 7 and slug_start(text)[: len(tail)] == tail)
+
     out = []
     for i, (b, k) in enumerate(zip(blocks, keys)):
-        words = b.split()
-        parts = [p for p in _LINKS.split(b) if p]
         if not b:
             kind = BLANK
         elif i in constant:
             kind = TEMPLATE
-        elif b == title or (not title and len(tail) > 7 and slug_start(b)[: len(tail)] == tail):
+        elif b == title or (not title and titled(b)):
             kind = TITLE
-        elif len(parts) > 1 and not _BULLET.match(b) and not _PROSE.search(b) and (parts[-1] == title or max(len(p.split()) for p in parts) <= 6 or (len(tail) > 7 and slug_start(parts[-1])[: len(tail)] == tail)):
-            kind = LINKS
-        elif _TEASER.search(b):
-            kind = ITEM
-        elif _BULLET.match(b):
+        elif _BULLET.match(b) and not _BROKEN.search(b):
             kind = BULLET
-        elif _PROSE.search(b) and len(words) >= 3:
+        elif _PROSE.search(b):
             kind = NOTICE if k in notices else PROSE
-        elif _BYLINE.match(b) and len(words) <= 9:
-            kind = BYLINE
-        elif _DATED.search(b) or len(words) > 14:
-            kind = ITEM
+        elif b in parts and (titled(_PARTS.split(b)[-1]) or sum(x not in known for x in parts[b]) <= 1 < len(parts[b])):
+            kind = LINKS
         else:
             kind = LABEL
         out.append(kind)
     return out
 
 
+def places(kinds: list[str]) -> list[tuple[int, str, bool, bool, int | None]]:
+    """Where the labels of a page stand.
+
+    Index, what is before, does text follow, is the block right before text, title or a label right under it, and which
+    block that label is.
+    """
+    text = (PROSE, BULLET)
+    order = [i for i, k in enumerate(kinds) if k not in (BLANK, TEMPLATE, LINKS, NOTICE)]
+    shown = [k for k in kinds if k != BLANK]
+    rank = {i: n for n, i in enumerate(i for i, k in enumerate(kinds) if k != BLANK)}
+    out = []
+    for n, i in enumerate(order):
+        if kinds[i] != LABEL:
+            continue
+        prev = kinds[order[n - 1]] if n else TITLE
+        if prev == LABEL and (n == 1 or kinds[order[n - 2]] == TITLE):
+            before = OPENING
+        else:
+            before = TEXT_BEFORE if prev in text else OPENING if prev == TITLE else AMONG
+        nxt = kinds[order[n + 1]] if n + 1 < len(order) else ""
+        at = rank[i]
+        under = order[n - 1] if prev == LABEL and before == OPENING and at > 0 and shown[at - 1] == LABEL else None
+        out.append((i, before, nxt in text, at > 0 and (shown[at - 1] in (*text, TITLE) or under is not None), under))
+    return out
+
+
 def _classify(notices: frozenset[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = ["row", "page_id", "kinds", "keys"]
-    types = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
+    label = pa.struct([("i", pa.int32()), ("key", pa.int64()), ("before", pa.string()), ("follows", pa.bool_()), ("raw", pa.bool_()), ("under", pa.int64()), ("words", pa.int32())])
+    schema = pa.schema([("row", pa.int64()), ("page_id", pa.int64()), ("host", pa.string()), ("sure", pa.list_(pa.int32())), ("prose", pa.list_(pa.int32())), ("labels", pa.list_(label))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for row, page, blocks, keys, template, title, url, alike in zip(*(b.column(c).to_pylist() for c in range(8))):
-                rows.append((row, page, classify(blocks, keys, template or [], title or "", url or "", notices.union(alike) if alike else notices), keys))
-            cols = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+            for row, page, host, blocks, keys, part_keys, template, title, url, alike, known in zip(*(b.column(c).to_pylist() for c in range(11))):
+                lists = {p["b"]: p["keys"] for p in part_keys}
+                kinds = classify(blocks, keys, template or [], title or "", url or "", notices.union(alike) if alike else notices, lists, frozenset(known or ()).union(template or ()))
+                labels = [(i, keys[i], before, follows, raw, None if under is None else keys[under], len(blocks[i].split())) for i, before, follows, raw, under in places(kinds)]
+                sure = [i for i, k in enumerate(kinds) if k in (PROSE, BULLET)]
+                rows.append((row, page, host, sure, [len(blocks[i].split()) for i in sure if kinds[i] == PROSE], labels))
+            cols = list(zip(*rows)) or [()] * 6
+            arrays = [pa.array(c, f.type) for c, f in zip(cols[:5], schema)]
+            flat = [x for r in cols[5] for x in r]
+            ends = [0]
+            for r in cols[5]:
+                ends.append(ends[-1] + len(r))
+            fields = [pa.array(c, f.type) for c, f in zip(list(zip(*flat)) or [()] * 7, label)]
+            arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(label)), type=pa.list_(label)))
+            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     return run
 
 
-def _neighbour(kinds: Column, i: Column, step: int) -> Column:
-    """The kind of the next block in a direction that is neither blank nor template nor a line of links; '' at the end."""
-    part = F.slice(kinds, i + 2, F.size(kinds)) if step > 0 else F.reverse(F.slice(kinds, F.lit(1), i))
-    return F.coalesce(F.get(F.filter(part, lambda k: ~k.isin(BLANK, TEMPLATE, LINKS)), F.lit(0)), F.lit(""))
-
-
 def _templates(keyed: DataFrame, constant: DataFrame) -> DataFrame:
     """host, template: the constant nodes of each host in the order that its pages, aligned with each other, have them in.
 
@@ -157,6 +196,47 @@ def _templates(keyed: DataFrame, constant: DataFrame) -> DataFrame:
     return all_.groupBy("host").agg(F.transform(order, lambda x: x["key"]).alias("template"))
 
 
+def _headings(labels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """row, i of the labels that are section headings, by where labels of their key stand in the whole corpus."""
+    stats = labels.groupBy("key").agg(
+        F.avg(F.col("follows").cast("int")).alias("after"),
+        F.count_if(F.col("before") == TEXT_BEFORE).alias("inside"),
+        F.count_if(F.col("before") == AMONG).alias("among"),
+    )
+    likely = cut(stats.where(F.col("after") > HEADING_NEXT), "labels")
+    inside = likely.where((F.col("inside") + F.col("among") > 0) & (F.col("inside") > HEADING_PREV * (F.col("inside") + F.col("among")))).select("key")
+    # those that only open pages: what the slot under the title holds, per host
+    opening = labels.where((F.col("before") == OPENING) & F.col("follows")).groupBy("host", "key").agg(F.count("*").alias("n"))
+    per_host = opening.groupBy("host").agg(F.sum("n").alias("all")).join(sizes, "host")
+    back = F.when(((F.col("n") > 1) & (F.col("n") >= OPENING_SHARE * F.col("all"))) | (F.col("all") < OPENING_FILLED * F.col("pages")), True)
+    spread = opening.join(small(cut(per_host, "slots")), "host").groupBy("key").agg(F.max(back).alias("back"), F.count("*").alias("hosts")).where(F.col("back") | (F.col("hosts") >= OPENING_HOSTS))
+    only = likely.where((F.col("inside") + F.col("among")) == 0).join(spread, "key", "left_semi").select("key")
+    keys = cut(inside.unionByName(only), "headings")
+    return labels.join(small(keys), "key").select("row", "i")
+
+
+def _long_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """row, i of the labels that are as long as text is and stand among text: paragraphs without a full stop.
+
+    The number of words of a paragraph and of a label are taken as log-normal, as the whole corpus has them. What stands
+    under the head of a box, a label that other labels follow elsewhere, is no text.
+    """
+    measure = [F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.count("*").alias("n")]
+    prose = pages.select(F.explode("prose").alias("w")).select(F.log(F.col("w")).alias("x")).agg(*measure).first()
+    short = labels.where("not raw").select(F.log("words").alias("x")).agg(*measure).first()
+    if not prose["n"] or not short["n"] or prose["m"] <= short["m"]:
+        return labels.limit(0).select("row", "i")
+
+    def weight(m: float, s: float) -> Column:
+        s = max(s, 0.1)
+        return -F.pow((F.log("words") - m) / s, F.lit(2)) / 2 - math.log(s)
+
+    longer = F.log("words") > short["m"]
+    heads = labels.groupBy(F.col("key").alias("under")).agg(F.avg(F.col("follows").cast("int")).alias("after"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("after") <= HEADING_NEXT))
+    among = labels.where("raw").join(heads, "under", "left_anti")
+    return among.where(longer & (weight(prose["m"], prose["s"]) > weight(short["m"], short["s"]))).select("row", "i")
+
+
 def main_blocks(pages: DataFrame) -> DataFrame:
     """The blocks of the main body: page_id, pos (from 1 over all blocks of the page, blank and null ones included).
 
@@ -177,7 +257,16 @@ def main_blocks(pages: DataFrame) -> DataFrame:
     # a node's key: folded, digits masked, and the site's own name too, so that other hosts' notices compare
     name = F.coalesce(F.get(F.split("host", r"\."), F.size(F.split("host", r"\.")) - 2), F.lit(""))
     keyed = keyed.withColumn("name", F.when(name.rlike("^[a-z0-9-]{5,}$"), name).otherwise("0"))
-    keyed = cut(keyed.withColumn("keys", F.transform("blocks", lambda b: F.xxhash64(F.regexp_replace(F.replace(fold_rough(b), F.col("name"), F.lit("@")), r"[0-9]+", "#")))).drop("name"), "pages")
+
+    def node(b: Column) -> Column:
+        low = F.lower(b)
+        folded = F.when(low.rlike(r"[^\x{0}-\x{7f}]"), fold_rough(b)).otherwise(low)
+        return F.xxhash64(F.regexp_replace(F.replace(folded, F.col("name"), F.lit("@")), r"[0-9]+", "#"))
+
+    # blocks that may list links, with the keys of their parts
+    lists = F.filter("blocks", lambda b: b.rlike(LINKS_AT) & ~b.rlike(r"[.!?؟。！？।][\"”’»'“)\]]*$"))
+    parts = F.transform(lists, lambda b: F.struct(b.alias("b"), F.transform(F.split(b, LINKS_AT), node).alias("keys")))
+    keyed = cut(keyed.withColumn("keys", F.transform("blocks", node)).withColumn("parts", parts).drop("name"), "pages")
     sizes = keyed.groupBy("host").agg(F.count("*").alias("pages"))
     # a node that a page has several times is as many nodes: the first, the second ...
     filled = F.filter("keys", lambda k: k != F.xxhash64(F.lit("")))
@@ -194,20 +283,20 @@ def main_blocks(pages: DataFrame) -> DataFrame:
     template = cut(_templates(keyed, expected.where("df > 1").drop("df")), "templates")
     # on one page it may also be a heading that many hosts use, so only sentences are judged by it
     alike = cut(expected.where("df = 1").groupBy("host").agg(F.collect_set("key").alias("alike")), "alike")
+    # the labels that lists of links of a host are made of; at most (parts of an average page) / PART_SHARE
+    parted = keyed.where("size(parts) > 0").select("host", F.explode(F.array_distinct(F.flatten(F.transform("parts", lambda p: p["keys"])))).alias("key"))
+    linked = parted.groupBy("host", "key").agg(F.count("*").alias("df")).join(sizes, "host")
+    linked = cut(linked.where((F.col("df") >= PART_PAGES) & (F.col("df") >= PART_SHARE * F.col("pages"))).groupBy("host").agg(F.collect_set("key").alias("known")), "parts")
     # at most (blocks of an average page) / NOTICE_SHARE nodes are on so many pages
     n_pages = keyed.count()
     spread = overall.where((F.col("nth") == 1) & (F.col("all_df") >= max(NOTICE_PAGES, NOTICE_SHARE * n_pages)) & (F.col("hosts") >= NOTICE_HOSTS))
     notices = frozenset(r["key"] for r in spread.select("key").collect())
-    aligned = keyed.join(small(template), "host", "left").join(small(alike), "host", "left")
-    kinds = cut(aligned.select("row", "page_id", "blocks", "keys", "template", "title", "url", "alike").mapInArrow(_classify(notices), _PAGE), "kinds")
-
-    labels = kinds.select("row", "kinds", F.posexplode("kinds").alias("i", "kind"), "keys").where(F.col("kind") == LABEL)
-    labels = labels.select("row", "i", F.get("keys", F.col("i")).alias("key"), _neighbour(F.col("kinds"), F.col("i"), -1).alias("prev"), _neighbour(F.col("kinds"), F.col("i"), 1).alias("next"))
-    labels = cut(labels, "labels")
-    body = (PROSE, BULLET)
-    stats = labels.groupBy("key").agg(F.avg(F.col("next").isin(*body).cast("int")).alias("after"), F.avg(F.col("prev").isin(*body, TITLE, BYLINE, "").cast("int")).alias("before"))
-    heading = stats.where((F.col("after") > HEADING_NEXT) & (F.col("before") > HEADING_PREV)).select("key")
-    headings = labels.join(small(cut(heading, "headings")), "key").select("row", "i")
-    page_ids = kinds.select("row", "page_id")
-    text = kinds.select("page_id", F.posexplode("kinds").alias("i", "kind")).where(F.col("kind").isin(*body)).select("page_id", "i")
-    return text.unionByName(page_ids.join(headings, "row").select("page_id", "i")).select("page_id", (F.col("i") + 1).cast("int").alias("pos"))
+    aligned = keyed
+    for side in (template, alike, linked):
+        aligned = aligned.join(small(side), "host", "left")
+    judged = aligned.select("row", "page_id", "host", "blocks", "keys", "parts", "template", "title", "url", "alike", "known").mapInArrow(_classify(notices), _PAGE)
+    judged = cut(judged, "kinds")
+    labels = cut(judged.select("row", "host", F.explode("labels").alias("x")).select("row", "host", "x.*"), "labels")
+    found = cut(_headings(labels, sizes).unionByName(_long_labels(judged, labels)).distinct(), "found")
+    text = judged.select("page_id", F.explode("sure").alias("i"))
+    return text.unionByName(judged.select("row", "page_id").join(found, "row").select("page_id", "i")).select("page_id", (F.col("i") + 1).cast("int").alias("pos"))
