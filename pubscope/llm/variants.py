@@ -1,11 +1,16 @@
 """Variant spellings of names typed by people: noisy-channel attribution to canonical forms.
 
 A form is read into a *stem*: surname and first given name of a person, the folded words of a venue. Titles, notes,
-order, case, accents, subtitles, legal forms, usual abbreviations and nicknames are undone by the reading, each being a
-channel that costs nothing. What remains is the noise of typing, shortening to initials and dropping middle names. Stems
-are ranked by how often their forms occur in the register; frequent ones are the candidate canonical forms, and each
-variant is attached to the candidate with the highest posterior: prior (frequency) times likelihood (one slip of typing,
-an initial, a dropped middle name). Two stems whose differing words both stand in other stems too are two entities.
+order, case, accents and legal forms are undone by the reading. What remains is the noise: slips of typing, initials,
+dropped middle names, short names, abbreviated words, subtitles. Stems are ranked by how often their forms occur in the
+register; frequent ones are the candidate canonical forms, and each variant is attached to the candidate with the
+highest posterior: prior (what it would explain) times likelihood of the noise. A slip's likelihood depends on its kind
+and on the length of the name, since short names have real neighbours. Two stems whose differing words both stand in
+other stems too are two entities.
+
+Which short name stands for which name, and which abbreviation for which word, is learned from the register: names that
+share a beginning or an end and stand under the same surnames far more often than chance; a dotted word that begins
+another one (with or without its vowels) between the same other words. Short lists of irregular ones are the prior.
 
 All of this is done by equi-joins on keys (deletion signatures for slips, surname and initial for initials), so no
 group of namesakes is ever compared pair by pair.
@@ -20,94 +25,181 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pubscope.functions.names import PARTICLES
 from pubscope.functions.text import fold_py
-from pubscope.session import cut
-
-# Given names and the short forms in use for them.
-NICKNAMES = """
-alexander: alex sascha sasha xander lex
-alexandra: alex sascha sandra
-amina: mina
-anne-marie: annemie
-antonia: toni tonia
+from pubscope.session import cut, small
+
+# Short forms of given names in general use (English, German, Spanish, Italian, French, Slavic, Turkish)
+# that don't follow from their beginning or end alone.
+SHORT_NAMES = """
+alexander: sascha sasha xander sandy alex
+alexandra: sascha sasha sandra sandy alex
+alfred: fred freddy
+andrew: drew andy
+ann: nan nancy
+anthony: tony
+antonia: toni
 antonio: toni tonio
-benjamin: ben benny benni
-dorothea: dora thea dorle dorli doro
-edward: ed eddie ned ted ward
-elizabeth: liz beth eliza lisa lizzy betty bess
-francesca: franca cesca fran
-friedrich: fritz fred freddy
-gabriele: gabi gaby
-gunther: guenni gunni
-ibrahim: ibo ibra
-johannes: hannes jan hans jo
-josephine: josie jo jos
+barbara: babs barb
+bartholomew: bart
+benjamin: ben benny
+catherine: kate kitty cathy
+charles: charlie chuck chas
+christopher: kit chris topher
+christina: tina chris
+daniel: dan danny
+david: dave davy
+deborah: debbie
+dimitri: mitya dima
+dorothea: thea dora dorle
+dorothy: dot dolly dottie
+edward: ed eddie ned ted
+elisabeth: lisa liesl else elsa betty
+elizabeth: liz lizzie beth betty bess eliza lisa
+eugene: gene
+ferdinand: ferdi
+florence: flo flossie
+frances: fran fanny
+francesca: franca cesca
+francis: frank
+francisco: paco pancho
+franziska: franzi sissi
+frederick: fred freddie
+friedrich: fritz fred
+gerald: gerry jerry
+gertrude: trude trudy gerti
+giovanni: gianni nino
+giuseppe: beppe pino
+gottfried: friedel
+guillermo: memo
+gunther: gunni
+harold: harry hal
+heinrich: heinz heiner hinnerk
+helena: lena leni
+helene: lene leni
+henry: hank harry hal
+ibrahim: ibo
+ignacio: nacho
+ivan: vanya
+jacob: jake
+james: jim jimmy jamie
+johann: hans hannes
+johanna: hanna hanni
+johannes: hans hannes jan jo
+john: jack johnny jon
+jose: pepe
+josef: sepp jupp
+joseph: joe joey
+josephine: josie jo
 jurgen: jogi
-katharina: kathi kathe kati katja kat
-leonard: lenny leo len lennie
-margaret: maggie peggy meg marge
+karl: kalle
+katharina: kathi kati katja kat
+katherine: kate kathy kitty kay
+lawrence: larry
+leonard: len lenny leo
+ludwig: lutz
+magdalena: lena leni
+margaret: maggie meg peggy marge greta
+margarethe: grete greta gretel
+maria: mitzi mia
+martha: patty
+mary: molly polly
+matilda: tilly
+matthias: hias
 mehmet: memo
-michael: michi mike micha mick
-nikolaus: klaus niko nick nico claus
+michael: mike mick mickey misha
+mikhail: misha
+mohammed: mo
+natalia: natasha
+nicholas: nick
+nikolai: kolya
+nikolaus: klaus klaas nico niko
+patricia: pat patty trish
+patrick: pat paddy
+pavel: pasha
 penelope: penny
-richard: rick dick ricky richie
-robert: rob bob bobby robbie bert
+philip: phil pip
+rebecca: becky
+reginald: reg
+richard: dick rick ricky
+robert: bob bobby rob robbie
+rosalind: roz
+rudolf: rolf rudi
+salvatore: toto
 samuel: sam sammy
-susanna: susi sanna susie sue
-theodora: dora thea theda
-theodor: theo ted
+sarah: sally sadie
+sebastian: basti
+sergei: seryozha
+stephen: steve
+susan: sue susie
+susanna: sanna susi sue
+theodor: ted
+theodore: ted teddy
+theresa: tess terry
+therese: resi
 thomas: tom tommy
-tomasz: tom tomek
-ulrike: ulli uli rike
-victoria: vicky vicki tori
-viktoria: vicky vicki tori
-wilhelmina: mina minna willa
-william: bill will billy willy liam
-zacharias: zach zack
+tomasz: tomek
+ulrich: uli ulli
+ulrike: uli ulli rike
+victoria: vicky tori
+viktoria: vicky tori
+vladimir: volodya vova
+walter: walt
+wilhelm: willi willy helm
+wilhelmina: mina minna
+william: bill billy will willy liam
+zacharias: zach
 """
-# Usual abbreviations in names of journals and publishers.
-ABBREVIATIONS = """
-annals: ann
-archive: arch
-bulletin: bull
-editions: ed eds edns
-history: hist
-institute: inst
-journal: j jnl jour journ
-literary: lit
-press: pr
-publishers: publ pub publs
-quarterly: q quart qtly
-research: res
-review: rev revue
-society: soc
-studies: st stud
+# Usual abbreviations of title words that are no beginning of the word.
+SHORT_WORDS = """
+abteilung: abt
+associates: assocs
+bulletin: bltn
+department: dept
+editions: eds edns
+government: govt
+international: intl
+jahrbuch: jb jahrb
+journal: jnl jrnl
+limited: ltd
+monatsschrift: mschr
+monthly: mthly
+national: natl
+newsletter: nwsl
+proceedings: procs
+publications: pubs publs
+publishers: pubs publs
+quarterly: qtly qrtly
 university: univ uni
-verlag: vlg verl
-zeitschrift: zs ztschr zeitschr ztschrft
+verlag: vlg
+weekly: wkly
+zeitschrift: zs ztschr zschr
+zeitung: ztg
 """
 TITLES = frozenset("dr prof pd dipl ing mag phd hc habil sir dame med phil".split())
-PARTICLES = frozenset("af al av bin ben bint da das de del della den der di do dos du el ibn la le ten ter van von zu zum zur".split())
 _LEGAL = re.compile(r"[\s,]*\b(?:gmbh\s*&\s*co\.?\s*kg|gmbh|ltd|inc|s\.\s?a\.|llc|plc|ag|kg)(?![\w])\.?", re.I)
 _NOTE = re.compile(r"\s*[(\[][^)\]]*[)\]]|[\s,]*\b(?:et\.?\s?al\b\.?|u\.\s?a\.|and others\b)", re.I)
 _INVERTED = re.compile(r"^(.+),\s+(.+\s(?:of|of the|des|de|für|in|for))\s*[.,:]?$", re.I)
-_SUBTITLE = re.compile(r"\s*:.*$|(?<=\w\w)\.\s+(?=[A-ZÀ-Þ]\S*(?:\s+\S+){2,}$).*$")
+_SUBTITLE = re.compile(r"\s*:.*$")
+_BREAK = re.compile(r"(?<=\w\w)\.\s+(?=[A-ZÀ-Þ])")
+
+
+def _pairs_of(text: str) -> list[tuple[str, str]]:
+    return [(short, full) for line in text.split("\n") if line for full, _, rest in [line.partition(":")] for short in rest.split()]
 
-NICK: dict[str, list[str]] = {}
-for _line in NICKNAMES.split("\n"):
-    _full, _, _short = _line.partition(":")
-    for _n in _short.split():
-        NICK.setdefault(_n, []).append(_full)
-ABBR = {a: full for line in ABBREVIATIONS.split("\n") if line for full, _, short in [line.partition(":")] for a in short.split()}
 
-#: Stems shorter than this are too short to be told from slips of each other.
-LEAST_STEM = 7
+#: Likelihoods of slips, as shares of the likeliest: neighbours exchanged, a letter doubled, one too many or missing, another one.
+EXCHANGED, DOUBLED, EXTRA, OTHER = 1.0, 1.0, 0.7, 0.5
+#: A slip is likelier than another name if its likelihood times the letters of the name reaches this.
+SLIP_ODDS = 3.0
 #: How much likelier the best candidate must be than one of another entity.
 ODDS = 3
 #: A word is one of its own and no slip of a neighbour if so many stems have it, and more than this share of those that have the neighbour.
 OWN_STEMS, SLIP_SHARE = 3, 0.2
+#: A short name is learned if it stands with the full one under so many surnames, so many times as often as chance.
+SHORT_SURNAMES, SHORT_LIFT = 3, 5.0
 
-_READ = "name_id long, field string, n long, kind string, stems array<string>, s string, i string, mid string"
+_READ = "name_id long, field string, n long, kind string, stem string, words array<string>, heads array<int>, s string, i string, g string, mid string"
 
 
 def spelled(text: str) -> str:
@@ -124,8 +216,8 @@ def initials(token: str) -> bool:
     return bool(re.fullmatch(r"[^\W\d_]{1,3}", token)) and token.isupper()
 
 
-def read_person(form: str) -> tuple[str, list[str], str, str, str] | None:
-    """(kind, stems, surname, initial, middle initial) of a person's name; kind 'full', 'init' or 'bare'."""
+def read_person(form: str) -> tuple[str, str | None, str, str, str] | None:
+    """(kind, stem, surname, given name or its initial, middle initial) of a person's name; kind 'full', 'init' or 'bare'."""
     text = re.sub(r"[\s ]+", " ", _NOTE.sub("", form)).strip(" ,;")
     surname, comma, given = text.partition(",")
     if comma and initials(given.strip()):
@@ -146,85 +238,125 @@ def read_person(form: str) -> tuple[str, list[str], str, str, str] | None:
     if not s:
         return None
     if not g:
-        return "bare", [s], s, "", ""
+        return "bare", s, s, "", ""
     mid = g[1][0] if len(g) > 1 else ""
     if len(g[0]) == 1:
-        return "init", [], s, g[0], mid
-    first = g[0].replace("-", "")
-    fulls = NICK.get(g[0])
-    if fulls is None:
-        return "full", [f"{s}|{spelled(first)}"], s, first[0], mid
-    stems = [f"{s}|{spelled(x.replace('-', ''))}" for x in fulls]
-    return "full", stems if len(stems) == 1 else [*stems, f"{s}|{spelled(first)}"], s, stems[0][len(s) + 1], mid
+        return "init", None, s, g[0], mid
+    first = spelled(g[0].replace("-", ""))
+    return "full", f"{s}|{first}", s, first, mid
 
 
-def read_venue(form: str) -> tuple[str, list[str], str, str, str] | None:
-    """The stem of a journal or publisher: its folded words, run together."""
+def read_venue(form: str) -> tuple[list[str], list[int]] | None:
+    """The folded words of a journal or publisher, dotted ones with their point, and after how many words a subtitle may begin."""
     text = re.sub(r"[\s ]+", " ", form).strip()
     text = re.sub(r"\s*\((?:online|print)\)", "", text, flags=re.I)
     text = re.sub(r"(?<=[a-zà-ÿ])(?=[A-ZÀ-Þ])", " ", _LEGAL.sub(" ", text)).strip()
-    head = _SUBTITLE.sub("", text).strip(" ,.:;") if _SUBTITLE.sub("", text).strip(" ,.:;") else text
-    if text.endswith(".") and not head.endswith(".") and words_of(text)[-1:] == words_of(head + ".")[-1:]:
-        head += "."
-    half = head.split(", ")
+    text = _SUBTITLE.sub("", text) if _SUBTITLE.sub("", text).strip(" ,.:;") else text
+    half = text.split(", ")
     if len(half) > 1 and len(half) % 2 == 0:
         a, b = ", ".join(half[: len(half) // 2]), ", ".join(half[len(half) // 2 :])
         if fold_py(a).strip(".") == fold_py(b).strip("."):
-            head = a
-    if m := _INVERTED.match(head.strip(" ,.:;")):
-        head = f"{m.group(2)} {m.group(1)}"
-    head = re.sub(r"\bU\.\s?P\.|\bUP\b", "University Press", head)
-    out = []
-    for w in re.findall(r"[^\W_]+|&", fold_py(head.replace("-", " "))):
-        if w in ("the", "online"):
-            continue
-        out.append("&" if w in ("and", "und", "u", "et", "&") else ABBR.get(w, w))
-    # "Verlag X" is "X Verlag", "University Press of X" is "X University Press"
+            text = a
+    if m := _INVERTED.match(text.strip(" ,:;")):
+        text = f"{m.group(2)} {m.group(1)}"
+    text = re.sub(r"\bU\.\s?P\.|\bUP\b", "University Press", text)
+    words, heads = [], []
+    for k, piece in enumerate(_BREAK.split(text)):
+        if k:
+            heads.append(len(words))
+            if words:
+                words[-1] += "."
+        for w in re.findall(r"[^\W_]+\.?|&", fold_py(piece.replace("-", " "))):
+            if w.strip(".") not in ("the", "online"):
+                words.append("&" if w.strip(".") in ("and", "und", "u", "et", "&") else spelled(w))
+    return (words, [h for h in heads if 0 < h < len(words)]) if words else None
+
+
+def venue_stem(words: list[str]) -> tuple[str, str]:
+    """The stem of a venue's (whole) words, run together, and the words: "Verlag X" is "X Verlag", "University Press of X" is "X University Press"."""
+    out = [w.rstrip(".") for w in words]
     if len(out) > 1 and out[0] == "verlag":
         out = [*out[1:], out[0]]
     if out[:3] == ["university", "press", "of"] and len(out) > 3:
         out = [*out[3:], "university", "press"]
-    stem = spelled("".join(out))
-    return ("venue", [stem], " ".join(map(spelled, out)), "", "") if stem else None
+    return "".join(out), " ".join(out)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in _READ.split(", ")]
+    text, many = pa.string(), pa.list_(pa.string())
+    types = (pa.int64(), text, pa.int64(), text, text, many, pa.list_(pa.int32()), text, text, text, text)
     for b in batches:
         rows = []
         for name_id, field, form, n in zip(*(b.column(c).to_pylist() for c in range(4))):
-            got = read_person(form) if field == "author" else read_venue(form)
-            if got:
-                rows.append((name_id, field, n, *got))
-        cols = list(zip(*rows)) or [()] * 8
-        types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["name_id", "field", "n", "kind", "stems", "s", "i", "mid"])
+            if field == "author":
+                if got := read_person(form):
+                    kind, stem, s, g, mid = got
+                    rows.append((name_id, field, n, kind, stem and f"{field}:{stem}", None, None, s, g[:1], g, mid))
+            elif venue := read_venue(form):
+                rows.append((name_id, field, n, "venue", None, *venue, "", "", "", ""))
+        cols = list(zip(*rows)) or [()] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
 
-def one_slip(a: str, b: str) -> bool:
-    """Do the strings differ by one inserted, dropped or other character, or by two neighbours exchanged?"""
+def _stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for name_id, field, n, words, heads in zip(*(b.column(c).to_pylist() for c in range(5))):
+            stem, s = venue_stem(words)
+            rows.append((name_id, field, n, f"{field}:{stem}", s, [f"{field}:{venue_stem(words[:h])[0]}" for h in heads or ()]))
+        cols = list(zip(*rows)) or [()] * 6
+        types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["name_id", "field", "n", "stem", "s", "alt"])
+
+
+def slip(a: str, b: str) -> float:
+    """How likely one is the other with one slip of typing; 0 if it isn't: one character too many, missing or another, or two exchanged."""
     if a == b or abs(len(a) - len(b)) > 1:
-        return False
+        return 0.0
     k = 0
     while k < min(len(a), len(b)) and a[k] == b[k]:
         k += 1
     if len(a) == len(b):
-        return a[k + 1 :] == b[k + 1 :] or (a[k : k + 2] == b[k : k + 2][::-1] and a[k + 2 :] == b[k + 2 :])
-    return a[k + 1 :] == b[k:] if len(a) > len(b) else a[k:] == b[k + 1 :]
+        if a[k : k + 2] == b[k : k + 2][::-1] and a[k + 2 :] == b[k + 2 :]:
+            return EXCHANGED
+        return OTHER if a[k + 1 :] == b[k + 1 :] else 0.0
+    if len(a) < len(b):
+        a, b = b, a
+    if a[k + 1 :] != b[k:]:
+        return 0.0
+    return DOUBLED if k and a[k] == a[k - 1] else EXTRA
 
 
-def _near(keys: DataFrame, key: str) -> DataFrame:
-    """Pairs (x, y), both ways, of keys that are one slip apart: keys that share a text with one character dropped."""
+def one_slip(a: str, b: str) -> bool:
+    """Do the strings differ by one inserted, dropped or other character, or by two neighbours exchanged?"""
+    return slip(a, b) > 0
+
+
+def _near(keys: DataFrame, key: str, wanted: str | None = None) -> DataFrame:
+    """x, y, like: keys that are one slip apart and likelier so than two names, both ways (``wanted``: x only where this column is true, y where it is false).
+
+    Keys that share a text with one character dropped are candidates; such a text is shared by few keys.
+    """
     c = F.col(key)
     dropped = F.transform(F.sequence(F.lit(1), F.length(c)), lambda k: F.concat(F.substring(c, F.lit(1), k - 1), F.substr(c, k + 1)))
-    signs = keys.select(c.alias("x"), F.explode(F.array_distinct(F.concat(F.array(c), dropped))).alias("t")).select("x", F.xxhash64("t").alias("sign"))
-    other = signs.withColumnRenamed("x", "y")
-    return signs.join(other, "sign").where("x <> y").select("x", "y").distinct().mapInArrow(_keep_near, "x string, y string")
+    side = F.col(wanted) if wanted else F.lit(None).cast("boolean")
+    signs = keys.select(c.alias("x"), side.alias("side"), F.explode(F.array_distinct(F.concat(F.array(c), dropped))).alias("t")).select("x", "side", F.xxhash64("t").alias("sign"))
+    left, right = (signs.where("side"), signs.where("not side")) if wanted else (signs, signs)
+    both = left.select("x", "sign").join(right.select(F.col("x").alias("y"), "sign"), "sign").where("x <> y").select("x", "y").distinct()
+    return both.mapInArrow(_keep_near, "x string, y string, like double")
 
 
 def _keep_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keep = [one_slip(x, y) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-        yield b.filter(pa.array(keep, pa.bool_()))
+        xs, ys = b.column(0).to_pylist(), b.column(1).to_pylist()
+        like = []
+        for x, y in zip(xs, ys):
+            p = slip(x, y)
+            letters = sum(ch not in "|" for ch in x.partition(":")[2] or x)
+            like.append(p if p * letters >= SLIP_ODDS else 0.0)
+        out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(like, pa.float64())], names=["x", "y", "like"])
+        yield out.filter(pa.array([p > 0 for p in like], pa.bool_()))
 
 
 def _apart(near: DataFrame, placed: DataFrame) -> DataFrame:
@@ -252,7 +384,7 @@ def _apart(near: DataFrame, placed: DataFrame) -> DataFrame:
     two = cut(two.unionByName(two.select(F.col("y").alias("x"), F.col("x").alias("y"))), "apart")
     left = cut(near.join(two, ["x", "y"], "left_anti"), "left")
     around = two.join(left.select("x", F.col("y").alias("z")), "x").join(left.select(F.col("x").alias("y"), F.col("y").alias("z")), ["y", "z"])
-    return left.join(around.select(F.col("z").alias("y")).distinct(), "y", "left_anti").select("x", "y")
+    return left.join(around.select(F.col("z").alias("y")).distinct(), "y", "left_anti")
 
 
 def _roots(stems: DataFrame, parents: DataFrame) -> DataFrame:
@@ -271,6 +403,79 @@ def _only(c: str) -> Column:
     return F.when(F.min(c) == F.max(c), F.min(c))
 
 
+def _whole_words(venues: DataFrame) -> DataFrame:
+    """Venues with their abbreviated words written out: name_id, field, n, words, heads.
+
+    An abbreviation is a word that stands dotted more often than not, or a listed one. It is the word at the same place of a venue that
+    is the same otherwise; failing that, what it is most often beside the same neighbour, then at the same end, then anywhere; in doubt it stays.
+    """
+    words = F.transform("words", lambda w: F.rtrim(w, F.lit(".")))
+    rest = F.concat_ws(" ", F.filter(words, lambda w, k: k != F.col("k")))
+    tok = venues.select("name_id", "field", "words", F.posexplode("words").alias("k", "w")).select(
+        "name_id", "field", "k", F.rtrim(F.col("w"), F.lit(".")).alias("w"), F.col("w").endswith(".").alias("dotted"),
+        F.xxhash64("field", "k", rest).alias("ctx"), F.coalesce(F.get(words, F.col("k") + 1), F.get(words, F.col("k") - 1), F.lit("")).alias("by"),
+        F.when(F.col("k") == 0, "first").when(F.col("k") == F.size("words") - 1, "last").otherwise("inside").alias("place"),
+    )
+    tok = cut(tok, "tokens")
+    vocab = tok.groupBy("field", "w").agg(F.count_if("dotted").alias("nd"), F.count("*").alias("n"))
+    listed = venues.sparkSession.createDataFrame([(spelled(a), spelled(w)) for a, w in _pairs_of(SHORT_WORDS)], "a string, w string")
+    vocab = cut(vocab.join(F.broadcast(listed.select(F.col("a").alias("w"), F.lit(True).alias("listed")).distinct()), "w", "left"), "words")
+    short = cut(vocab.where("(nd * 2 >= n or listed) and w <> '&'").select("field", F.col("w").alias("a")), "short")
+    full = vocab.where("nd * 2 < n and listed is null and length(w) > 2").select("field", "w")
+    bones = F.concat(F.left("w", F.lit(1)), F.regexp_replace(F.substr("w", F.lit(2)), "[aeiou]", ""))
+    starts = lambda c, least: F.transform(F.sequence(F.lit(least), F.greatest(F.length(c), F.lit(least))), lambda k: F.left(c, k))
+    begun = full.select("field", "w", F.explode(F.array_distinct(F.concat(starts(F.col("w"), 1), starts(bones, 2)))).alias("a")).where("length(a) < length(w)")
+    listed = full.join(F.broadcast(listed), "w").select("field", "w", "a")
+    means = cut(begun.unionByName(listed).distinct().join(short, ["field", "a"]), "means")
+    dotted = tok.join(short.withColumnRenamed("a", "w"), ["field", "w"], "left_semi")
+    open_ = cut(dotted.withColumnRenamed("w", "a").join(means, ["field", "a"]), "open")
+    written = tok.join(means.select("field", "w").distinct(), ["field", "w"], "left_semi").select("ctx", "w").distinct()
+    hits = cut(open_.join(written, ["ctx", "w"]), "hits")
+    here = hits.groupBy("name_id", "k").agg(_only("w").alias("here"))
+
+    def most(*keys: str) -> DataFrame:
+        seen = hits.groupBy(*keys, "w").agg(F.countDistinct("ctx").cast("double").alias("n"))
+        if keys == ("field", "a", "place"):  # without any such venue, the words that stand there
+            there = tok.groupBy("field", "place", "w").agg((F.count("*") / 1e6).alias("n")).join(means, ["field", "w"])
+            seen = seen.unionByName(there.select(*keys, "w", "n")).groupBy(*keys, "w").agg(F.sum("n").alias("n"))
+        if keys == ("field", "a"):  # the list is worth half an occurrence
+            seen = seen.unionByName(listed.join(short, ["field", "a"]).select("field", "a", "w", F.lit(0.5).alias("n"))).groupBy(*keys, "w").agg(F.sum("n").alias("n"))
+        top = seen.groupBy(*keys).agg(F.max(F.struct("n", "w")).alias("top"), F.sum("n").alias("all"))
+        return top.where(F.col("top.n") >= ODDS * (F.col("all") - F.col("top.n"))).select(*keys, F.col("top.w").alias("most_" + keys[-1]))
+
+    asked = dotted.withColumnRenamed("w", "a").select("name_id", "field", "k", "a", "by", "place")
+    told = asked.join(here, ["name_id", "k"], "left").join(most("field", "a", "by"), ["field", "a", "by"], "left").join(most("field", "a", "place"), ["field", "a", "place"], "left").join(small(cut(most("field", "a"), "most")), ["field", "a"], "left")
+    told = told.select("name_id", "k", F.coalesce("here", "most_by", "most_place", "most_a").alias("to")).where("to is not null").groupBy("name_id").agg(F.collect_list(F.struct("k", "to")).alias("to"))
+    put = F.transform("words", lambda w, k: F.coalesce(F.get(F.filter("to", lambda t: t["k"] == k), F.lit(0))["to"], w))
+    return venues.join(told, "name_id", "left").select("name_id", "field", "n", F.when(F.col("to").isNull(), F.col("words")).otherwise(put).alias("words"), "heads")
+
+
+def _short_names(full: DataFrame) -> DataFrame:
+    """short, g: which given names short ones may stand for, from the list and from the register.
+
+    ``full``: s, g (surname and given name). A short name begins or ends the full one, but for a diminutive ending. Its
+    pairs are formed under a surname by equal beginnings and ends, never by comparing all names of a surname.
+    """
+    spark = full.sparkSession
+    names = cut(full.select("s", "g").distinct(), "given")
+    per = names.groupBy("g").agg(F.count("*").alias("n"))
+    surnames = names.select("s").distinct().count()
+    length = F.length("g")
+    pieces = F.concat(F.transform(F.sequence(F.lit(2), F.greatest(length - 2, F.lit(2))), lambda k: F.concat(F.lit("^"), F.left("g", k))), F.transform(F.sequence(F.lit(3), F.greatest(length - 1, F.lit(3))), lambda k: F.concat(F.right("g", k), F.lit("$"))))
+    whole = names.where("length(g) >= 4").select("s", "g", F.explode(pieces).alias("t"))
+    base = F.regexp_replace("g", "(?:ie|chen|lein|[aeiouy])$", "")
+    asked = names.where("length(g) <= 7").select("s", F.col("g").alias("short"), F.explode(F.array_distinct(F.array(F.concat(F.lit("^"), "g"), F.concat(F.lit("^"), base), F.concat("g", F.lit("$"))))).alias("t"))
+    met = asked.join(whole, ["s", "t"]).where("length(short) < length(g)").select("s", "short", "g").distinct().groupBy("short", "g").agg(F.count("*").alias("both")).where(F.col("both") >= SHORT_SURNAMES)
+    met = met.join(per.select(F.col("g").alias("short"), F.col("n").alias("n1")), "short").join(per.select("g", F.col("n").alias("n2")), "g")
+    learned = met.where(F.col("both") * F.lit(surnames) >= SHORT_LIFT * F.col("n1") * F.col("n2")).select("short", "g")
+    listed = spark.createDataFrame([(spelled(a), spelled(b)) for a, b in _pairs_of(SHORT_NAMES)], "short string, g string")
+    both = cut(learned.unionByName(listed).distinct(), "short names")
+    # of "leo: lenny", "leo: leonard" and "lenny: leonard", the first says no more than the others
+    x, y, z = (both.select(F.col("short").alias(a), F.col("g").alias(b)) for a, b in (("p", "q"), ("q", "r"), ("p", "r")))
+    over = x.join(y, "q").join(z, ["p", "r"]).select(F.col("p").alias("short"), F.col("q").alias("g")).distinct()
+    return cut(both.join(over, ["short", "g"], "left_anti"), "short names")
+
+
 def link_variants(forms: DataFrame, counts: DataFrame) -> DataFrame:
     """The entity of each form: name_id, field, entity (a text that all forms of an entity share).
 
@@ -283,32 +488,46 @@ def link_variants(forms: DataFrame, counts: DataFrame) -> DataFrame:
     known = rows.join(prior, ["field", "form"], "left").select(F.col("name_id").cast("bigint").alias("name_id"), "field", "form", F.coalesce("n", F.lit(0)).alias("n"))
     read = cut(known.mapInArrow(_read, _READ).distinct(), "read")
 
-    # stems of full names and venues; a nickname of several names stands for the one that its surname has
-    full = read.where("kind in ('full', 'venue', 'bare')").withColumn("stems", F.transform("stems", lambda x: F.concat(F.col("field"), F.lit(":"), x)))
-    sure = full.where("size(stems) = 1").withColumn("stem", F.col("stems")[0])
-    exists = sure.select("stem").distinct()
-    open_ = full.where("size(stems) > 1")
-    options = open_.select("name_id", F.explode(F.slice("stems", 1, F.size("stems") - 1)).alias("stem")).join(exists, "stem", "left_semi")
-    chosen = options.groupBy("name_id").agg(F.count("*").alias("fits"), F.min("stem").alias("stem"))
-    nick = open_.join(chosen, "name_id", "left").where("fits is null or fits = 1").withColumn("stem", F.coalesce("stem", F.element_at("stems", -1))).drop("fits")
-    placed = cut(sure.unionByName(nick).drop("stems"), "placed")
+    venues = read.where("kind = 'venue'").select("name_id", "field", "n", "words", "heads")
+    venues = cut(_whole_words(venues).mapInArrow(_stems, "name_id long, field string, n long, stem string, s string, alt array<string>"), "venues")
+    persons = read.where("kind in ('full', 'bare')").select("name_id", "field", "n", "kind", "stem", "s", "i", "g", "mid")
+    placed = cut(persons.unionByName(venues.select("name_id", "field", "n", F.lit("venue").alias("kind"), "stem", "s", *[F.lit("").alias(c) for c in ("i", "g", "mid")])), "placed")
 
     # slips: every stem and its likelier neighbours
     stems = cut(placed.groupBy("stem").agg(F.sum("n").alias("n"), F.count("*").alias("forms")), "stems")
-    long = stems.where(F.length("stem") - F.instr("stem", ":") >= LEAST_STEM)
-    near = cut(_apart(cut(_near(long.select("stem"), "stem"), "slips"), placed), "near")
+    near = cut(_apart(cut(_near(stems.select("stem"), "stem"), "slips"), placed), "near")
     # the prior of a candidate is what it would explain: its own occurrences and those of its neighbours
     weight = F.col("n") + F.col("forms")
-    explained = near.join(stems.select(F.col("stem").alias("y"), weight.alias("w")), "y").groupBy(F.col("x").alias("stem")).agg(F.sum("w").alias("around"))
+    explained = near.join(stems.select(F.col("stem").alias("y"), weight.alias("w")), "y").groupBy(F.col("x").alias("stem")).agg(F.sum(F.col("like") * F.col("w")).alias("around"))
     mass = cut(explained.join(stems, "stem").select("stem", (F.col("around") + weight).alias("n"), weight.alias("own")), "mass")
     rank = lambda: F.struct("n", "own", "stem")
     ranked = near.join(mass.select(F.col("stem").alias("x"), rank().alias("rx")), "x").join(mass.select(F.col("stem").alias("y"), rank().alias("ry")), "y").where("ry > rx")
-    best = cut(ranked.groupBy(F.col("x").alias("stem")).agg(F.max("ry").alias("best"), F.collect_set("ry").alias("all")), "slips")
+    # the posterior: prior times likelihood of the slip
+    post = F.struct((F.col("ry.n") * F.col("like")).alias("p"), F.col("ry.own").alias("own"), F.col("ry.stem").alias("stem"))
+    best = cut(ranked.select(F.col("x").alias("stem"), post.alias("c")).groupBy("stem").agg(F.max("c").alias("best"), F.collect_set("c").alias("all")), "slips")
     roots = _roots(stems.select("stem"), best.select("stem", F.col("best.stem").alias("parent")))
     # a stem whose candidates belong to different entities, none of them clearly likelier, belongs to neither
-    rivals = best.select("stem", "best", F.explode("all").alias("c")).where(F.col("c.n") * ODDS >= F.col("best.n"))
+    rivals = best.select("stem", "best", F.explode("all").alias("c")).where(F.col("c.p") * ODDS >= F.col("best.p"))
     torn = rivals.join(roots.select(F.col("stem").alias("cs"), F.col("root").alias("cr")), F.col("c.stem") == F.col("cs")).groupBy("stem").agg(F.min("cr").alias("a"), F.max("cr").alias("b")).where("a <> b").select("stem")
-    rooted = placed.join(roots, "stem").join(torn, "stem", "left_anti")
+
+    # other readings of a stem, where the register has them: the full name of a short one, the title before a subtitle
+    full = persons.where("kind = 'full'")
+    fuller = full.select("field", "stem", "s", F.col("g").alias("short")).distinct().join(small(_short_names(full)), "short")
+    fuller = fuller.select("stem", F.concat("field", F.lit(":"), "s", F.lit("|"), "g").alias("alt"))
+    heads = venues.select("stem", F.explode("alt").alias("alt")).distinct()
+    readings = cut(fuller.unionByName(heads).where("stem <> alt"), "readings")
+    exact = readings.join(roots.select(F.col("stem").alias("alt"), "root"), "alt").select("stem", "root")
+    # with a slip, only where none is there as written
+    lost = readings.join(exact.select("stem").distinct(), "stem", "left_anti")
+    slipped = _near(lost.select("alt").distinct().withColumn("asked", F.lit(True)).unionByName(stems.select(F.col("stem").alias("alt"), F.lit(False).alias("asked"))), "alt", "asked")
+    meant = lost.join(slipped.select(F.col("x").alias("alt"), "y"), "alt").join(roots.select(F.col("stem").alias("y"), "root"), "y").select("stem", "root")
+    read_as = cut(exact.unionByName(meant).where("stem <> root").groupBy("stem").agg(_only("root").alias("as"), F.lit(True).alias("asked")), "read as")
+    # a stem goes where its own reading leads, else where that of its root does; one of several readings goes nowhere
+    of_root = read_as.select(F.col("stem").alias("root"), F.col("as").alias("as_root"), F.col("asked").alias("asked_root"))
+    to = roots.join(read_as, "stem", "left").join(of_root, "root", "left")
+    to = to.select("stem", F.when(F.col("asked"), F.col("as")).when(F.col("asked_root"), F.col("as_root")).otherwise(F.col("root")).alias("root"))
+    to = to.join(of_root, "root", "left").select("stem", F.coalesce("as_root", "root").alias("root"))
+    rooted = placed.join(to.where("root is not null"), "stem").join(torn, "stem", "left_anti")
 
     # middle initials: one per entity; with several, a form without one fits them all
     middles = rooted.where("mid <> ''").groupBy("root").agg(F.min("mid").alias("m1"), F.max("mid").alias("m2"))
@@ -324,10 +543,10 @@ def link_variants(forms: DataFrame, counts: DataFrame) -> DataFrame:
     init = read.where("kind = 'init'").select("name_id", "field", "s", "i", "mid")
     heads = init.select("s", "i").distinct()
     # surnames with a slip: only where the surname as written has nobody under this initial
-    lost = heads.join(under, ["s", "i"], "left_anti").where(F.length("s") >= LEAST_STEM - 1).select(F.concat("s", F.lit("|"), "i").alias("k"))
+    lost = heads.join(under, ["s", "i"], "left_anti").select(F.concat("s", F.lit("|"), "i").alias("k"))
     there = under.select(F.concat("s", F.lit("|"), "i").alias("k")).distinct()
-    slip = _near(lost.unionByName(there), "k").join(lost.withColumnRenamed("k", "x"), "x", "left_semi").join(there.withColumnRenamed("k", "y"), "y", "left_semi")
-    moved = slip.groupBy("x").agg(_only("y").alias("y")).where("y is not null")
+    slips = _near(lost.withColumn("asked", F.lit(True)).unionByName(there.withColumn("asked", F.lit(False))), "k", "asked")
+    moved = slips.groupBy("x").agg(_only("y").alias("y")).where("y is not null")
     key = F.concat("s", F.lit("|"), "i")
     at = init.withColumn("x", key).join(moved, "x", "left").withColumn("k", F.coalesce("y", "x")).drop("x", "y")
     # initials with a middle initial that no full name has stand for a person of their own
@@ -342,8 +561,15 @@ def link_variants(forms: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def variant_pairs(links: DataFrame) -> DataFrame:
-    """All pairs of forms of one entity: name_id_a < name_id_b."""
-    groups = links.groupBy("field", "entity").agg(F.array_sort(F.collect_set("name_id")).alias("ids")).where("size(ids) > 1")
-    first = groups.select("ids", F.posexplode("ids").alias("k", "name_id_a"))
-    rest = F.slice("ids", F.col("k") + 2, F.greatest(F.size("ids") - F.col("k") - 1, F.lit(0)))
-    return first.select("name_id_a", F.explode(rest).alias("name_id_b"))
+    """All pairs of forms of one entity: name_id_a < name_id_b.
+
+    Pairs come from a join of the members with themselves, so the pairs of a large entity are spread over the tasks of
+    its first members: its rows are salted by id on the one side and repeated per salt on the other.
+    """
+    salts = 16
+    member = cut(links.select(F.xxhash64("field", "entity").alias("e"), F.xxhash64("entity", "field").alias("f"), "name_id").distinct(), "members")
+    sizes = member.groupBy("e", "f").agg(F.count("*").alias("n")).where("n > 1").select("e", "f", F.when(F.col("n") > 1000, F.lit(salts)).otherwise(F.lit(1)).alias("salts"))
+    sized = member.join(sizes, ["e", "f"])
+    a = sized.select("e", "f", F.col("name_id").alias("name_id_a"), F.pmod(F.xxhash64("name_id"), F.col("salts")).cast("int").alias("salt"))
+    b = sized.select("e", "f", F.col("name_id").alias("name_id_b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return a.join(b, ["e", "f", "salt"]).where("name_id_a < name_id_b").select("name_id_a", "name_id_b")

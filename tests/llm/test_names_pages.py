@@ -244,3 +244,38 @@ def test_short_and_long_blocks_of_the_body(spark):
     df = spark.createDataFrame([r[:5] for r in pages], "page_id long, url string, unit string, title string, paragraphs array<string>")
     got = [pages[5][4][p - 1] for p in sorted(r["pos"] for r in bp.main_blocks(df).collect() if r["page_id"] == 6)]
     assert got == [P[6], long, "It works.", P[7]]
+
+
+def linked(spark, rows, n=3):
+    df = spark.createDataFrame([(k, f, x) for k, (f, x) in enumerate(rows)], "name_id long, field string, form string")
+    counts = spark.createDataFrame([(f, x, n) for f, x in rows], "field string, form string, n long")
+    return {(rows[r["name_id_a"]][1], rows[r["name_id_b"]][1]) for r in va.variant_pairs(va.link_variants(df, counts)).collect()}
+
+
+def test_abbreviated_journals_that_begin_alike_are_apart(spark):
+    journals = ["Int. J. of Fish Biology Studies", "Int. J. of Modern Physics", "Trans. Royal Soc. Edinburgh", "Trans. Amer. Math. Soc."]
+    assert linked(spark, [("journal", x) for x in journals]) == set()
+
+
+def test_abbreviations_are_learned_from_the_register(spark):
+    rows = [("journal", x) for x in ("Proceedings of Tavaro", "Proc. of Tavaro", "Proceedings of Welimo Letters", "Proc. of Welimo Lett.", "Tavaro Lett.", "Tavaro Letters", "Tavaro Letters. Studies in Old Ways")]
+    got = linked(spark, rows)
+    want = [{rows[0][1], rows[1][1]}, {rows[2][1], rows[3][1]}, {rows[4][1], rows[5][1]}, {rows[4][1], rows[6][1]}, {rows[5][1], rows[6][1]}]
+    assert {frozenset(p) for p in got} == {frozenset(w) for w in want}
+
+
+def test_short_names(spark):
+    rows = [("author", x) for x in ("Smith, James", "Jim Smith", "Jones, Joseph", "Jones, Joe", "Brown, Charles", "Charlie Brown", "Green, David", "Dave Green", "Jan Gray", "Black, Elizabeth", "Black, Elisabeth", "Black, Betty")]
+    got = linked(spark, rows)
+    for a, b in (("Smith, James", "Jim Smith"), ("Jones, Joseph", "Jones, Joe"), ("Brown, Charles", "Charlie Brown"), ("Green, David", "Dave Green")):
+        assert (a, b) in got
+    assert not any("Jan Gray" in p for p in got)
+
+
+def test_short_names_are_learned_under_surnames(spark):
+    rows = [("author", f"{s}, {g}") for s in ("Abano", "Bolero", "Cirano", "Dolano") for g in ("Wulfhard", "Wulfi")] + [("author", f"{s}, {g}") for s in ("Ebano", "Falero", "Girano", "Holano", "Ilano", "Kumano", "Lirato", "Mopaso", "Nugaro", "Opisto", "Palimo", "Quisto", "Rilamo", "Solato", "Tibaro", "Ulmaso", "Vertigo", "Wolano") for g in ("Odo",)]
+    assert {f"{s}, Wulfhard" for s in ("Abano", "Bolero", "Cirano", "Dolano")} <= {x for p in linked(spark, rows) for x in p}
+
+
+def test_short_stems(spark):
+    assert linked(spark, [("author", x) for x in ("Li, Wei", "Li, Wie", "Li, Wen", "Li, Jun")]) == {("Li, Wei", "Li, Wie")}
