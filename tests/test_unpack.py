@@ -55,3 +55,53 @@ def test_very_long_cell(spark):
 @pytest.mark.parametrize("cell", ['He said "x" once', 'unclosed "quote; next', '["not json'])
 def test_odd_quotes_do_not_break(cell):
     assert read_cell(cell)
+
+
+def test_a_body_with_many_delimiters_stays_whole(spark):
+    body = "Institute of Art, Music, Film, Theatre, Dance, Law, History and Religion"
+    rows = [(i, f"{c}oda, Mira; {c}ele, Jan") for i, c in enumerate("BCDFGHJKLM")] + [(50 + i, f"“{body}”") for i in range(5)] + [(90, body), (91, f"{body}, Mira Boda and Jan Cele")]
+    got = {}
+    for r in unpack(spark.createDataFrame(rows, "id long, cell string"), "id", "cell", "v").where("id >= 90").collect():
+        got.setdefault(r["id"], {})[r["pos"]] = r["v"]
+    assert got == {90: {1: body}, 91: {1: body, 2: "Mira Boda", 3: "Jan Cele"}}
+
+
+def test_a_cell_of_fifty_delimiters(spark):
+    names = [f"{a}{b}ora {c}elin" for a in "BDFGK" for b in "aeiou" for c in "MN"]
+    got = unpack(spark.createDataFrame([(1, ", ".join(names[:-1]) + " and " + names[-1])] + [(2 + k, n) for k, n in enumerate(names[:9])], "id long, cell string"), "id", "cell", "v").where("id = 1").collect()
+    assert [r["v"] for r in sorted(got, key=lambda r: r["pos"])] == names
+
+
+def test_lattices_against_brute_force():
+    import math
+    from itertools import combinations
+
+    from pubscope.operators import unpack as un
+
+    model = un.Model({"s:C C": 40.0, "s:C , C": 30.0, "s:C w C & C": 9.0, "d:,:1": 20.0, "d:,:0": 15.0})
+    parts = ["Ada Bo, Cy Do and Eva Fo", "Ada, Bo, Cy, Do", "House of Art and Law, Ada Bo / Cy Do"]
+    lat = un.Lattices(parts)
+    seen = lat.off[-1] * [0.0]
+    import numpy as np
+
+    hashes = lat.hashes()
+    for m, rows, cut_at, weights, _ in lat.weights(model, np.array(seen)):
+        e, like = un.forward_backward(m, cut_at, weights)
+        start = un.viterbi(m, cut_at, weights)
+        for a, r in enumerate(rows):
+            words, between, _ = lat.read[r]
+            ways = []
+            for k in range(m):
+                for cuts in combinations(range(1, m), k):
+                    at = [0, *cuts, m]
+                    ways.append((sum(weights[i][a, j - i - 1] + cut_at[a, j] for i, j in zip(at, at[1:])), at))
+            total = math.log(sum(math.exp(w) for w, _ in ways))
+            assert abs(total - like[a]) < 1e-9
+            for i in range(m):
+                for j in range(i, m):
+                    share = sum(math.exp(w - total) for w, at in ways if (i, j + 1) in list(zip(at, at[1:])))
+                    assert abs(share - e[i][a, j - i]) < 1e-9
+            best = max(ways)[1]
+            want = [un.tidy("".join(w + (between[k] if k + 1 < j else "") for k, w in enumerate(words[i:j], i))) for i, j in zip(best, best[1:])]
+            assert un.segment(words, between, start[a]) == want
+            assert hashes[lat.off[r]] == un.hash_of(words[0])
