@@ -32,6 +32,7 @@ ROLES = r"(?:eds?|hgg?|hrsg|hgs|hgb|dir|dirs|éds?|coord|coords|trans|transl|tra
 _NOTE = re.compile(rf"\s*[(\[]\s*{ROLES}\.?\s*[)\]]", re.I)
 _OTHERS = re.compile(r"[\s,]*(?:\bet\.?\s?al\b\.?|\bu\.\s?a\.|\bu\.\s?v\.\s?a\.|\b(?:and|und|et|&)\s+(?:others?|andere|autres|al\.?)\b|\ba\.\s?o\.|…|\.\.\.)[\s,]*$", re.I)
 _ROLE_END = re.compile(r",\s*(?:eds?|hgg?|hrsg)\.?\s*$", re.I)
+_OTHERS_HINT, _ROLE_HINT = ("al", "a.", "andere", "autres", "other", "o.", "…", "..."), ("ed", "hg", "hrsg")
 # Delimiters that always separate outside of quotes, and those that may.
 _STRONG = re.compile(r"[;；؛、|•·\n\r\t\x85  ]+|//+|(?:^|(?<=\s))\(\d{1,3}\)|(?:^|(?<=\s))\d{1,3}[.)](?=\s)")
 _WEAK = re.compile(r"\s*,\s*(?:(?:and|und|et|&)\s+)?|\s+(?:and|und|et|&)\s+|\s*/\s*|\s*&\s*")
@@ -65,7 +66,14 @@ def bare(text: str) -> str:
     before = None
     while text != before:
         before = text
-        text = _ROLE_END.sub("", _OTHERS.sub("", _NOTE.sub("", text)))
+        # what a pattern can't do without is looked for first
+        if "(" in text or "[" in text:
+            text = _NOTE.sub("", text)
+        end = text[-24:].lower()
+        if any(x in end for x in _OTHERS_HINT):
+            text = _OTHERS.sub("", text)
+        if any(x in end for x in _ROLE_HINT):
+            text = _ROLE_END.sub("", text)
         text = _TAIL.sub("", _LEAD.sub("", text)).strip()
     return text
 
@@ -92,7 +100,7 @@ def read_cell(cell: str | None) -> list[tuple[bool, str]]:
         held.append(inner)
         return f"{len(held) - 1}"
 
-    masked = _QUOTED.sub(hold, cell)
+    masked = _QUOTED.sub(hold, cell) if any(q in cell for q in '"“„«') else cell
     out: list[tuple[bool, str]] = []
 
     def plain(text: str) -> None:
