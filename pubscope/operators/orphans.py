@@ -7,16 +7,19 @@ are *inherited* orphans, level by level until nothing new is found.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pubscope.functions.text import present, slug_key
-from pubscope.session import BROADCAST_ROWS, cut, cut_counted, small
+from pubscope.session import BROADCAST_ROWS, checkpoint_root, cut, small
 
 FOREVER = "9999-12-31 23:59:59"
+#: Seconds of a key's time line that one task sorts.
+SLICE = 600
 
 
 def _ntz(c: Column) -> Column:
@@ -26,33 +29,49 @@ def _ntz(c: Column) -> Column:
 def covered_at(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
     """``points`` with a column ``covered``: does some span of the same key start at or before ``at`` and end after it?
 
-    Instead of joining every point with every span of its key, both sides are put on one time line. The latest end
-    among the spans begun so far is a running maximum, taken in two levels: within a (key, day) and over the days of a
-    key. So a hot key is spread over its days, and no task holds more than one day of it. Open spans have a null
-    ``end``; spans without key or start never cover; points without key or time are not covered.
+    Instead of joining every point with every span of its key, both are put on one time line: the distinct times of the
+    points and the starts of the spans, combined before they are shuffled. The latest end among the spans begun so far
+    is a running maximum, taken in two levels: within ten minutes of a key, and over the ten minutes of a key. So a hot
+    key is spread over its time line, a hot moment is one row, and no task holds more than ten minutes of a key or one
+    row per ten minutes. Open spans have a null ``end``; spans without key or start never cover; points without key or
+    time are not covered.
     """
     cols = points.columns
-    p = points.select(F.struct(*cols).alias("_p"), F.col(key).alias("_k"), _ntz(F.col(at)).alias("_t"))
+    p = points.select(*cols, F.col(key).alias("_k"), _ntz(F.col(at)).alias("_t"))
     usable = F.col("_k").isNotNull() & F.col("_t").isNotNull()
-    s = (
-        spans.select(F.col(key).alias("_k"), _ntz(F.col(start)).alias("_t"), F.coalesce(_ntz(F.col(end)), _ntz(F.lit(FOREVER))).alias("_e"))
-        .where(usable)
-        .groupBy("_k", "_t")
-        .agg(F.max("_e").alias("_e"))  # spans begun together count as the longest; combines before the shuffle
+    none = F.lit(None).cast("timestamp_ntz")
+    times = p.where(usable).select("_k", "_t", none.alias("_e"), F.lit(True).alias("_p"))
+    begun = spans.select(F.col(key).alias("_k"), _ntz(F.col(start)).alias("_t"), F.coalesce(_ntz(F.col(end)), _ntz(F.lit(FOREVER))).alias("_e"), F.lit(False).alias("_p")).where(usable)
+    line = times.unionByName(begun).groupBy("_k", "_t").agg(F.max("_e").alias("_e"), F.max("_p").alias("_p"))
+    line = line.withColumn("_s", F.floor(F.unix_seconds(F.col("_t").cast("timestamp")) / SLICE))
+    slices = line.where("_e is not null").groupBy("_k", "_s").agg(F.max("_e").alias("_m"))
+    asked = line.where("_p").groupBy("_k", "_s").agg(F.lit(None).cast("timestamp_ntz").alias("_m"))
+    both = slices.unionByName(asked).groupBy("_k", "_s").agg(F.max("_m").alias("_m"))
+    before = both.select("_k", "_s", F.max("_m").over(W.partitionBy("_k").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)).alias("_b"))
+    inside = W.partitionBy("_k", "_s").orderBy("_t").rowsBetween(W.unboundedPreceding, W.currentRow)
+    hit = line.withColumn("_r", F.max("_e").over(inside)).where("_p").join(before, ["_k", "_s"], "left").where(F.greatest("_r", "_b") > F.col("_t")).select("_k", "_t", F.lit(True).alias("covered"))
+    return p.join(hit, ["_k", "_t"], "left").select(*cols, F.coalesce("covered", F.lit(False)).alias("covered"))
+
+
+def _edges(refs: dict[str, DataFrame], register: DataFrame) -> DataFrame:
+    """The references once each: ref_table, ref_id, from_slug, target, listed_at, covered (is the target in the register then?)."""
+    rows = reduce(
+        DataFrame.unionByName,
+        [df.select(F.lit(name).alias("ref_table"), F.col("ref_id").cast("bigint").alias("ref_id"), "from_slug", "slug", "listed_at") for name, df in refs.items()],
     )
-    line = (
-        p.where(usable).select("_k", "_t", F.lit(None).cast("timestamp_ntz").alias("_e"), "_p").unionByName(s.withColumn("_p", F.lit(None).cast(p.schema["_p"].dataType)))
-    ).withColumn("_d", F.to_date("_t"))
-    by_day = line.groupBy("_k", "_d").agg(F.max("_e").alias("_m"))
-    before = by_day.select("_k", "_d", F.max("_m").over(W.partitionBy("_k").orderBy("_d").rowsBetween(W.unboundedPreceding, -1)).alias("_b"))
-    day = W.partitionBy("_k", "_d").orderBy("_t", F.col("_p").isNotNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    hit = (
-        line.withColumn("_r", F.max("_e").over(day))
-        .where(F.col("_p").isNotNull())
-        .join(before, ["_k", "_d"], "left")
-        .select("_p.*", F.coalesce(F.greatest("_r", "_b") > F.col("_t"), F.lit(False)).alias("covered"))
+    once = (
+        rows.where(present(F.col("slug")).isNotNull())
+        .groupBy("ref_table", "ref_id")
+        .agg(F.min(F.struct("slug", "listed_at", "from_slug")).alias("r"))
+        .select("ref_table", "ref_id", F.lower(F.trim("r.from_slug")).alias("from_slug"), slug_key(F.col("r.slug")).alias("target"), "r.listed_at")
     )
-    return hit.unionByName(p.where(~usable).select("_p.*", F.lit(False).alias("covered")))
+    spans = register.select(F.lower(F.trim("slug")).alias("target"), "harvested_at", "withdrawn_at")
+    return covered_at(once, spans, "target", "listed_at", "harvested_at", "withdrawn_at")
+
+
+def direct_orphans(refs: dict[str, DataFrame], register: DataFrame) -> DataFrame:
+    """Level 0 of the cascade, ref_table and ref_id alone: the direct orphans of ``orphan_references``."""
+    return _edges(refs, register).where(~F.col("covered")).select("ref_table", "ref_id")
 
 
 def orphan_references(refs: dict[str, DataFrame], register: DataFrame) -> DataFrame:
@@ -68,36 +87,31 @@ def orphan_references(refs: dict[str, DataFrame], register: DataFrame) -> DataFr
     orphans no record. Empty tables give an empty result.
 
     The fixpoint runs semi-joins from the records orphaned last to the references that name them, until no new record
-    is orphaned (at the latest after as many levels as there are records). What a level finds, its new records, is cut
-    to the shared folder; a level of few records is broadcast, so the references aren't shuffled again.
+    is orphaned (at the latest after as many levels as there are records). Each level's new records are added to one
+    table in the shared folder, by which the next levels know what was seen; a level of few records is broadcast, so the
+    references aren't shuffled again.
     """
-    rows = reduce(
-        DataFrame.unionByName,
-        [df.select(F.lit(name).alias("ref_table"), F.col("ref_id").cast("bigint").alias("ref_id"), "from_slug", "slug", "listed_at") for name, df in refs.items()],
-    )
-    once = (
-        rows.where(present(F.col("slug")).isNotNull())
-        .groupBy("ref_table", "ref_id")
-        .agg(F.min(F.struct("slug", "listed_at", "from_slug")).alias("r"))
-        .select("ref_table", "ref_id", F.lower(F.trim("r.from_slug")).alias("from_slug"), slug_key(F.col("r.slug")).alias("target"), "r.listed_at")
-    )
-    spans = register.select(F.lower(F.trim("slug")).alias("target"), "harvested_at", "withdrawn_at")
-    edges = cut(covered_at(once, spans, "target", "listed_at", "harvested_at", "withdrawn_at"), "edges")
+    spark = register.sparkSession
+    edges = cut(_edges(refs, register), "edges")
     cols = ["ref_table", "ref_id", "from_slug", "target", "listed_at"]
     direct, rest = edges.where(~F.col("covered")).select(*cols), edges.where("covered").select(*cols)
     record = F.col("from_slug").alias("rec")
-    frontier, n = cut_counted(direct.select(record).where("rec is not null").distinct(), "front")
-    levels: list[DataFrame] = []
-    while n:
-        levels.append(frontier)
-        seen = reduce(DataFrame.unionByName, levels)
-        last = F.broadcast(frontier) if n <= BROADCAST_ROWS else frontier
+    path, depth = f"{checkpoint_root(spark)}/pubscope/orphaned-{uuid.uuid4().hex}", 0
+    schema = "rec string, depth int"
+    new = direct.select(record).where("rec is not null").distinct()
+    while True:
+        depth += 1
+        size = Observation()
+        new.observe(size, F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/depth={depth}")
+        if not size.get["n"]:
+            break
+        seen = spark.read.schema(schema).parquet(path)
+        last = seen.where(F.col("depth") == depth).select("rec")
+        last = F.broadcast(last) if size.get["n"] <= BROADCAST_ROWS else last
         reached = rest.join(last, rest["target"] == last["rec"], "left_semi").select(record).where("rec is not null").distinct()
-        frontier, n = cut_counted(reached.join(seen, "rec", "left_anti"), "front")
+        new = reached.join(seen, "rec", "left_anti")
     found = direct.select(*cols, F.lit("direct").alias("kind"), F.lit(0).alias("depth"))
-    if not levels:
-        return found
-    orphaned = reduce(DataFrame.unionByName, [x.select(F.col("rec").alias("target"), F.lit(k).alias("depth")) for k, x in enumerate(levels, 1)])
+    orphaned = spark.read.schema(schema).parquet(path).select(F.col("rec").alias("target"), "depth")
     return found.unionByName(rest.join(small(orphaned), "target").select(*cols, F.lit("inherited").alias("kind"), "depth"))
 
 

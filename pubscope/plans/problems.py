@@ -6,24 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pubscope.operators.orphans import orphan_references, orphan_report
+from pubscope.operators.orphans import direct_orphans, orphan_references, orphan_report
 from pubscope.operators.snapshots import snapshot_changes
 from pubscope.operators.unpack import unpack
 from pubscope.session import table
 
 
-def _orphans(spark: SparkSession, d: str) -> DataFrame:
-    return orphan_references({t: table(spark, d, t) for t in ("volume_refs", "contribution_refs")}, table(spark, d, "publications"))
+def _references(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    return {t: table(spark, d, t) for t in ("volume_refs", "contribution_refs")}, table(spark, d, "publications")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """References whose target is not in the register when they are listed."""
-    return _orphans(spark, d).where("kind = 'direct'").select("ref_table", "ref_id")
+    return direct_orphans(*_references(spark, d))
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
     """Direct and inherited orphans per table and month."""
-    return orphan_report(_orphans(spark, d))
+    return orphan_report(orphan_references(*_references(spark, d)))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

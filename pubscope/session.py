@@ -11,8 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows that a side may have to be broadcast; every broadcast side here is narrow (keys and numbers).
+#: Most rows, and most bytes of their values, that a side may have to be broadcast.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 _OWN_DIRS: dict[str, str] = {}
 
@@ -70,9 +71,11 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows, else unchanged (Spark then shuffles).
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``limit`` rows and ``most`` bytes, else unchanged (Spark then shuffles).
 
-    ``df`` should be cheap to count: a cut table or a bounded aggregate.
+    ``df`` should be cheap to count: a cut table or a bounded aggregate. Bytes are those of its rows as text.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    n, width = df.limit(limit + 1).agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    return F.broadcast(df) if n <= limit and width <= most else df

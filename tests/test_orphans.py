@@ -68,3 +68,11 @@ def test_coverage_against_brute_force(spark):
     got = covered_at(spark.createDataFrame(points, "i int, k string, at timestamp_ntz"), spark.createDataFrame(spans, "k string, s timestamp_ntz, e timestamp_ntz"), "k", "at", "s", "e")
     want = {i: k is not None and at is not None and any(k == x and s <= at and (e is None or e > at) for x, s, e in spans) for i, k, at in points}
     assert {r["i"]: r["covered"] for r in got.collect()} == want
+
+
+def test_a_million_references_to_one_record_on_one_day(spark):
+    points = spark.range(1_000_000).selectExpr("id", "'hot' as k", "timestamp'2020-05-01 00:00:00' + make_dt_interval(0, 0, 0, id % 80000) as t")
+    spans = spark.createDataFrame([("hot", "2020-05-01 06:00:00", "2020-05-01 12:00:00"), ("hot", "2020-05-01 11:00:00", "2020-05-01 13:00:00")], "k string, a string, b string").selectExpr("k", "cast(a as timestamp) a", "cast(b as timestamp) b")
+    got = covered_at(points, spans, "k", "t", "a", "b").where("covered").selectExpr("count(*) n", "min(t) x", "max(t) y").first()
+    day = [k for k in range(80000) if 6 * 3600 <= k < 13 * 3600]
+    assert got["n"] == sum(len(range(k, 1_000_000, 80000)) for k in day) and str(got["x"]).endswith("06:00:00") and str(got["y"]).endswith("12:59:59")
