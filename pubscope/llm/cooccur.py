@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pubscope.functions.text import strip_blank
 from pubscope.session import cut
 
-#: Baskets of more items than this lose the items that can be in no result before their pairs are formed.
+#: Baskets of more items than this lose the items that can be in no result, and are spread, before their pairs are formed.
 WIDE = 64
 
 _BIG = "decimal(38,0)"
@@ -31,6 +31,16 @@ def _pairs(baskets: DataFrame) -> DataFrame:
     return first.select("a", F.explode(F.slice("items", F.col("i") + 2, F.greatest(F.size("items") - F.col("i") - 1, F.lit(0)))).alias("b"))
 
 
+def _wide_pairs(rows: DataFrame) -> DataFrame:
+    """The same for wide baskets (id, item), which are never brought together: the first item of a pair is spread over a
+    basket's salts, one per WIDE items, and the second repeated for each, so a task has at most about WIDE * n pairs."""
+    salts = rows.groupBy("id").agg(F.ceil(F.count("*") / WIDE).cast("int").alias("salts"))
+    sized = rows.join(salts, "id")
+    first = sized.select("id", F.col("item").alias("a"), F.pmod(F.xxhash64("item"), F.col("salts")).cast("int").alias("salt"))
+    second = sized.select("id", F.col("item").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return first.join(second, ["id", "salt"]).where("a < b").select("a", "b")
+
+
 def co_occurrence(baskets: DataFrame, min_count: int = 4, min_lift: float = 5) -> DataFrame:
     """Pairs of items with n_ab >= min_count and n_ab * N >= min_lift * n_a * n_b.
 
@@ -50,11 +60,8 @@ def co_occurrence(baskets: DataFrame, min_count: int = 4, min_lift: float = 5) -
         .withColumn("id", F.monotonically_increasing_id())  # before the explode, which would number the items
         .select("id", F.explode("items").alias("item"))
         .join(useful.select("item"), "item", "left_semi")
-        .groupBy("id")
-        .agg(F.array_sort(F.collect_list("item")).alias("items"))
-        .select("items")
     )
-    pairs = _pairs(baskets.where(f"size(items) <= {WIDE}")).unionByName(_pairs(wide))
+    pairs = _pairs(baskets.where(f"size(items) <= {WIDE}")).unionByName(_wide_pairs(cut(wide, "wide")))
     counts = pairs.groupBy("a", "b").agg(F.count("*").alias("n_ab")).where(F.col("n_ab") >= min_count)
     both = (
         counts.join(useful.select(F.col("item").alias("a"), F.col("n").alias("n_a")), "a")

@@ -18,7 +18,7 @@ CHUNK = 16_384
 #: Characters that a chunk shares with the next one.
 OVERLAP = 1_024
 
-_PART = "key long, id long, no int, ids array<int>, begin_at array<int>, begin_n array<int>, end_at array<int>, end_n array<int>"
+_PART = "key string, id long, no int, ids array<int>, begin_at array<int>, begin_n array<int>, end_at array<int>, end_n array<int>"
 
 
 def list_array(rows: list[np.ndarray]) -> pa.ListArray:
@@ -98,12 +98,35 @@ def stitch(parts: list[tuple]) -> list[np.ndarray] | None:
 
 
 def _stitch_group(t: pa.Table) -> pa.Table:
+    """One text's ids, as often as the text is there: equal rows bring every chunk as often as they are repeated."""
     t = t.sort_by("no")
+    no = t.column("no").to_numpy()
+    times = int((no == 0).sum())
+    t = t.take(pa.array(np.unique(no, return_index=True)[1]))
     parts = list(zip(t.column("ids").to_pylist(), *(t.column(c).to_pylist() for c in ("begin_at", "begin_n", "end_at", "end_n"))))
     got = stitch([(np.array(p[0], np.int32), *p[1:]) for p in parts])
     row = np.concatenate(got) if got is not None else None
     ids = pa.array([row.tolist() if row is not None else None], pa.list_(pa.int32()))
-    return pa.table({"key": t.column("key").slice(0, 1), "id": t.column("id").slice(0, 1), "ids": ids})
+    one = pa.table({"key": t.column("key").slice(0, 1), "id": t.column("id").slice(0, 1), "ids": ids})
+    return one.take(pa.array([0] * times))
+
+
+def _decode(vocab: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = encoder(vocab).bpe
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                texts = [None if ids is None else b"".join(map(bpe.decode_single_token_bytes, ids)).decode("utf-8", "replace") for ids in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["id", "text"])
+
+    return run
+
+
+def decode_corpus(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", *, folder: str | None = None) -> DataFrame:
+    """The texts of token ids: doc_id, text; null ids give null, no ids the empty text."""
+    rows = encoded.select(F.col(id_col).cast("bigint").alias("id"), F.col(ids_col).alias("ids"))
+    return rows.mapInArrow(_decode(vocabulary(encoded.sparkSession, folder)), "id long, text string").select(F.col("id").alias(id_col), "text")
 
 
 def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, folder: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -115,7 +138,8 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A text of at most ``chunk`` characters is encoded where it is read, with no shuffle. Longer ones become overlapping
     chunks, which are spread over the cluster, pre-tokenised and encoded in parallel, and joined where their pre-token
     boundaries meet again; one that never meets (a pre-token longer than ``overlap``) is encoded as a whole.
-    Decoding is the concatenation of the ids' bytes.
+    A text is known by its id and a digest, so a stage that is run again finds the same keys. Decoding is the
+    concatenation of the ids' bytes.
     """
     if overlap * 2 >= chunk:
         raise ValueError("chunks must be longer than twice the overlap")
@@ -123,17 +147,17 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     short = rows.where(f"text is null or length(text) <= {chunk}").mapInArrow(_encode_short(vocab), "id long, ids array<int>")
     step = chunk - overlap
-    long = rows.withColumn("key", F.monotonically_increasing_id()).where(f"length(text) > {chunk}")
+    long = rows.where(f"length(text) > {chunk}").withColumn("key", F.md5("text"))
     last = F.ceil((F.length("text") - chunk) / F.lit(step)).cast("int")
     chunks = (
         long.select("key", "id", "text", last.alias("last"))
         .select("key", "id", "last", "text", F.explode(F.sequence(F.lit(0), "last")).alias("no"))
         .select("key", "id", "no", "last", F.substr("text", F.col("no") * step + 1, F.lit(chunk)).alias("part"))
-        .repartition("key", "no")
+        .repartition("id", "key", "no")
         .mapInArrow(_encode_chunks(vocab, overlap), _PART)
     )
-    joined = cut(chunks.groupBy("key").applyInArrow(_stitch_group, "key long, id long, ids array<int>"), "stitched")
-    apart = small(joined.where("ids is null").select("key"))
+    joined = cut(chunks.groupBy("id", "key").applyInArrow(_stitch_group, "key string, id long, ids array<int>"), "stitched")
+    apart = small(joined.where("ids is null").select("key").distinct())
     whole = long.join(apart, "key", "left_semi").select("id", "text").mapInArrow(_encode_short(vocab), "id long, ids array<int>")
     out = short.unionByName(joined.where("ids is not null").select("id", "ids")).unionByName(whole)
     return out.select(F.col("id").alias(id_col), "ids")

@@ -12,10 +12,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pubscope.llm.encoder import encoder, vocabulary
-from pubscope.session import cut
+from pubscope.session import cut, cut_counted, small
 
-#: Most sources in a table of targets; the table is read by the driver.
-MAX_SOURCES = 10_000
+#: A source has its budget if it misses no more than this share of it.
+CLOSE = 0.001
+#: Texts that one task sorts.
 ROWS_PER_RANGE = 200_000
 
 
@@ -90,44 +91,65 @@ def budgets(targets: list[tuple[str, float, int]], available: dict[str, int], to
     return [Budget(s, w, r, available.get(s, 0), got.get(s, 0)) for s, w, r in targets]
 
 
-def mixture(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 7, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+def _up_to(rows: DataFrame) -> DataFrame:
+    """source, id, n of the texts that, in the order of their keys, stay within their source's ``goal``."""
+    per_range = rows.groupBy("source", "range").agg(F.sum("n").alias("s"))
+    before = per_range.select("source", "range", F.coalesce(F.sum("s").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    upto = F.sum("n").over(W.partitionBy("source", "range").orderBy("key", "id").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return rows.withColumn("upto", upto).join(before, ["source", "range"]).where(F.col("before") + F.col("upto") <= F.col("goal")).select("source", "id", "n")
+
+
+def mixture(docs: DataFrame, targets: DataFrame, total: int | str | None = None, seed: int = 7, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The mixture and its report.
 
     Mixture: source, doc_id, copy (from 1), n_tokens. Report: source, target_share, max_repeats, n_texts,
     available_tokens, budget_tokens, actual_tokens, actual_share, most_copies; a source of ``targets`` without text has
     zeros, and documents of sources not named there are not in the mixture.
 
+    ``total``: the tokens wanted; None for the largest mixture in which every source that has text keeps its share
+    exactly; "available" for as many as the named sources have, so that sources too small for their share repeat their
+    texts as often as they may and the others fill up. The driver reads one row per source that the targets name.
+
     Each text gets a random key from a hash of its id; a source's texts are ranged by it. Ranges are equal parts of
     the hash space, so they are balanced however large a source is; prefix sums are taken within ranges and, from the
-    ranges' sums, over them. The last pass of a source ends with the text that brings it closest to its budget, so a
-    source misses it by at most half a text. Equal keys are ordered by doc_id.
+    ranges' sums, over them. The last pass of a source ends before the text that would exceed its budget; texts after it
+    that fit into what is left are then taken in the same order, until the budget is met to the share CLOSE or no text
+    fits. So a very long text doesn't keep a source from its share. Equal keys are ordered by doc_id.
     """
     spark = docs.sparkSession
-    goal = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("w"), F.max("max_repeats").alias("r")).limit(MAX_SOURCES + 1).collect()
-    if len(goal) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources in the targets")
+    goal = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("w"), F.max("max_repeats").alias("r")).collect()
     named = spark.createDataFrame([(g["source"],) for g in goal], "source string")
-    texts = cut(sized(docs.join(F.broadcast(named), "source", "left_semi"), folder), "sizes")
+    texts = cut(sized(docs.join(small(named), "source", "left_semi"), folder), "sizes")
     sums = {r["source"]: r for r in texts.groupBy("source").agg(F.sum("n").alias("n"), F.count("*").alias("c")).collect()}
+    if total == "available":
+        total = sum(r["n"] for r in sums.values())
     plan = budgets([(g["source"], g["w"], g["r"]) for g in sorted(goal, key=lambda g: g["source"])], {s: r["n"] for s, r in sums.items()}, total)
     ranges = {b.source: max(1, -(-sums[b.source]["c"] // ROWS_PER_RANGE)) if b.source in sums else 1 for b in plan}
     budget_rows = [(b.source, float(b.share or 0), int(b.repeats or 0), b.available, b.budget, b.epochs, b.rest, ranges[b.source]) for b in plan]
     schema = "source string, target_share double, max_repeats int, available_tokens long, budget_tokens long, epochs long, rest long, ranges int"
-    budget = F.broadcast(spark.createDataFrame(budget_rows, schema))
+    budget = small(spark.createDataFrame(budget_rows, schema))
     key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 1)
     ranged = texts.join(budget, "source").select("source", "id", "n", "epochs", "rest", key.alias("key"), (F.shiftright(key, 32) * F.col("ranges") / F.lit(2**31)).cast("int").alias("range"))
-    per_range = ranged.groupBy("source", "range").agg(F.sum("n").alias("s"))
-    before = per_range.select("source", "range", F.coalesce(F.sum("s").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.sum("n").over(W.partitionBy("source", "range").orderBy("key", "id").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
-    prefix = ranged.withColumn("inside", inside).join(before, ["source", "range"]).withColumn("prefix", F.col("before") + F.col("inside"))
-    copies = F.col("epochs") + (F.col("prefix") + F.col("n") / 2 <= F.col("rest")).cast("int")
-    chosen = cut(prefix.select("source", "id", "n", copies.cast("int").alias("copies")).where("copies > 0"), "mixture")
+    taken = cut(_up_to(ranged.withColumn("goal", F.col("rest")).where("goal > 0")), "taken")
+    while True:
+        sums = {r["source"]: r["n"] for r in taken.groupBy("source").agg(F.sum("n").alias("n")).collect()}
+        open_ = [(b.source, b.rest - sums.get(b.source, 0)) for b in plan if b.rest - sums.get(b.source, 0) > CLOSE * b.budget]
+        if not open_:
+            break
+        goal = spark.createDataFrame(open_, "source string, goal long")
+        more, n = cut_counted(_up_to(ranged.join(small(goal), "source").where("n <= goal").join(taken.select("source", "id"), ["source", "id"], "left_anti")), "taken")
+        if not n:
+            break
+        taken = taken.unionByName(more)
+    last = taken.select("source", "id", F.lit(1).alias("last"))
+    copies = F.col("epochs") + F.coalesce("last", F.lit(0))
+    chosen = cut(ranged.join(last, ["source", "id"], "left").select("source", "id", "n", copies.cast("int").alias("copies")).where("copies > 0"), "mixture")
     mixed = chosen.select("source", F.col("id").alias("doc_id"), F.explode(F.sequence(F.lit(1), "copies")).alias("copy"), F.col("n").alias("n_tokens"))
     got = chosen.groupBy("source").agg(F.sum(F.col("n") * F.col("copies")).alias("actual"), F.max("copies").alias("most"), F.count("*").alias("n_texts"))
     report = budget.join(got, "source", "left").select(
         "source", "target_share", "max_repeats", F.coalesce("n_texts", F.lit(0)).alias("n_texts"), "available_tokens", "budget_tokens",
         F.coalesce("actual", F.lit(0)).alias("actual_tokens"), F.coalesce("most", F.lit(0)).alias("most_copies"),
     )
-    # one row per source of the targets: the window has at most MAX_SOURCES rows
+    # one row per source of the targets
     share = F.coalesce(F.col("actual_tokens") / F.nullif(F.sum("actual_tokens").over(W.partitionBy()), F.lit(0)), F.lit(0.0))
     return mixed, report.withColumn("actual_share", share)

@@ -147,13 +147,13 @@ def split(enc: Encoder, text: str, most: int, overlap: int) -> list[tuple[int, i
     """Pieces (start, end, tokens, overlap with the one before) of a text; none if it doesn't exceed ``most`` tokens.
 
     Every piece has at most ``most`` tokens when encoded by itself; the overlap is the fewest whole words that have
-    ``overlap`` tokens. The only exception is a single character that has more tokens than ``most``.
+    ``overlap`` tokens, of which a piece can share all but one. Each piece goes on beyond the one before. The only exception is a single character that has more tokens than ``most``.
     """
     ends, tokens, hashes, inside = units(enc, text, min(LONG_UNIT, max(1, most // 8)))
     cum = np.concatenate([[0], np.cumsum(tokens)])
     if cum[-1] <= most:
         return []
-    overlap = max(0, min(overlap, most // 2))
+    overlap = max(0, min(overlap, most - 1))
     least = max(most // 2, min(overlap + LONG_UNIT, most - 1), 1)
     kind = kinds_of(text)
     level, mark = levels(kind, ends), rolling(hashes)
@@ -226,8 +226,8 @@ def split_oversized(docs: DataFrame, limits: DataFrame, folder: str | None = Non
     """Ordered pieces of the texts that exceed their source's limit.
 
     ``docs``: doc_id, text, source; ``limits``: source, max_tokens, overlap_tokens (null: 0). Result: doc_id, source,
-    piece_no, n_pieces, char_start, char_end (code points, from 1), n_tokens, overlap_tokens (shared with the piece
-    before), text. Texts within the limit, null and empty texts, and texts of sources without a limit (or with one
+    piece_no, n_pieces, char_start, char_end (code points, from 1), n_tokens, overlap_tokens (those really shared with
+    the piece before), text. An overlap of the limit or more can't be: it counts as the limit less one. Texts within the limit, null and empty texts, and texts of sources without a limit (or with one
     below 1) have no pieces. If a source has several limits, the smallest counts.
 
     Between half of the limit and the limit, the cut is sought at the unit whose rolling hash over the last units is

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pubscope.llm.boilerplate import main_blocks
 from pubscope.llm.cooccur import co_occurrence, latest_baskets
-from pubscope.llm.encode import encode_corpus
-from pubscope.llm.mixture import mixture
+from pubscope.llm.encode import decode_corpus, encode_corpus
+from pubscope.llm.mixture import CLOSE, mixture, sized
 from pubscope.llm.pieces import split_oversized
 from pubscope.llm.variants import link_variants, variant_pairs
 from pubscope.session import table
@@ -58,6 +58,12 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
 
+def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Every document encoded and decoded again, by digest and length."""
+    text = decode_corpus(encode_corpus(table(spark, d, "documents")))
+    return text.select("doc_id", F.md5("text").alias("digest"), F.length("text").cast("bigint").alias("n_chars"))
+
+
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
     """The mixture: each chosen text with its copies."""
     return mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
@@ -68,6 +74,42 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p8_full_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual shares of a mixture as large as the sources' texts, where small sources reach their cap."""
+    return mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), "available")[1]
+
+
+def p8_checked(spark: SparkSession, d: str) -> DataFrame:
+    """For each source: are its copies within the cap, is its budget met as far as its texts allow, are its texts its own?"""
+    docs, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    mixed, report = mixture(docs, targets)
+    copies = mixed.groupBy("source", "doc_id").agg(F.max("copy").alias("copies"), F.count("*").alias("rows_"))
+    texts = sized(docs).select("source", F.col("id").alias("doc_id"), "n")
+    plan = report.select("source", "max_repeats", (F.col("budget_tokens") - F.col("actual_tokens")).alias("gap"), F.col("budget_tokens").alias("budget"), F.coalesce(F.floor(F.try_divide("budget_tokens", "available_tokens")), F.lit(0)).alias("epochs"))
+    both = copies.join(texts, ["source", "doc_id"], "full").join(F.broadcast(plan), "source").withColumn("copies", F.coalesce("copies", F.lit(0)))
+    fits = (F.col("copies") <= F.col("epochs")) & (F.col("n") <= F.col("gap")) & (F.col("gap") > CLOSE * F.col("budget"))
+    got = both.groupBy("source").agg(
+        F.bool_and((F.col("copies") <= F.col("max_repeats")) & (F.coalesce("rows_", "copies") == F.col("copies"))).alias("repeats_ok"), F.bool_and(~F.coalesce(fits, F.lit(False)) & (F.col("gap") >= 0)).alias("budget_ok"), F.bool_and(F.col("n").isNotNull()).alias("texts_ok")
+    )
+    return plan.select("source").join(got, "source", "left").select("source", *[F.coalesce(c, F.lit(True)).alias(c) for c in ("repeats_ok", "budget_ok", "texts_ok")])
+
+
+def p9_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Every document put together from its pieces (as it is without any), by digest; are all pieces within the limit and does each go on where the one before ends?"""
+    docs, limits = table(spark, d, "documents"), table(spark, d, "piece_limits")
+    pieces = split_oversized(docs, limits).join(F.broadcast(limits.select("source", "max_tokens")), "source")
+    ordered = F.sort_array(F.collect_list(F.struct("piece_no", "char_start", "char_end", "text")))
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("end"), F.lit(True).alias("ok"))
+
+    def add(a: Column, x: Column) -> Column:
+        joins = a["ok"] & (x["char_start"] <= a["end"] + 1) & (x["char_end"] > a["end"])
+        return F.struct(F.concat(a["text"], F.substr(x["text"], a["end"] - x["char_start"] + 2)).alias("text"), x["char_end"].alias("end"), joins.alias("ok"))
+
+    one = pieces.groupBy("doc_id").agg(F.aggregate(ordered, start, add).alias("a"), F.bool_and((F.col("n_tokens") <= F.col("max_tokens")) | (F.length("text") == 1)).alias("within"))
+    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(one, "doc_id", "left")
+    return whole.select("doc_id", F.md5(F.coalesce("a.text", "text")).alias("digest"), F.coalesce(F.col("within") & F.col("a.ok"), F.lit(True)).alias("ok"))
+
+
 def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Pieces of the documents over their source's limit."""
     return split_oversized(table(spark, d, "documents"), table(spark, d, "piece_limits"))
@@ -80,9 +122,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p6_entities": p6_entities,
     "p7_ids": p7_ids,
+    "p7_decoded": p7_decoded,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
+    "p8_full_shares": p8_full_shares,
+    "p8_checked": p8_checked,
     "p9_pieces": p9_pieces,
+    "p9_rebuilt": p9_rebuilt,
 }
 
 _PAIRS = r"""WITH latest AS (SELECT slug, arg_max_null(authors, (harvested_at, ingested_at)) AS authors FROM publications WHERE slug IS NOT NULL GROUP BY slug),
@@ -94,6 +140,9 @@ _PAIRS = r"""WITH latest AS (SELECT slug, arg_max_null(authors, (harvested_at, i
             FROM pair JOIN marginal p ON a = p.name JOIN marginal q ON b = q.name)
 """
 ORACLES: dict[str, str] = {
+    "p7_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS digest, length(coalesce(text, '')) AS n_chars FROM documents",
+    "p8_checked": "SELECT source, true AS repeats_ok, true AS budget_ok, true AS texts_ok FROM mix_targets",
+    "p9_rebuilt": "SELECT doc_id, md5(coalesce(text, '')) AS digest, true AS ok FROM documents",
     "p3_found": _PAIRS + "SELECT a AS author_a, b AS author_b FROM found WHERE n_ab * n_all >= 5 * n_a * n_b",
     "p3_pairs": _PAIRS + "SELECT *, n_ab / n_a * n_all / n_b AS lift, round(ln(n_ab / n_a * n_all / n_b), 9) AS pmi FROM found WHERE n_ab * n_all >= 5 * n_a * n_b",
 }
