@@ -17,22 +17,23 @@ REFERENCE = T.StructType(
         T.StructField("role", T.StringType()),
     ]
 )
-_TEXTS = ("journal", "volume", "issue", "publisher")
-_MORE = ("series", "pages", "isbn", "issn", "doi", "link", "abstract", "note", "cover")
+# The fields of a harvested publication in the register's JSON, in its order, with their types.
+PUBLICATION_FIELDS = """
+slug string, url string, title string, subtitle string, authors array<string>, document_type string, year int, date string,
+journal string, volume string, issue string, publisher string, places array<string>, series string, pages string,
+isbn string, issn string, doi string, link string, abstract string, note string, cover string
+"""
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "array<string>": T.ArrayType(T.StringType())}
+_PLAIN = T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (x.split() for x in PUBLICATION_FIELDS.split(",") if x.strip())])
 #: A harvested publication as the register's JSON has it.
-PUBLICATION = T.StructType(
-    [T.StructField(c, T.StringType()) for c in ("slug", "url", "title", "subtitle")]
-    + [T.StructField("authors", T.ArrayType(T.StringType())), T.StructField("document_type", T.StringType()), T.StructField("year", T.IntegerType()), T.StructField("date", T.StringType())]
-    + [T.StructField(c, T.StringType()) for c in _TEXTS]
-    + [T.StructField("places", T.ArrayType(T.StringType()))]
-    + [T.StructField(c, T.StringType()) for c in _MORE]
-    + [T.StructField("published_in", REFERENCE), T.StructField("contributions", T.ArrayType(REFERENCE)), T.StructField("fingerprint", T.StringType())]
-)
+PUBLICATION = T.StructType([*_PLAIN.fields, T.StructField("published_in", REFERENCE), T.StructField("contributions", T.ArrayType(REFERENCE)), T.StructField("fingerprint", T.StringType())])
 LISTING = T.StructType([T.StructField(c, T.StringType()) for c in ("slug", "title", "authors", "publisher", "periodical")])
 WORD = T.StructType([T.StructField("text", T.StringType()), T.StructField("size", T.LongType())])
 
 #: The columns of a slim record, in the order of the shipped dataset.
 RECORD_FIELDS = ("slug", "url", "title", "subtitle", "authors", "type", "year", "journal", "publisher", "series", "doi")
+#: A slim record as the shipped dataset has it.
+SLIM = T.StructType([T.StructField(c, T.IntegerType() if c == "year" else T.ArrayType(T.StringType()) if c == "authors" else T.StringType()) for c in RECORD_FIELDS])
 
 
 def some(c: Column) -> Column:

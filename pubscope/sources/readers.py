@@ -6,42 +6,71 @@ left out by itself.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+from functools import reduce
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pubscope.functions.text import present
 from pubscope.operators.refresh import keep_last
-from pubscope.schema import PUBLICATION, WORD
+from pubscope.schema import PUBLICATION, SLIM, WORD
 
-_PAYLOAD = T.StructType(
-    [T.StructField("source", T.StringType()), T.StructField("document_types", T.ArrayType(T.StringType())), T.StructField("publications", T.ArrayType(PUBLICATION))]
-)
 _PROJECT = T.StructType([T.StructField(c, T.StringType()) for c in ("title", "url", "kind")])
 _UNIT = T.StructType([T.StructField(c, T.StringType()) for c in ("stem", "slug", "label", "url")] + [T.StructField("projects", T.ArrayType(_PROJECT))])
-_MANIFEST = T.StructType([T.StructField("source", T.StringType()), T.StructField("units", T.ArrayType(_UNIT))])
 
 
-def read_register(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """The publications of register payloads, with their position; missing required fields are not yet judged.
+def _first_line(spark: SparkSession, path: str) -> dict | None:
+    """The first line of a file or folder if it is a JSON object by itself."""
+    line = spark.read.text(path).where("trim(value) <> ''").first()
+    try:
+        found = json.loads(line["value"]) if line else None
+    except ValueError:
+        found = None
+    return found if isinstance(found, dict) else None
+
 
-    A payload is one JSON object, which one task reads; ``lines`` reads records line by line in parallel, as the sinks
-    write them.
-    """
-    if lines:
-        return spark.read.schema(PUBLICATION).json(path).select(F.monotonically_increasing_id().alias("position"), "*")
-    payload = spark.read.schema(_PAYLOAD).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    return payload.select(F.posexplode("publications").alias("position", "p")).where("p is not null").select("position", "p.*")
+def _records(spark: SparkSession, path: str, schema: T.StructType, field: str) -> DataFrame:
+    """position and the records of either form: an object that has them in ``field``, or one record per line (as the sinks write them, read in parallel)."""
+    line = _first_line(spark, path)
+    if line is not None and field not in line and line.keys() & set(schema.names):
+        rows = spark.read.schema(schema).json(path)
+        return rows.where(reduce(Column.__or__, [F.col(c).isNotNull() for c in rows.columns])).select(F.monotonically_increasing_id().alias("position"), "*")
+    payload = spark.read.schema(T.StructType([T.StructField(field, T.ArrayType(schema))])).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    return payload.select(F.posexplode(field).alias("position", "p")).where("p is not null").select(F.col("position").cast("bigint").alias("position"), "p.*")
+
+
+def required(rows: DataFrame, what: str) -> DataFrame:
+    """The rows, or an error if there are none: an empty dataset is never shown or built upon."""
+    if rows.isEmpty():
+        raise ValueError(f"{what} has no records")
+    return rows
+
+
+def read_register(spark: SparkSession, path: str, require: bool = False) -> DataFrame:
+    """The publications of a register, with their position; missing required fields are not yet judged. ``require``: an empty one is an error."""
+    rows = _records(spark, path, PUBLICATION, "publications")
+    return required(rows, path) if require else rows
+
+
+def read_dataset(spark: SparkSession, path: str) -> DataFrame:
+    """The slim records of a shipped dataset, absent fields as nulls (no authors: an empty list). An empty dataset is an error."""
+    rows = required(_records(spark, path, SLIM, "publications").drop("position"), path)
+    return rows.withColumn("authors", F.coalesce("authors", F.array().cast("array<string>")))
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """The reusable records of a register: slug and url are there, and of a repeated slug the last counts. A missing file is an empty cache."""
     try:
         rows = read_register(spark, path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        rows = spark.createDataFrame([], T.StructType([T.StructField("position", T.IntegerType()), *PUBLICATION.fields]))
+        rows = spark.createDataFrame([], T.StructType([T.StructField("position", T.LongType()), *PUBLICATION.fields]))
     valid = rows.where(present(F.col("slug")).isNotNull() & present(F.col("url")).isNotNull())
     return keep_last(valid, "slug", ["position"]).drop("position")
 
@@ -58,8 +87,8 @@ def read_aliases(spark: SparkSession, path: str) -> DataFrame:
     try:
         text = spark.read.text(path, wholetext=True)
         found = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("section", "body"))
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
     rows = found.where(~F.col("section").startswith("_")).select("section", F.explode(F.from_json("body", "map<string,string>")).alias("variant", "target"))
@@ -76,9 +105,9 @@ def read_texts(spark: SparkSession, folder: str, exclude: tuple[str, ...] = ())
 def read_manifest(spark: SparkSession, path: str) -> DataFrame | None:
     """The units of a manifest, or None if there is none (then every text counts)."""
     try:
-        return spark.read.schema(_MANIFEST).option("multiLine", True).json(path).select(F.inline("units"))
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
+        return _records(spark, path, _UNIT, "units").drop("position")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
 
@@ -99,13 +128,30 @@ def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.option("pathGlobFilter", "*.html").text(folder, wholetext=True).select(F.url_decode(F.col("_metadata.file_name")).alias("name"), F.col("value").alias("html"))
 
 
-def whichever(*reads: object) -> list[DataFrame | None]:
-    """Independent reads (callables), each None where it fails, so that one missing file doesn't hide the others."""
+class WordFiles:
+    """The word files of units in a folder, each read once and kept."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder, self.kept = spark, folder, {}  # type: ignore[var-annotated]
+
+    def get(self, unit: str) -> DataFrame:
+        if unit not in self.kept:
+            self.kept[unit] = required(read_words(self.spark, f"{self.folder}/{unit}_word_frequencies.json"), unit).cache()
+        return self.kept[unit]
+
+
+def whichever(*reads: Callable[[], DataFrame]) -> list[DataFrame | None]:
+    """Independent reads, each None where its file is missing or can't be read, so that one doesn't hide the others.
+
+    Reads are lazy, so each is asked for its first row here; other errors than those of reading are raised.
+    """
     out: list[DataFrame | None] = []
     for read in reads:
         try:
-            out.append(read())  # type: ignore[operator]
-        except Exception:
+            rows = read()
+            rows.isEmpty()
+            out.append(rows)
+        except (PySparkException, Py4JJavaError, OSError):
             out.append(None)
     return out
 

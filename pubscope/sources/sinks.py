@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,9 +67,41 @@ def write_documents(units: DataFrame, path: str, dry_run: bool = False) -> int:
     return docs.count()
 
 
-def write_manifest(units: DataFrame, path: str, only: list[str] | None = None, dry_run: bool = False) -> int:
-    """The units' manifest, on full runs only: a run over chosen units leaves the manifest as it is."""
+def write_payload(df: DataFrame, path: str, order: list[str], field: str = "publications", dry_run: bool = False, **head: str | list[str]) -> int:
+    """One JSON object, as a site ships it: ``head`` (source, document_types ...) and the rows in ``field``, sparse and in order.
+
+    One task writes it line by line and holds one batch; a register beyond a site's size is written by ``write_json``,
+    in parallel, and read the same way.
+    """
+    n = df.count()
+    if dry_run:
+        return n
+    intro = "{" + "".join(f"{json.dumps(k)}: {json.dumps(v, ensure_ascii=False)}, " for k, v in head.items()) + f"{json.dumps(field)}: ["
+    rows = sparse(df).select(*order, F.to_json(F.struct(*df.columns)).alias("value")).repartition(1).sortWithinPartitions(*order).select("value")
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([intro])], names=["value"])
+        held: str | None = None
+        for b in batches:
+            for value in b.column(0).to_pylist():
+                if held is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([held + ","])], names=["value"])
+                held = value
+        yield pa.RecordBatch.from_arrays([pa.array(([held] if held is not None else []) + ["]}"])], names=["value"])
+
+    # without rows there would be no task to write the object
+    text = rows.mapInArrow(lines, "value string") if n else df.sparkSession.createDataFrame([(f"{intro}]}}",)], "value string").coalesce(1)
+    text.write.mode("overwrite").text(path)
+    return n
+
+
+def write_manifest(units: DataFrame, path: str, only: list[str] | None = None, source: str = "", dry_run: bool = False) -> int:
+    """The units' manifest (stem, slug, label, url, projects), on full runs only: a run over chosen units leaves it as it is.
+
+    ``units``: stem, title, entries; slug and url where they are known.
+    """
     if only:
         return 0
     kind = F.transform("entries", lambda e: F.struct(e["title"].alias("title"), e["url"].alias("url"), F.when(e["inline"], "umbrella").otherwise("project").alias("kind")))
-    return write_json(units.select("stem", "title", kind.alias("projects")), path, ["stem"], dry_run=dry_run)
+    known = [F.col(c) if c in units.columns else F.lit(None).cast("string").alias(c) for c in ("slug", "url")]
+    return write_payload(units.select("stem", known[0], F.col("title").alias("label"), known[1], kind.alias("projects")), path, ["stem"], "units", dry_run, source=source)

@@ -5,14 +5,16 @@ A trigger over what is available makes it an incremental batch job; the checkpoi
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from pubscope.operators.refresh import diff, keep_last, with_fingerprint
+from pubscope.session import cut
 
-STATE = "slug string, fingerprint string, status string, batch long"
+STATE = "slug string, fingerprint string, status string, since long, whole boolean, batch long"
 
 
 def read_landed(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
@@ -20,28 +22,40 @@ def read_landed(spark: SparkSession, folder: str, schema: StructType, files_per_
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def known(spark: SparkSession, target: str) -> DataFrame:
-    """The register kept so far: the last state of each slug; empty before the first batch."""
+def known(spark: SparkSession, target: str, before: int | None = None) -> DataFrame:
+    """The register kept so far: the last state of each slug, of the batches before one; empty before the first batch.
+
+    Every batch has a folder of its own. A batch whose number is a power of two keeps the whole state and not its
+    changes alone, so that what is read stays within a few times the register, however many batches there were.
+    """
     try:
         rows = spark.read.schema(STATE).parquet(target)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], STATE)
-    return keep_last(rows, "slug", ["batch"])
+        return spark.createDataFrame([], "slug string, fingerprint string, status string, batch long")
+    if before is not None:
+        rows = rows.where(F.col("batch") < before)
+    newest = rows.where("whole").agg(F.max("batch")).first()[0]
+    rows = rows.where((F.col("batch") >= newest) if newest is not None else F.lit(True))
+    return keep_last(rows.select("slug", "fingerprint", "status", "since", "batch"), "slug", ["batch"]).select("slug", "fingerprint", "status", F.col("since").alias("batch"))
 
 
 def apply_batch(batch: DataFrame, number: int, target: str, position: list[str]) -> None:
-    """Append the batch's new, changed and withdrawn slugs. A batch that is run again finds its own rows and appends nothing twice."""
+    """Write the batch's new, changed and withdrawn slugs to the folder of its number.
+
+    A batch that is run again, because it was half written or not yet noted, overwrites its own folder and sees only
+    the batches before it, so it ends the same.
+    """
     spark = batch.sparkSession
     listing = with_fingerprint(keep_last(batch, "slug", position))
-    before = known(spark, target)
-    mine = before.where(F.col("batch") == number)
-    if not mine.isEmpty():
-        return
-    alive = before.where("status <> 'withdrawn'")
-    changes = diff(listing, alive).where("status <> 'unchanged'").join(listing.select("slug", "fingerprint"), "slug", "left")
-    changes.select("slug", "fingerprint", "status", F.lit(number).cast("bigint").alias("batch")).write.mode("append").parquet(target)
+    before = cut(known(spark, target, number), "state")
+    changes = diff(listing, before.where("status <> 'withdrawn'")).where("status <> 'unchanged'").join(listing.select("slug", "fingerprint"), "slug", "left")
+    rows = changes.select("slug", "fingerprint", "status", F.lit(number).cast("bigint").alias("since"))
+    whole = number > 0 and number & (number - 1) == 0
+    if whole:
+        rows = rows.unionByName(before.join(changes.select("slug"), "slug", "left_anti").select("slug", "fingerprint", "status", F.col("batch").alias("since")))
+    rows.withColumn("whole", F.lit(whole)).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
 
 def refresh_stream(stream: DataFrame, target: str, checkpoint: str, position: list[str]) -> StreamingQuery:

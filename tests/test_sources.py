@@ -100,3 +100,53 @@ def test_page_source_reads_landed_pages(spark, tmp_path):
     rows = crawl.fetch_pages(spark, [url], cache=str(tmp_path), delay=0).collect()
     assert [(r["html"], r["from_cache"], r["error"]) for r in rows] == [("<p>kept</p>", True, None)]
     assert readers.read_pages(spark, str(tmp_path)).count() == 1
+
+
+RECORD = {"slug": "a", "url": "u", "title": "T", "authors": ["X, Y"], "year": 2001, "places": ["P", "Q"], "published_in": {"slug": "v", "title": "V", "authors": ["E"], "role": "Ed."}, "contributions": [{"slug": "c", "title": "C"}], "fingerprint": "f"}
+
+
+@pytest.mark.parametrize("write", [lambda df, p: sinks.write_json(df, p, ["slug"]), lambda df, p: sinks.write_payload(df, p, ["slug"], source="s", document_types=["A", "B"])])
+def test_what_a_sink_writes_its_source_reads(spark, tmp_path, write):
+    records = [RECORD, {"slug": "b", "url": "w", "fingerprint": "g"}]
+    df = spark.createDataFrame([json.dumps(r) for r in records], "string").select(F.from_json("value", readers.PUBLICATION).alias("r")).select("r.*")
+    assert write(df, str(tmp_path / "one")) == 2
+    back = readers.read_cache(spark, str(tmp_path / "one")).select(*df.columns)
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+    write(back, str(tmp_path / "two"))
+    text = ["".join(p.read_text() for p in sorted((tmp_path / d).glob("part-*"))) for d in ("one", "two")]
+    assert text[0] == text[1]  # writing again what was read gives the same bytes
+
+
+def test_payload_is_one_object(spark, tmp_path):
+    df = spark.createDataFrame([json.dumps(RECORD)], "string").select(F.from_json("value", readers.PUBLICATION).alias("r")).select("r.*")
+    sinks.write_payload(df, str(tmp_path / "p"), ["slug"], source="s", document_types=["A"])
+    found = json.loads("".join(p.read_text() for p in (tmp_path / "p").glob("part-*")))
+    assert found == {"source": "s", "document_types": ["A"], "publications": [RECORD]}
+    sinks.write_payload(df.limit(0), str(tmp_path / "e"), ["slug"])
+    assert json.loads("".join(p.read_text() for p in (tmp_path / "e").glob("part-*"))) == {"publications": []} and readers.read_cache(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_dataset_and_manifest_round_trip(spark, tmp_path):
+    rows = [("a", "u", "t", None, ["x"], None, None, "J", None, "S", "d"), ("b", "u", None, None, [], "T", 2001, None, "P", None, None)]
+    df = spark.createDataFrame(rows, readers.SLIM)
+    sinks.write_dataset(df, str(tmp_path / "d"))
+    assert {tuple(map(str, r)) for r in readers.read_dataset(spark, str(tmp_path / "d")).collect()} == {tuple(map(str, r)) for r in df.collect()}
+    assert {r["slug"] for r in readers.read_register(spark, str(tmp_path / "d")).collect()} == {"a", "b"}
+    unit = spark.createDataFrame([("One", "one", "T", "https://u", [("E", "/e", False), ("F", None, True)])], "stem string, slug string, title string, url string, entries array<struct<title:string,url:string,inline:boolean>>")
+    assert sinks.write_manifest(unit, str(tmp_path / "m"), source="s") == 1
+    back = readers.read_manifest(spark, str(tmp_path / "m")).first()
+    assert (back["stem"], back["slug"], back["label"], back["url"]) == ("One", "one", "T", "https://u")
+    assert [tuple(p) for p in back["projects"]] == [("E", "/e", "project"), ("F", None, "umbrella")]
+    with pytest.raises(ValueError, match="no records"):
+        readers.read_register(spark, str(tmp_path / "m"), require=True)
+
+
+def test_word_files_are_read_once(spark, tmp_path):
+    (tmp_path / "x_word_frequencies.json").write_text('[{"text": "a", "size": 2}]')
+    words = readers.WordFiles(spark, str(tmp_path))
+    assert words.get("x").count() == 1 and words.get("x") is words.get("x")
+
+
+def test_hosts_are_fetched_apart():
+    reader = crawl._Reader({"urls": "https://a.x/1\nhttps://b.x/1\nhttps://a.x/2"})
+    assert [p.urls for p in reader.partitions()] == [["https://a.x/1", "https://a.x/2"], ["https://b.x/1"]]
