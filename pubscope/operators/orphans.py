@@ -43,11 +43,9 @@ def covered_at(points: DataFrame, spans: DataFrame, key: str, at: str, start: st
     times = p.where(usable).select("_k", "_t", none.alias("_e"), F.lit(True).alias("_p"))
     begun = spans.select(F.col(key).alias("_k"), _ntz(F.col(start)).alias("_t"), F.coalesce(_ntz(F.col(end)), _ntz(F.lit(FOREVER))).alias("_e"), F.lit(False).alias("_p")).where(usable)
     line = times.unionByName(begun).groupBy("_k", "_t").agg(F.max("_e").alias("_e"), F.max("_p").alias("_p"))
-    line = line.withColumn("_s", F.floor(F.unix_seconds(F.col("_t").cast("timestamp")) / SLICE))
-    slices = line.where("_e is not null").groupBy("_k", "_s").agg(F.max("_e").alias("_m"))
-    asked = line.where("_p").groupBy("_k", "_s").agg(F.lit(None).cast("timestamp_ntz").alias("_m"))
-    both = slices.unionByName(asked).groupBy("_k", "_s").agg(F.max("_m").alias("_m"))
-    before = both.select("_k", "_s", F.max("_m").over(W.partitionBy("_k").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)).alias("_b"))
+    line = cut(line.withColumn("_s", F.floor(F.unix_seconds(F.col("_t").cast("timestamp")) / SLICE)), "line")
+    slices = line.groupBy("_k", "_s").agg(F.max("_e").alias("_m"))
+    before = slices.select("_k", "_s", F.max("_m").over(W.partitionBy("_k").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)).alias("_b"))
     inside = W.partitionBy("_k", "_s").orderBy("_t").rowsBetween(W.unboundedPreceding, W.currentRow)
     hit = line.withColumn("_r", F.max("_e").over(inside)).where("_p").join(before, ["_k", "_s"], "left").where(F.greatest("_r", "_b") > F.col("_t")).select("_k", "_t", F.lit(True).alias("covered"))
     return p.join(hit, ["_k", "_t"], "left").select(*cols, F.coalesce("covered", F.lit(False)).alias("covered"))
@@ -65,6 +63,7 @@ def _edges(refs: dict[str, DataFrame], register: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("slug", "listed_at", "from_slug")).alias("r"))
         .select("ref_table", "ref_id", F.lower(F.trim("r.from_slug")).alias("from_slug"), slug_key(F.col("r.slug")).alias("target"), "r.listed_at")
     )
+    once = cut(once, "references")
     spans = register.select(F.lower(F.trim("slug")).alias("target"), "harvested_at", "withdrawn_at")
     return covered_at(once, spans, "target", "listed_at", "harvested_at", "withdrawn_at")
 
