@@ -96,3 +96,17 @@ def rotation(seed: int = 0, share: float = 0.25, rank: Column | None = None, upr
     """0 or 90 degrees at random; the leading ranks stay upright."""
     turned = F.when(F.rand(seed) < share, F.lit(90)).otherwise(F.lit(0))
     return F.when(rank <= upright, F.lit(0)).otherwise(turned) if rank is not None else turned
+
+
+def locale_of(asked: str | None, known: tuple[str, ...], default: str = "en") -> str:
+    """The known locale that a request asks for, by its language alone; else the default."""
+    language = (asked or "").replace("_", "-").split("-")[0].lower()
+    return language if language in known else default
+
+
+def filled(template: str, **values: Column) -> Column:
+    """A template with its {names} filled in; a null value is shown as nothing, an unknown name stays."""
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out

@@ -15,9 +15,6 @@ PARTICLES = (
     "ibn", "la", "le", "ten", "ter", "van", "von", "zu",
 )
 
-#: Stacked notes that are taken off one name at most.
-NOTE_DEPTH = 6
-
 
 def split_authors(cell: Column) -> Column:
     """The names of a cell: separated by semicolons, or an even number of at least four comma pieces as pairs."""
@@ -44,7 +41,9 @@ def strip_noise(name: Column, whole_words: bool = False) -> Column:
     """
     tail = NOISE_TAIL.replace("{guard}", r"(?<![\p{L}])" if whole_words else "")
     trim = lambda c: F.btrim(strip_blank(c), F.lit(",;"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(NOTE_DEPTH)), trim(name), lambda x, _: trim(F.regexp_replace(x, tail, "")))
+    # a note takes at least one of these along, so there are no more notes than of them
+    most = F.greatest(F.coalesce(F.regexp_count(name, F.lit(r"(?i)[)\]]|al|u\.|ed")), F.lit(1)), F.lit(1))
+    return F.aggregate(F.sequence(F.lit(1), most), trim(name), lambda x, _: trim(F.regexp_replace(x, tail, "")))
 
 
 def canonical_name(raw: Column, whole_words: bool = False) -> Column:

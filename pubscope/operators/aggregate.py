@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pubscope.session import cut
+
 
 def count_values(records: DataFrame, column: str) -> DataFrame:
     """key, count of a column, or of an array column's elements (each as often as it stands there). Null and '' don't count."""
@@ -15,8 +17,14 @@ def count_values(records: DataFrame, column: str) -> DataFrame:
 
 
 def count_types(records: DataFrame) -> DataFrame:
-    """key, count of the types; untyped records count under ''."""
-    return records.groupBy(F.coalesce("type", F.lit("")).alias("key")).agg(F.count("*").alias("count"))
+    """key, count of the types; untyped records count under ''. Takes records or their ``year_type_counts``."""
+    n = F.sum("n") if "n" in records.columns else F.count("*")
+    return records.groupBy(F.coalesce("type", F.lit("")).alias("key")).agg(n.alias("count"))
+
+
+def year_type_counts(records: DataFrame) -> DataFrame:
+    """year, type, n: the small cube from which extent, types and series come, so that the records are read once."""
+    return records.groupBy("year", "type").agg(F.count("*").alias("n"))
 
 
 def _ranking(collation: str | None) -> list[Column]:
@@ -35,7 +43,8 @@ def rank(counts: DataFrame, limit: int | None = None, collation: str | None = No
         return counts.orderBy(*_ranking(collation)).limit(limit).withColumn("rank", F.row_number().over(W.orderBy(*_ranking(collation))).cast("bigint"))
     if collation:
         raise ValueError("a ranking by collation needs a limit")
-    grouped = counts.withColumn("p", F.left("key", F.lit(2)))
+    # the counts are used twice, for the groups' sizes and for the numbers in them
+    grouped = cut(counts, "counts").withColumn("p", F.left("key", F.lit(2)))
     sizes = grouped.groupBy("count", "p").agg(F.count("*").alias("n"))
     # one row per distinct count and pair of first letters
     begin = sizes.select("count", "p", F.coalesce(F.sum("n").over(W.orderBy(F.desc("count"), "p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("begin"))
@@ -70,9 +79,10 @@ def stacked_year_series(records: DataFrame, extent: DataFrame, series: DataFrame
 
     ``series`` maps keys to series (as top_keys_with_other gives it for the whole dataset, so that colours stay); a key
     it lacks goes to ``other``. A year's total counts all its records; a year without any has one row with null key
-    and 0. The records are counted once per (year, key), before anything is joined.
+    and 0. The records (or their ``year_type_counts``) are counted once per (year, key), before anything is joined.
     """
-    counts = records.where("year <> 0").groupBy("year", F.coalesce("type", F.lit("")).alias("raw")).agg(F.count("*").alias("n"))
+    n = F.sum("n") if "n" in records.columns else F.count("*")
+    counts = records.where("year <> 0").groupBy("year", F.coalesce("type", F.lit("")).alias("raw")).agg(n.alias("n"))
     named = counts.join(series.select(F.col("key").alias("raw"), "series"), "raw", "left").groupBy("year", F.coalesce("series", F.lit(other)).alias("key")).agg(F.sum("n").alias("count"))
     spine = year_spine(extent)
     out = spine.join(named, "year", "left").withColumn("total", F.coalesce(F.sum("count").over(W.partitionBy("year")), F.lit(0)))
@@ -131,7 +141,9 @@ def same_keys(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def stride_order(ranked: DataFrame, stride: int) -> DataFrame:
     """Ranked rows (rank from 1, without gaps) in the order (i * stride) % n; n and stride must have no common factor."""
-    slots = ranked.withColumn("n", F.count("*").over(W.partitionBy()))  # a ranking's top, so a few rows
-    # slot i shows row (i * stride) % n: the inverse is looked up, so that every row is moved once
-    at = F.filter(F.sequence(F.lit(0), F.col("n").cast("int") - 1), lambda i: (i * stride) % F.col("n") == F.col("rank") - 1)
-    return slots.withColumn("slot", F.get(at, F.lit(0))).drop("n")
+    n = F.count("*").over(W.partitionBy())  # a ranking's top, so a few rows
+    # slot i shows row (i * stride) % n, so a row's slot is its place times the inverse of the stride modulo n: the one
+    # (1 + k * n) / stride, for a k below the stride, that is whole
+    whole = F.filter(F.sequence(F.lit(0), F.lit(stride - 1)), lambda k: (1 + k * F.col("n")) % stride == 0)
+    inverse = F.floor((1 + F.get(whole, F.lit(0)) * F.col("n")) / stride)
+    return ranked.withColumn("n", n).withColumn("slot", ((F.col("rank") - 1) * inverse) % F.col("n")).drop("n")

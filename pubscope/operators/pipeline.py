@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pubscope.operators.extract import REGISTER, Layout, details, listing_entries, read_listing
+from pubscope.operators.extract import REGISTER, Layout, details, listing_entries, read_listing, seen_in
 from pubscope.operators.refresh import assert_gates, gates, merge, stale, tag_types, with_fingerprint
-from pubscope.session import cut, small
+from pubscope.session import cut
 from pubscope.sources.crawl import fetch_pages
 
 Fetch = Callable[[DataFrame], DataFrame]
@@ -72,29 +72,20 @@ def type_sightings(spark: SparkSession, fetch: Fetch, address: Callable[[int, in
     pending or no listing goes on.
     """
     wanted = cut(pending.select("slug").distinct(), "pending")
-    left, going, n, seen = wanted, {t: 1 for t in types}, 0, []
+    left, going, n = wanted, dict.fromkeys(types, 1), 0
+    sightings = spark.createDataFrame([], "type_id int, slug string")
     while going and not left.isEmpty():
         n += 1
         asked = spark.createDataFrame([(t, address(t, n)) for t in going], "type_id int, url string")
-        pages = cut(_whole(fetch(asked)).join(F.broadcast(asked), "url").select(F.col("type_id").cast("long").alias("page"), "type_id", "html"), "typed")
-        if n == 1:  # one short page per type
-            going = {r["type_id"]: min(read_listing(r["html"] or "", layout)["last_page"] or 1, max_pages) for r in pages.select("type_id", "html").collect()}
-        # the page's number is its type here, so a slug in two listings is seen in both
-        for t in [t for t in going]:
-            seen.append(listing_entries(pages.where(F.col("type_id") == t).select("page", "html"), layout=layout).select("slug", F.lit(t).alias("type_id")))
-        found = cut(_union(seen), "sighted")
-        seen = [found]
-        left = cut(wanted.join(found.select("slug"), "slug", "left_anti"), "left")
+        pages = _whole(fetch(asked)).join(F.broadcast(asked), "url").select("type_id", "html")
+        shown = cut(seen_in(pages, "type_id", layout=layout), "typed")
+        if n == 1:  # one row per type
+            going = {r["type_id"]: min(r["last"] or 1, max_pages) for r in shown.groupBy("type_id").agg(F.max("last_page").alias("last")).collect()}
+        found = shown.where("slug is not null").join(wanted, "slug", "left_semi").select("type_id", "slug")
+        sightings = sightings.unionByName(found)
+        left = cut(left.join(found, "slug", "left_anti"), "left")
         going = {t: last for t, last in going.items() if last > n}
-    sightings = _union(seen) if seen else spark.createDataFrame([], "slug string, type_id int")
-    return sightings.join(small(wanted), "slug", "left_semi").distinct()
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return sightings.distinct()
 
 
 def refresh_register(

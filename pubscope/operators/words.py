@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pubscope.functions.format import clean_word, font_size, palette_slot
-from pubscope.session import small
+from pubscope.session import cut, small
 
 # Words common to every unit's description.
 CUSTOM_STOPWORDS = (
@@ -78,22 +78,23 @@ def terms(texts: DataFrame, unit: str, text: str, min_length: int = 2, stop: lis
     stop = stopwords() if stop is None else stop
     keep = lambda c: c.rlike(r"^\p{L}+$") & (F.length(c) >= min_length) & ~c.isin(stop)
     where = [F.col(p) for p in position or []]
-    cut = texts.select(F.col(unit).alias("unit"), *[w.alias(f"p{i}") for i, w in enumerate(where)], F.posexplode(tokens_of(F.col(text), mode)).alias("at", "token")).where(keep(F.col("token")))
+    kept = texts.select(F.col(unit).alias("unit"), *[w.alias(f"p{i}") for i, w in enumerate(where)], F.posexplode(tokens_of(F.col(text), mode)).alias("at", "token")).where(keep(F.col("token")))
     place = F.struct(*[F.col(f"p{i}") for i in range(len(where))], "at").alias("position")
     if lemmas is None:
         lemma = suffix_lemma(F.col("token"))
     else:
-        cut = cut.join(small(lemmas), "token", "left")
+        kept = kept.join(small(lemmas), "token", "left")
         lemma = F.when(F.col("noun") != F.col("token"), F.col("noun")).otherwise(F.coalesce("verb", "token"))
-    return cut.select("unit", lemma.alias("term"), place).where(~F.col("term").isin(stop))
+    return kept.select("unit", lemma.alias("term"), place).where(~F.col("term").isin(stop))
 
 
 def frequencies(found: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """unit, term, n, first: counts per unit, and combined under a null unit over the member units (all without ``members``).
 
-    One aggregation per (unit, term) feeds both; the combined one sums its results.
+    One aggregation per (unit, term), cut, feeds both; the combined one sums its results.
     """
     per_unit = found.groupBy("unit", "term").agg(F.count("*").alias("n"), F.min("position").alias("first"))
+    per_unit = cut(per_unit, "terms")
     of = per_unit if members is None else per_unit.join(small(members.select("unit")), "unit", "left_semi")
     combined = of.groupBy("term").agg(F.sum("n").alias("n"), F.min("first").alias("first")).select(F.lit(None).cast(per_unit.schema["unit"].dataType).alias("unit"), "term", "n", "first")
     return per_unit.unionByName(combined)

@@ -21,6 +21,7 @@ from pubscope.operators import words as wd
 from pubscope.operators.filters import Filters, haystack, select
 from pubscope.schema import latest, slim_records, some, some_items
 from pubscope.session import cut, table
+from pubscope.sources.sinks import unit_document
 
 OTHER = "__other__"
 #: The filters under which the views are computed here.
@@ -31,8 +32,8 @@ TYPES = ["Monograph", "Review of a book", "Chapter in volume", "Volume (edited)"
 ALIASES = [("authors", "Losülonur, Esra", "Losulonur, Esra"), ("authors", "_note", "x"), ("publishers", "Robububer Haus Verlag", "Verlag Robububer Haus"), ("publishers", "Zjsiyudil Verlag", "Zisiyudil Verlag"), ("publishers", "Voyofufo-House of Letters", "Voyofufo House of Letters")]
 
 
-def rec(spark: SparkSession, d: str) -> DataFrame:
-    return slim_records(table(spark, d, "publications"))
+def rec(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return slim_records(table(spark, d, "publications"), *columns)
 
 
 def pubs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -45,7 +46,7 @@ def pubs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 
 def type_counts_rank(spark: SparkSession, d: str) -> DataFrame:
     """Publications by type, untyped ones among them, ranked."""
-    return ag.rank(ag.count_types(rec(spark, d)))
+    return ag.rank(ag.count_types(rec(spark, d, "type")))
 
 
 def xfilter_type(spark: SparkSession, d: str) -> DataFrame:
@@ -64,15 +65,17 @@ def xfilter_venue(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def _series(spark: SparkSession, d: str, records: DataFrame, all_records: DataFrame) -> DataFrame:
-    order = ag.top_keys_with_other(ag.count_types(all_records), 4, OTHER)
-    return ag.stacked_year_series(records, ag.year_extent(all_records), order, OTHER)
+def _series(cube: DataFrame, whole: DataFrame) -> DataFrame:
+    """The stacked series of a cube of counts, over the span and in the series of the whole one."""
+    order = ag.top_keys_with_other(ag.count_types(whole), 4, OTHER)
+    return ag.stacked_year_series(cube, ag.year_extent(whole), order, OTHER)
 
 
 def xfilter_years(spark: SparkSession, d: str) -> DataFrame:
     """The year chart under every filter but the years', over the whole span and in the whole dataset's series."""
-    all_records = cut(rec(spark, d), "records")
-    return _series(spark, d, select(all_records, WIDE, "years"), all_records)
+    marked = rec(spark, d).withColumn("haystack", haystack()).withColumn("seen", WIDE.predicate("years"))
+    both = cut(marked.groupBy("year", "type", "seen").agg(F.count("*").alias("n")), "cube")
+    return _series(both.where("seen").drop("seen"), both.groupBy("year", "type").agg(F.sum("n").alias("n")))
 
 
 def xfilter_network(spark: SparkSession, d: str) -> DataFrame:
@@ -81,8 +84,8 @@ def xfilter_network(spark: SparkSession, d: str) -> DataFrame:
 
 def xfilter_list_page(spark: SparkSession, d: str) -> DataFrame:
     """The second page of 20 of the list under all filters."""
-    seen = select(rec(spark, d), WIDE)
-    return ag.page(seen, 2, 20, ag.sorted_list(seen), total=10**6).select("slug", "title", "year", "type")
+    seen = cut(select(rec(spark, d), WIDE).select("slug", "title", "year", "type"), "seen")
+    return ag.page(seen, 2, 20, ag.sorted_list(seen))
 
 
 def xfilter_all(spark: SparkSession, d: str) -> DataFrame:
@@ -113,30 +116,30 @@ def summary_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def series_order(spark: SparkSession, d: str) -> DataFrame:
     """Which types keep their own series, and which are folded."""
-    return ag.top_keys_with_other(ag.count_types(rec(spark, d)), 4, OTHER)
+    return ag.top_keys_with_other(ag.count_types(rec(spark, d, "type")), 4, OTHER)
 
 
 def stacked_years(spark: SparkSession, d: str) -> DataFrame:
-    all_records = cut(rec(spark, d), "records")
-    return ag.with_shares(_series(spark, d, all_records, all_records))
+    cube = cut(ag.year_type_counts(rec(spark, d, "year", "type")), "cube")
+    return ag.with_shares(_series(cube, cube))
 
 
 def meta_per_year(spark: SparkSession, d: str) -> DataFrame:
-    got = ag.per_year(cut(rec(spark, d).select("year"), "years"))
+    got = ag.per_year(cut(rec(spark, d, "year").select("year"), "years"))
     return got.withColumn("height", fmt.sparkline_height(F.col("count"), F.max("count").over(W.partitionBy())))
 
 
 def meta_types(spark: SparkSession, d: str) -> DataFrame:
-    return rf.ordered_types(TYPES, rec(spark, d))
+    return rf.ordered_types(TYPES, rec(spark, d, "type"))
 
 
 def year_ticks(spark: SparkSession, d: str) -> DataFrame:
-    return ag.year_ticks(ag.year_extent(rec(spark, d)))
+    return ag.year_ticks(ag.year_extent(rec(spark, d, "year")))
 
 
 def year_options(spark: SparkSession, d: str) -> DataFrame:
     """The years of the range menu, last first, with the chosen ones marked."""
-    extent = ag.year_extent(rec(spark, d)).where("year_min is not null")
+    extent = ag.year_extent(rec(spark, d, "year")).where("year_min is not null")
     years = extent.select(F.posexplode(F.sequence("year_max", "year_min", F.lit(-1))).alias("pos", "year"))
     return years.withColumn("chosen", F.coalesce(F.col("year").between(*CHOSEN.years), F.lit(False)))
 
@@ -147,7 +150,7 @@ def search_substring(spark: SparkSession, d: str) -> DataFrame:
 
 def suggestions(spark: SparkSession, d: str) -> DataFrame:
     """The eight best matches for "ver" among authors, journals and publishers: early match, then count, then value."""
-    records = cut(rec(spark, d).select("authors", "journal", "publisher"), "records")
+    records = cut(rec(spark, d, "authors", "journal", "publisher").drop("slug"), "records")
     kinds = {"author": "authors", "journal": "journal", "publisher": "publisher"}
     index = [ag.count_values(records, c).select(F.lit(k).alias("kind"), F.col("key").alias("value"), "count") for k, c in kinds.items()]
     found = index[0].unionByName(index[1]).unionByName(index[2]).withColumn("at", F.instr(fold_search(F.col("value")), fold_search_py("Ver")) - 1)
@@ -156,7 +159,7 @@ def suggestions(spark: SparkSession, d: str) -> DataFrame:
 
 def list_pages(spark: SparkSession, d: str) -> DataFrame:
     """Each author's place in the ranking, its page of twelve, and its share of the largest."""
-    ranked = ag.rank(ag.count_values(rec(spark, d), "authors"))
+    ranked = cut(ag.rank(ag.count_values(rec(spark, d, "authors"), "authors")), "ranking")
     peak = ranked.agg(F.max("count")).scalar()
     return ranked.select("key", "count", "rank", ag.page_of(F.col("rank"), 12).alias("page"), (F.col("count") / peak * 100).alias("share"))
 
@@ -179,7 +182,7 @@ def merge_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _venues(spark: SparkSession, d: str) -> DataFrame:
-    return rec(spark, d).select(F.col("publisher").alias("value"))
+    return rec(spark, d, "publisher").select(F.col("publisher").alias("value"))
 
 
 def venue_canonical(spark: SparkSession, d: str) -> DataFrame:
@@ -206,7 +209,7 @@ def author_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _names(spark: SparkSession, d: str) -> DataFrame:
-    return rec(spark, d).select("slug", F.posexplode("authors").alias("pos", "name"))
+    return rec(spark, d, "authors").select("slug", F.posexplode("authors").alias("pos", "name"))
 
 
 def name_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -229,7 +232,7 @@ def name_display(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, d: str, least: int = 2) -> tuple[DataFrame, DataFrame]:
-    nodes, links = gr.coauthor_graph(cut(rec(spark, d).select("authors"), "authors"), least)
+    nodes, links = gr.coauthor_graph(cut(rec(spark, d, "authors").select("authors"), "authors"), least)
     return nodes, links
 
 
@@ -268,7 +271,7 @@ def network_signature(spark: SparkSession, d: str) -> DataFrame:
 
 def solo_authors(spark: SparkSession, d: str) -> DataFrame:
     """Authors without a co-author."""
-    records = cut(rec(spark, d).select("authors"), "authors")
+    records = cut(rec(spark, d, "authors").select("authors"), "authors")
     everyone = records.select(F.explode("authors").alias("id")).distinct()
     return gr.solo(everyone, gr.coauthor_graph(records)[0])
 
@@ -277,7 +280,7 @@ def solo_authors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("lang = 'en'").select(F.coalesce("source", F.lit("none")).alias("source"), "doc_id", "text")
+    docs = table(spark, d, "documents").select(F.coalesce("source", F.lit("none")).alias("source"), "doc_id", "text")
     return wd.terms(docs, "source", "text", mode=wd.LETTERS, position=["doc_id"])
 
 
@@ -360,20 +363,20 @@ def type_tagging(spark: SparkSession, d: str) -> DataFrame:
 def schema_drift(spark: SparkSession, d: str) -> DataFrame:
     """The expected types against those that the register shows."""
     expected = spark.createDataFrame(list(enumerate(TYPES)), "type_id int, label string")
-    found = rec(spark, d).where("type is not null").select("type").distinct()
+    found = rec(spark, d, "type").where("type is not null").select("type").distinct()
     actual = found.join(F.broadcast(expected.withColumnRenamed("label", "type")), "type", "left").select(F.coalesce("type_id", 100 + F.length("type")).alias("type_id"), F.when(F.col("type_id") == 2, F.upper("type")).otherwise(F.col("type")).alias("label"))
     return rf.schema_drift(expected, actual)
 
 
 def quality_gates(spark: SparkSession, d: str) -> DataFrame:
-    records = rec(spark, d)
+    records = rec(spark, d, "year")
     return rf.gates(records, table(spark, d, "publications").select("slug").distinct())
 
 
 def published_in(spark: SparkSession, d: str) -> DataFrame:
     """Chapters with the volume they point to, where the register has it."""
     refs = table(spark, d, "volume_refs").select("ref_id", "from_slug", slug_key(F.col("slug")).alias("target"), "title")
-    volumes = rec(spark, d).select(F.col("slug").alias("target"), F.col("title").alias("volume"), F.col("year").alias("volume_year"))
+    volumes = rec(spark, d, "title", "year").select(F.col("slug").alias("target"), F.col("title").alias("volume"), F.col("year").alias("volume_year"))
     return refs.distinct().join(volumes, "target", "left").select("ref_id", "from_slug", "target", "volume", "volume_year")
 
 
@@ -418,7 +421,8 @@ def unit_documents(spark: SparkSession, d: str) -> DataFrame:
     """A page as a text file: title and paragraphs with blank lines between."""
     pages = table(spark, d, "unit_pages")
     body = F.filter(F.transform("paragraphs", clean_text), lambda p: p.isNotNull() & (p != ""))
-    return pages.select("page_id", F.concat(F.concat_ws("\n\n", some(F.col("title")), body), F.lit("\n")).alias("document"))
+    none = F.array().cast("array<struct<title:string,paragraphs:array<string>>>")
+    return pages.select("page_id", unit_document(some(F.col("title")), body, none).alias("document"))
 
 
 def _escape(c: Column) -> Column:

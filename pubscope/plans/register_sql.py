@@ -119,7 +119,7 @@ def _lemma(c: str) -> str:
 
 def _terms(stop: str) -> str:
     return rf"""tok AS (SELECT coalesce(source, 'none') AS unit, doc_id, unnest(ts) AS token, generate_subscripts(ts, 1) AS at_ FROM
-    (SELECT source, doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}]+'), lambda x: x <> '') AS ts FROM documents WHERE lang = 'en' AND text IS NOT NULL)),
+    (SELECT source, doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}]+'), lambda x: x <> '') AS ts FROM documents WHERE text IS NOT NULL)),
   term AS (SELECT unit, doc_id, at_, {_lemma("token")} AS term FROM tok WHERE length(token) >= 2 AND token NOT IN ({stop})),
   kept AS (SELECT * FROM term WHERE term NOT IN ({stop})),
   per_unit AS (SELECT unit, term, count(*) AS n, min((doc_id, at_)) AS first FROM kept GROUP BY 1, 2),

@@ -52,9 +52,12 @@ def latest(rows: DataFrame, key: str, order: list[str], columns: list[str]) -> D
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(best.alias("r")).select(key, "r.*")
 
 
-def slim_records(publications: DataFrame) -> DataFrame:
-    """The slim records of a register of harvests: the latest harvest of each slug, missing values as null, year 0 as null."""
-    cols = ["url", "title", "subtitle", "authors", "document_type", "year", "journal", "publisher", "series", "doi"]
-    last = latest(publications, "slug", ["harvested_at", "ingested_at"], cols)
-    text = {c: some(F.col(c)) for c in ("url", "title", "subtitle", "journal", "publisher", "series", "doi")}
-    return last.select("slug", *[text[c].alias(c) for c in ("url", "title", "subtitle")], some_items(F.col("authors")).alias("authors"), some(F.col("document_type")).alias("type"), F.nullif(F.col("year").cast("int"), F.lit(0)).alias("year"), *[text[c].alias(c) for c in ("journal", "publisher", "series", "doi")])
+def slim_records(publications: DataFrame, *columns: str) -> DataFrame:
+    """The slim records of a register of harvests: the latest harvest of each slug, missing values as null, year 0 as null.
+
+    ``columns``: those that a view needs (all without any); the others are not even read, nor carried to the aggregate.
+    """
+    wanted = [c for c in RECORD_FIELDS if c != "slug" and (not columns or c in columns)]
+    last = latest(publications, "slug", ["harvested_at", "ingested_at"], ["document_type" if c == "type" else c for c in wanted])
+    special = {"authors": some_items(F.col("authors")), "type": some(F.col("document_type")) if "type" in wanted else None, "year": F.nullif(F.col("year").cast("int"), F.lit(0))}
+    return last.select("slug", *[(special[c] if c in special else some(F.col(c))).alias(c) for c in wanted])

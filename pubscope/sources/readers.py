@@ -125,7 +125,7 @@ def read_words(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     """name, html of landed pages."""
-    return spark.read.option("pathGlobFilter", "*.html").text(folder, wholetext=True).select(F.url_decode(F.col("_metadata.file_name")).alias("name"), F.col("value").alias("html"))
+    return spark.read.option("pathGlobFilter", "*.html").option("recursiveFileLookup", True).text(folder, wholetext=True).select(F.url_decode(F.col("_metadata.file_name")).alias("name"), F.col("value").alias("html"))
 
 
 class WordFiles:
