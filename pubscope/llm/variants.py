@@ -22,12 +22,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pubscope.functions.names import PARTICLES
 from pubscope.functions.text import fold_py
-from pubscope.session import cut, small
+from pubscope.session import cut
 
 # Short forms of given names in general use (English, German, Spanish, Italian, French, Slavic, Turkish)
 # that don't follow from their beginning or end alone.
@@ -392,10 +392,11 @@ def _roots(stems: DataFrame, parents: DataFrame) -> DataFrame:
     at = cut(stems.join(parents, "stem", "left").select("stem", F.coalesce("parent", "stem").alias("root")), "roots")
     while True:
         up = at.select(F.col("stem").alias("root"), F.col("root").alias("up"))
-        nxt = cut(at.join(up, "root").select("stem", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), "roots")
-        if nxt.where("moved").isEmpty():
-            return nxt.select("stem", "root")
-        at = nxt.select("stem", "root")
+        moved = Observation()
+        nxt = at.join(up, "root").select("stem", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved"))
+        at = cut(nxt.observe(moved, F.count_if("moved").alias("n")).select("stem", "root"), "roots")
+        if not moved.get["n"]:
+            return at
 
 
 def _only(c: str) -> Column:
@@ -407,7 +408,7 @@ def _whole_words(venues: DataFrame) -> DataFrame:
     """Venues with their abbreviated words written out: name_id, field, n, words, heads.
 
     An abbreviation is a word that stands dotted more often than not, or a listed one. It is the word at the same place of a venue that
-    is the same otherwise; failing that, what it is most often beside the same neighbour, then at the same end, then anywhere; in doubt it stays.
+    is the same otherwise; failing that, what it is most often beside the same neighbour, then at the same end; in doubt it stays.
     """
     words = F.transform("words", lambda w: F.rtrim(w, F.lit(".")))
     rest = F.concat_ws(" ", F.filter(words, lambda w, k: k != F.col("k")))
@@ -437,15 +438,15 @@ def _whole_words(venues: DataFrame) -> DataFrame:
         seen = hits.groupBy(*keys, "w").agg(F.countDistinct("ctx").cast("double").alias("n"))
         if keys == ("field", "a", "place"):  # without any such venue, the words that stand there
             there = tok.groupBy("field", "place", "w").agg((F.count("*") / 1e6).alias("n")).join(means, ["field", "w"])
-            seen = seen.unionByName(there.select(*keys, "w", "n")).groupBy(*keys, "w").agg(F.sum("n").alias("n"))
-        if keys == ("field", "a"):  # the list is worth half an occurrence
-            seen = seen.unionByName(listed.join(short, ["field", "a"]).select("field", "a", "w", F.lit(0.5).alias("n"))).groupBy(*keys, "w").agg(F.sum("n").alias("n"))
+            # and the list, worth half an occurrence anywhere
+            known = listed.join(short, ["field", "a"]).select("field", "a", F.explode(F.array(*[F.lit(x) for x in ("first", "inside", "last")])).alias("place"), "w", F.lit(0.5).alias("n"))
+            seen = seen.unionByName(there.select(*keys, "w", "n")).unionByName(known).groupBy(*keys, "w").agg(F.sum("n").alias("n"))
         top = seen.groupBy(*keys).agg(F.max(F.struct("n", "w")).alias("top"), F.sum("n").alias("all"))
         return top.where(F.col("top.n") >= ODDS * (F.col("all") - F.col("top.n"))).select(*keys, F.col("top.w").alias("most_" + keys[-1]))
 
     asked = dotted.withColumnRenamed("w", "a").select("name_id", "field", "k", "a", "by", "place")
-    told = asked.join(here, ["name_id", "k"], "left").join(most("field", "a", "by"), ["field", "a", "by"], "left").join(most("field", "a", "place"), ["field", "a", "place"], "left").join(small(cut(most("field", "a"), "most")), ["field", "a"], "left")
-    told = told.select("name_id", "k", F.coalesce("here", "most_by", "most_place", "most_a").alias("to")).where("to is not null").groupBy("name_id").agg(F.collect_list(F.struct("k", "to")).alias("to"))
+    told = asked.join(here, ["name_id", "k"], "left").join(most("field", "a", "by"), ["field", "a", "by"], "left").join(most("field", "a", "place"), ["field", "a", "place"], "left")
+    told = told.select("name_id", "k", F.coalesce("here", "most_by", "most_place").alias("to")).where("to is not null").groupBy("name_id").agg(F.collect_list(F.struct("k", "to")).alias("to"))
     put = F.transform("words", lambda w, k: F.coalesce(F.get(F.filter("to", lambda t: t["k"] == k), F.lit(0))["to"], w))
     return venues.join(told, "name_id", "left").select("name_id", "field", "n", F.when(F.col("to").isNull(), F.col("words")).otherwise(put).alias("words"), "heads")
 
@@ -512,13 +513,13 @@ def link_variants(forms: DataFrame, counts: DataFrame) -> DataFrame:
 
     # other readings of a stem, where the register has them: the full name of a short one, the title before a subtitle
     full = persons.where("kind = 'full'")
-    fuller = full.select("field", "stem", "s", F.col("g").alias("short")).distinct().join(small(_short_names(full)), "short")
+    fuller = full.select("field", "stem", "s", F.col("g").alias("short")).distinct().join(_short_names(full), "short")
     fuller = fuller.select("stem", F.concat("field", F.lit(":"), "s", F.lit("|"), "g").alias("alt"))
     heads = venues.select("stem", F.explode("alt").alias("alt")).distinct()
     readings = cut(fuller.unionByName(heads).where("stem <> alt"), "readings")
-    exact = readings.join(roots.select(F.col("stem").alias("alt"), "root"), "alt").select("stem", "root")
+    exact = cut(readings.join(roots.select(F.col("stem").alias("alt"), "root"), "alt").select("stem", "root"), "exact")
     # with a slip, only where none is there as written
-    lost = readings.join(exact.select("stem").distinct(), "stem", "left_anti")
+    lost = cut(readings.join(exact.select("stem").distinct(), "stem", "left_anti"), "lost")
     slipped = _near(lost.select("alt").distinct().withColumn("asked", F.lit(True)).unionByName(stems.select(F.col("stem").alias("alt"), F.lit(False).alias("asked"))), "alt", "asked")
     meant = lost.join(slipped.select(F.col("x").alias("alt"), "y"), "alt").join(roots.select(F.col("stem").alias("y"), "root"), "y").select("stem", "root")
     read_as = cut(exact.unionByName(meant).where("stem <> root").groupBy("stem").agg(_only("root").alias("as"), F.lit(True).alias("asked")), "read as")
@@ -527,7 +528,7 @@ def link_variants(forms: DataFrame, counts: DataFrame) -> DataFrame:
     to = roots.join(read_as, "stem", "left").join(of_root, "root", "left")
     to = to.select("stem", F.when(F.col("asked"), F.col("as")).when(F.col("asked_root"), F.col("as_root")).otherwise(F.col("root")).alias("root"))
     to = to.join(of_root, "root", "left").select("stem", F.coalesce("as_root", "root").alias("root"))
-    rooted = placed.join(to.where("root is not null"), "stem").join(torn, "stem", "left_anti")
+    rooted = cut(placed.join(to.where("root is not null"), "stem").join(torn, "stem", "left_anti"), "rooted")
 
     # middle initials: one per entity; with several, a form without one fits them all
     middles = rooted.where("mid <> ''").groupBy("root").agg(F.min("mid").alias("m1"), F.max("mid").alias("m2"))
