@@ -17,10 +17,11 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pubscope.functions.text import clean_text, fold_py, fold_rough
+from pubscope.functions.text import INVISIBLE, _latin_pairs, clean_text, fold_py
 from pubscope.session import cut, small
 
 #: A node is constant if it is expected on more than this share of the host's pages.
@@ -43,13 +44,13 @@ PART_PAGES, PART_SHARE = 2, 0.01
 _PROSE = re.compile(r"(?<!\.\.)[.!?؟。！？।][\"”’»'“)\]]*$")
 _BROKEN = re.compile(r"…|\.\.\.")
 _BULLET = re.compile(r"^(?:[•‣▪◦●*–—-]\s+|\(?\d{1,2}[.)]\s+\S|\(?[a-z]\)\s)")
-LINKS_AT = r"\s+[·|›»>/•–]\s+|\s{2,}(?=→)"
-_PARTS = re.compile(LINKS_AT)
+_PARTS = re.compile(r"\s+[·|›»>/•–]\s+|\s{2,}(?=→)")
 
 TEMPLATE, BLANK, LINKS, TITLE, PROSE, BULLET, LABEL, NOTICE = "TBLNPUSX"
 #: Where a label stands: after text, under the title or at the start (alone or after one other label), among labels.
 TEXT_BEFORE, OPENING, AMONG = "tol"
 
+_NODES = "row long, page_id long, host string, title string, url string, blocks array<string>, keys array<long>, nth array<int>, parts array<struct<b:string,keys:array<bigint>>>"
 _PAGE = "row long, page_id long, host string, sure array<int>, prose array<int>, labels array<struct<i:int,key:long,before:string,follows:boolean,raw:boolean,under:long,words:int>>"
 
 
@@ -93,6 +94,46 @@ def slug_start(text: str) -> str:
     return re.sub(r"[^a-z0-9]+", "-", fold_py(text)).strip("-")
 
 
+_FOLD = str.maketrans(*_latin_pairs())
+_GONE = str.maketrans("", "", INVISIBLE)
+_DIGITS = re.compile("[0-9]+")
+_HOST_NAME = re.compile("[a-z0-9-]{5,}")
+
+
+def node_key(block: str, name: str) -> int:
+    """A node's key: the hash of its folded text, digits masked, and the site's own name too, so that other hosts' notices compare."""
+    low = block.lower()
+    if not low.isascii():
+        low = low.translate(_FOLD)
+    if name:
+        low = low.replace(name, "@")
+    h = xxhash.xxh64_intdigest(_DIGITS.sub("#", low))
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages as trees: cleaned blocks, their keys, how many nodes of that key they complete (0: blank), and the parts of those that list links."""
+    part = pa.struct([("b", pa.string()), ("keys", pa.list_(pa.int64()))])
+    names, types = [x.split()[0] for x in _NODES.split(", ")], [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(part)]
+    for b in batches:
+        out: list[list] = [[], [], [], []]
+        for host, paragraphs in zip(b.column(2).to_pylist(), b.column(5).to_pylist()):
+            labels = host.split(".")
+            name = labels[-2] if len(labels) > 1 and _HOST_NAME.fullmatch(labels[-2]) else ""
+            blocks = [" ".join(x.translate(_GONE).split()) if x else "" for x in paragraphs]
+            keys = [node_key(x, name) for x in blocks]
+            seen: dict[int, int] = {}
+            nth = []
+            for x, k in zip(blocks, keys):
+                if x:
+                    seen[k] = seen.get(k, 0) + 1
+                nth.append(seen[k] if x else 0)
+            parts = [{"b": x, "keys": [node_key(y, name) for y in _PARTS.split(x)]} for x in blocks if x and _PARTS.search(x) and not _PROSE.search(x)]
+            for column, value in zip(out, (blocks, keys, nth, parts)):
+                column.append(value)
+        yield pa.RecordBatch.from_arrays([*b.columns[:5], *[pa.array(c, t) for c, t in zip(out, types[5:])]], names=names)
+
+
 def classify(blocks: list[str], keys: list[int], template: list[int], title: str, url: str, notices: frozenset[int], parts: dict[str, list[int]], known: frozenset[int]) -> list[str]:
     """The kind of each (cleaned) block of a page. ``parts``: the keys of the parts of blocks that list links."""
     filled = [i for i, b in enumerate(blocks) if b]
@@ -181,10 +222,9 @@ def _templates(keyed: DataFrame, constant: DataFrame) -> DataFrame:
     later than, less those it is earlier than. Pages whose constant nodes are the same count together.
     """
     wanted = constant.groupBy("host").agg(F.collect_set(F.struct("key", "nth")).alias("wanted"))
-    known = F.transform("wanted", lambda w: w["key"])
-    held = keyed.join(small(wanted), "host").select("host", "wanted", F.filter("keys", lambda k: F.array_contains(known, k)).alias("keys"))
-    nth = F.transform("keys", lambda k, i: F.struct(k.alias("key"), F.size(F.filter(F.slice("keys", F.lit(1), i + 1), lambda x: x == k)).alias("nth")))
-    lines = held.select("host", F.filter(nth, lambda x: F.array_contains("wanted", x)).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+    nodes = F.transform(F.arrays_zip("keys", "nth"), lambda x: F.struct(x["keys"].alias("key"), x["nth"].alias("nth")))
+    held = keyed.join(small(wanted), "host").select("host", F.array_intersect(nodes, "wanted").alias("line"))
+    lines = held.groupBy("host", "line").agg(F.count("*").alias("n"))
     first = lines.select("host", "line", "n", F.posexplode("line").alias("i", "a"))
     pairs = first.select("host", "n", "a", F.explode(F.slice("line", F.col("i") + 2, F.size("line"))).alias("b"))
     ahead = pairs.select("host", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.when(F.col("a") < F.col("b"), F.col("n")).otherwise(-F.col("n")).alias("n"))
@@ -250,28 +290,11 @@ def main_blocks(pages: DataFrame) -> DataFrame:
     so it stays small and is joined to the pages by host. Every page is then handled by itself.
     """
     host = F.coalesce(F.nullif(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]+)", 1)), F.lit("")), F.concat(F.lit("unit:"), F.coalesce("unit", F.lit(""))))
-    blocks = F.transform("paragraphs", lambda b: F.coalesce(clean_text(b), F.lit("")))
-    keyed = pages.where("size(paragraphs) > 0").select(
-        F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("bigint").alias("page_id"), host.alias("host"), clean_text(F.coalesce("title", F.lit(""))).alias("title"), "url", blocks.alias("blocks")
-    )
-    # a node's key: folded, digits masked, and the site's own name too, so that other hosts' notices compare
-    name = F.coalesce(F.get(F.split("host", r"\."), F.size(F.split("host", r"\.")) - 2), F.lit(""))
-    keyed = keyed.withColumn("name", F.when(name.rlike("^[a-z0-9-]{5,}$"), name).otherwise("0"))
-
-    def node(b: Column) -> Column:
-        low = F.lower(b)
-        folded = F.when(low.rlike(r"[^\x{0}-\x{7f}]"), fold_rough(b)).otherwise(low)
-        return F.xxhash64(F.regexp_replace(F.replace(folded, F.col("name"), F.lit("@")), r"[0-9]+", "#"))
-
-    # blocks that may list links, with the keys of their parts
-    lists = F.filter("blocks", lambda b: b.rlike(LINKS_AT) & ~b.rlike(r"[.!?؟。！？।][\"”’»'“)\]]*$"))
-    parts = F.transform(lists, lambda b: F.struct(b.alias("b"), F.transform(F.split(b, LINKS_AT), node).alias("keys")))
-    keyed = cut(keyed.withColumn("keys", F.transform("blocks", node)).withColumn("parts", parts).drop("name"), "pages")
+    rows = pages.where("size(paragraphs) > 0").select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("bigint").alias("page_id"), host.alias("host"), clean_text(F.coalesce("title", F.lit(""))).alias("title"), "url", "paragraphs")
+    keyed = cut(rows.mapInArrow(_nodes, _NODES), "pages")
     sizes = keyed.groupBy("host").agg(F.count("*").alias("pages"))
     # a node that a page has several times is as many nodes: the first, the second ...
-    filled = F.filter("keys", lambda k: k != F.xxhash64(F.lit("")))
-    times = F.transform(F.array_distinct(filled), lambda k: F.struct(k.alias("key"), F.size(F.filter(filled, lambda x: x == k)).alias("times")))
-    each = keyed.select("host", F.explode(times).alias("t")).select("host", "t.key", F.explode(F.sequence(F.lit(1), F.col("t.times"))).alias("nth"))
+    each = keyed.select("host", F.explode(F.arrays_zip("keys", "nth")).alias("t")).select("host", F.col("t.keys").alias("key"), "t.nth").where("nth > 0")
     once = each.groupBy("host", "key", "nth").agg(F.count("*").alias("df"))
     counted = cut(once.join(sizes, "host"), "nodes")
     overall = counted.groupBy("key", "nth").agg(F.sum("df").alias("all_df"), F.sum("pages").alias("all_pages"), F.count("*").alias("hosts")).where("all_df > 1")
