@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pubscope.session import cut
-
 
 def count_values(records: DataFrame, column: str) -> DataFrame:
     """key, count of a column, or of an array column's elements (each as often as it stands there). Null and '' don't count."""
@@ -43,13 +41,13 @@ def rank(counts: DataFrame, limit: int | None = None, collation: str | None = No
         return counts.orderBy(*_ranking(collation)).limit(limit).withColumn("rank", F.row_number().over(W.orderBy(*_ranking(collation))).cast("bigint"))
     if collation:
         raise ValueError("a ranking by collation needs a limit")
-    # the counts are used twice, for the groups' sizes and for the numbers in them
-    grouped = cut(counts, "counts").withColumn("p", F.left("key", F.lit(2)))
-    sizes = grouped.groupBy("count", "p").agg(F.count("*").alias("n"))
+    inside = F.row_number().over(W.partitionBy("count", "p").orderBy("key"))
+    numbered = counts.withColumn("p", F.left("key", F.lit(2))).withColumn("i", inside)
+    # a group's size is its last number, so sizes and numbers come from one exchange, which is reused
+    sizes = numbered.groupBy("count", "p").agg(F.max("i").cast("bigint").alias("n"))
     # one row per distinct count and pair of first letters
     begin = sizes.select("count", "p", F.coalesce(F.sum("n").over(W.orderBy(F.desc("count"), "p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("begin"))
-    inside = F.row_number().over(W.partitionBy("count", "p").orderBy("key"))
-    return grouped.join(begin, ["count", "p"]).select("key", "count", (F.col("begin") + inside).cast("bigint").alias("rank"))
+    return numbered.join(begin, ["count", "p"]).select("key", "count", (F.col("begin") + F.col("i")).cast("bigint").alias("rank"))
 
 
 def top_keys_with_other(counts: DataFrame, limit: int, other: str) -> DataFrame:
