@@ -92,9 +92,12 @@ def palette_slot(rank: Column, n: Column, slots: int) -> Column:
     return F.least(F.floor((rank - 1) / F.greatest(n, F.lit(1)) * slots), F.lit(slots - 1)).cast("int")
 
 
-def rotation(seed: int = 0, share: float = 0.25, rank: Column | None = None, upright: int = 12) -> Column:
-    """0 or 90 degrees at random; the leading ranks stay upright."""
-    turned = F.when(F.rand(seed) < share, F.lit(90)).otherwise(F.lit(0))
+def rotation(text: Column, rank: Column | None = None, sixteenths: int = 4, upright: int = 12) -> Column:
+    """0 or 90 degrees, by chance but the same for a word on every run: a share of the texts is turned, by their digest.
+
+    The leading ranks stay upright.
+    """
+    turned = F.when(F.conv(F.left(F.md5(text), F.lit(1)), 16, 10).cast("int") < sixteenths, F.lit(90)).otherwise(F.lit(0))
     return F.when(rank <= upright, F.lit(0)).otherwise(turned) if rank is not None else turned
 
 

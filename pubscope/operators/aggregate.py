@@ -111,9 +111,10 @@ def summary(records: DataFrame) -> DataFrame:
     return base.withColumn("authors", F.coalesce(names.scalar(), F.lit(0)))
 
 
-def sorted_list(records: DataFrame) -> list[Column]:
-    """The order of the publication list: newest first, undated last, then title and slug."""
-    return [F.desc(F.coalesce("year", F.lit(0))), F.asc(F.coalesce("title", F.lit(""))), F.asc("slug")]
+def sorted_list(records: DataFrame, collation: str | None = None) -> list[Column]:
+    """The order of the publication list: newest first, undated last, then title (by a collation, or by code point) and slug."""
+    title = F.coalesce("title", F.lit(""))
+    return [F.desc(F.coalesce("year", F.lit(0))), F.asc(F.collate(title, collation) if collation else title), F.asc("slug")]
 
 
 def page(records: DataFrame, number: int, size: int, order: list[Column], total: int | None = None) -> DataFrame:

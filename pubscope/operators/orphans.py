@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pubscope.functions.text import present, slug_key
-from pubscope.session import BROADCAST_ROWS, checkpoint_root, cut, small
+from pubscope.session import BROADCAST_ROWS, cut, scratch, small
 
 FOREVER = "9999-12-31 23:59:59"
 #: Seconds of a key's time line that one task sorts.
@@ -95,7 +95,7 @@ def orphan_references(refs: dict[str, DataFrame], register: DataFrame) -> DataFr
     cols = ["ref_table", "ref_id", "from_slug", "target", "listed_at"]
     direct, rest = edges.where(~F.col("covered")).select(*cols), edges.where("covered").select(*cols)
     record = F.col("from_slug").alias("rec")
-    path, depth = f"{checkpoint_root(spark)}/pubscope/orphaned-{uuid.uuid4().hex}", 0
+    path, depth = f"{scratch(spark)}/orphaned-{uuid.uuid4().hex}", 0
     schema = "rec string, depth int"
     new = direct.select(record).where("rec is not null").distinct()
     while True:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pubscope.operators.extract import REGISTER, Layout, details, listing_entries, read_listing, seen_in
+from pubscope.operators.extract import REGISTER, Layout, details, listing_entries, read_listing, read_options, seen_in
 from pubscope.operators.refresh import assert_gates, gates, merge, stale, tag_types, with_fingerprint
 from pubscope.session import cut
 from pubscope.sources.crawl import fetch_pages
@@ -50,16 +50,20 @@ def _ask(spark: SparkSession, fetch: Fetch, addresses: list[tuple[int, str]]) ->
     return _whole(fetch(asked)).join(F.broadcast(asked), "url").select("page", "url", "html")
 
 
-def crawl_listing(spark: SparkSession, fetch: Fetch, address: Callable[[int], str], limit: int | None = None, max_pages: int = MAX_PAGES, layout: Layout = REGISTER) -> DataFrame:
+def crawl_listing(spark: SparkSession, fetch: Fetch, address: Callable[[int], str], limit: int | None = None, max_pages: int = MAX_PAGES, expected: dict[int, str] | None = None, layout: Layout = REGISTER) -> DataFrame:
     """The entries of a listing, each slug where it is seen first.
 
     The first page tells how many there are; the others are fetched together. A first page without entries stops the
-    run: the pages have changed.
+    run, as the pages have changed, and so does one whose filter offers other types than those ``expected``.
     """
     first = _ask(spark, fetch, [(1, address(1))])
     seen = read_listing(first.first()["html"] or "", layout)
     if not seen["entries"]:
         raise ValueError(f"refused: {address(1)}: no entries")
+    if expected is not None:
+        offered = {o["type_id"]: o["label"] for o in read_options(first.first()["html"] or "", layout)["options"]}
+        if offered != expected:
+            raise ValueError(f"refused: {address(1)}: other types: {sorted(offered.items() ^ expected.items())}")
     last = min(seen["last_page"] or 1, max_pages)
     pages = first if last < 2 else first.unionByName(_ask(spark, fetch, [(n, address(n)) for n in range(2, last + 1)]))
     return listing_entries(pages, limit=limit, layout=layout)
@@ -97,7 +101,8 @@ def refresh_register(
     is put after. ``types``: type_id, label, ordinal, with ``type_address`` for their listings; without them recorded
     types stay. A page of another layout, and a result that fails its gates, stops the run; nothing is written here.
     """
-    listing = cut(with_fingerprint(crawl_listing(spark, fetch, listing_address, limit, layout=layout)), "listing")
+    expected = None if types is None else {r["type_id"]: r["label"] for r in types.select("type_id", "label").collect()}
+    listing = cut(with_fingerprint(crawl_listing(spark, fetch, listing_address, limit, expected=expected, layout=layout)), "listing")
     old = cut(cached, "cached")
     ask = cut(stale(listing, old).select("slug", "fingerprint", F.concat(F.lit(detail_address), "slug").alias("url")), "stale")
     pages = _whole(fetch(ask)).join(ask, "url").select("slug", "html")
@@ -108,8 +113,7 @@ def refresh_register(
     fresh = fresh.drop("error").join(ask.select("slug", "fingerprint", "url"), "slug").withColumn("document_type", F.lit(None).cast("string"))
     merged = merge(listing, old.select(*[c for c in fresh.columns]), fresh)
     if types is not None and type_address is not None:
-        ids = [r["type_id"] for r in types.select("type_id").collect()]
-        merged = tag_types(merged, type_sightings(spark, fetch, type_address, ids, ask, layout=layout), types)
+        merged = tag_types(merged, type_sightings(spark, fetch, type_address, sorted(expected or {}), ask, layout=layout), types)
     merged = cut(merged, "register")
     assert_gates(gates(merged, None if limit is not None else old))
     return merged

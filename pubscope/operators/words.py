@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pubscope.functions.format import clean_word, font_size, palette_slot
+from pubscope.functions.format import clean_word, font_size, palette_slot, rotation
 from pubscope.session import cut, small
 
 # Words common to every unit's description.
@@ -124,11 +124,12 @@ def prepare(words: DataFrame, count: int, tie: str) -> DataFrame:
     return top.withColumn("original_size", F.col("size")).withColumn("rank", F.row_number().over(W.orderBy(F.desc("size"), tie)).cast("bigint"))
 
 
-def layout(prepared: DataFrame, area: float, slots: int = 6) -> DataFrame:
-    """Prepared words with share of the peak, font size and palette slot. The windows run over the shown words only."""
+def layout(prepared: DataFrame, area: float, slots: int = 6, least: float = 10.0, most: float | None = None) -> DataFrame:
+    """Prepared words with share of the peak, font size (between ``least`` and ``most``), palette slot and rotation. The windows run over the shown words only."""
     everything = W.partitionBy()
     n, peak = F.count("*").over(everything), F.max("size").over(everything)
-    return prepared.select("text", "size", "rank", (F.col("size") / peak * 100).alias("share"), font_size(F.col("size"), peak, n, area).alias("font"), palette_slot(F.col("rank"), n, slots).alias("slot"))
+    font = font_size(F.col("size"), peak, n, area, least=least, most=most)
+    return prepared.select("text", "size", "rank", (F.col("size") / peak * 100).alias("share"), font.alias("font"), palette_slot(F.col("rank"), n, slots).alias("slot"), rotation(F.col("text"), F.col("rank")).alias("rotation"))
 
 
 def context_figures(words: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pubscope.operators.filters import Filters, select
 from pubscope.plans.register import CHOSEN, TYPES, WIDE, _escape, _html, pubs, rec
 from pubscope.plans.register_sql import _LAST, _READ, _REC, _WS, _clean, _key, _list, _some, _strip, _where
 from pubscope.schema import some, some_items
-from pubscope.session import checkpoint_root, cut, table
+from pubscope.session import cut, scratch, table
 from pubscope.sources import crawl, readers, sinks
 
 SITE = "https://register.example"
@@ -34,7 +34,7 @@ ENTRIES = 50  # on a listing page, on average
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_root(spark)}/pubscope/{name}-{uuid.uuid4().hex}"
+    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # The refresh from landed pages
@@ -50,7 +50,8 @@ def _site(spark: SparkSession, d: str) -> DataFrame:
         F.lit("</h3><p class='bb-publication--publisher'>"), _escape(F.col("publisher")), F.lit("</p><p class='bb-publication--periodical'>"), _escape(F.col("journal")), F.lit("</p></article>"),
     )
     last = max(1, min(pl.MAX_PAGES // 2, -(-p.count() // ENTRIES)))
-    end = f"<div class='bb-pagination--item__end'><a href='{lay.listing}/page-{last}'>last</a></div>"
+    options = "".join(f"<option value='{k}'>{t}</option>" for k, t in enumerate(TYPES))
+    end = f"<select name='{lay.type_select}'><option value=''>All</option>{options}</select><div class='bb-pagination--item__end'><a href='{lay.listing}/page-{last}'>last</a></div>"
 
     def listing(rows: DataFrame, pages: int, end: str, start: Column) -> DataFrame:
         """A page's entries are those whose slug hashes to it; every page up to the last one exists."""
@@ -269,6 +270,12 @@ def locale_rank(spark: SparkSession, d: str) -> DataFrame:
     return ag.rank(ag.count_values(rec(spark, d), "publisher"), 20, collation="UNICODE")
 
 
+def locale_list(spark: SparkSession, d: str) -> DataFrame:
+    """The first 50 records of the list, titles in the order of a reader's language."""
+    records = rec(spark, d, "title", "year")
+    return ag.page(records, 1, 50, ag.sorted_list(records, "UNICODE"))
+
+
 def sorted_slugs(spark: SparkSession, d: str) -> DataFrame:
     """The order in which a dataset is written, told by each slug's neighbour; within ranges of first letters."""
     r = rec(spark, d).select("slug")
@@ -328,7 +335,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         refresh_run, crawl_pages, type_options, detail_references, detail_contributions, carried_names, unit_entries, imprint_lines,
         register_roundtrip, rejected_records, dataset_roundtrip, words_roundtrip, manifest_roundtrip, text_files, alias_file, landed_pages,
-        author_aliases, last_list_page, same_rankings, locale_rank, sorted_slugs, filter_states, legend_choice, parameters, labels, word_terms,
+        author_aliases, last_list_page, same_rankings, locale_rank, locale_list, sorted_slugs, filter_states, legend_choice, parameters, labels, word_terms,
     )
 }
 
@@ -392,6 +399,7 @@ ORACLES: dict[str, str] = {
     "labels": f"""WITH {_REC} SELECT coalesce(type, '') AS key, (CASE coalesce(type, '') WHEN 'Monograph' THEN 'Monografie' WHEN 'Article in journal' THEN 'Zeitschriftenartikel' WHEN '' THEN 'ohne Typ' ELSE type END) || ': ' || replace(format('{{:,}}', count(*)), ',', '.') || ' Titel' AS text FROM rec GROUP BY type""",
     "word_terms": _values([("house", 2), ("mouse", 1), ("man", 1), ("build", 1), ("run", 3)], "term, n"),
     "locale_rank": f"""WITH {_REC}, c AS (SELECT publisher AS key, count(*) AS count FROM rec WHERE publisher IS NOT NULL GROUP BY 1) SELECT key, count, row_number() OVER (ORDER BY count DESC, icu_sort_key(key, 'und'), key) AS rank FROM c QUALIFY rank <= 20""",
+    "locale_list": f"WITH {_REC} SELECT slug, title, year FROM rec ORDER BY coalesce(year, 0) DESC, icu_sort_key(coalesce(title, ''), 'und'), slug LIMIT 50",
     "author_aliases": f"WITH {_REC}, {_ALIASED} SELECT * FROM keys",
     "manifest_roundtrip": f"""WITH u AS (SELECT unit AS label, arg_min(paragraphs, page_id) AS p FROM (SELECT * REPLACE (coalesce(paragraphs, []) AS paragraphs) FROM unit_pages) WHERE unit <> '' GROUP BY unit)
         SELECT label, md5(array_to_string(list_concat([label], list_filter(list_transform(p, lambda x: {_clean('x')}), lambda x: x <> '')), chr(10) || chr(10)) || chr(10)) AS text FROM u WHERE length(label) % 2 = 0""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -109,6 +110,23 @@ def dashboard_views(spark: SparkSession, d: str) -> DataFrame:
     return counted.select(F.stack(F.lit(6), *[x for k in [*flags, "all"] for x in (F.lit(k), F.col(f"n_{k}"))]).alias("view", "records"))
 
 
+def dashboard_all(spark: SparkSession, d: str) -> DataFrame:
+    """All six views under one filter from one scan: types, authors, venues, years, network, list; each without its own filter."""
+    flags = WIDE.flags()
+    marked = rec(spark, d).withColumn("haystack", haystack()).select("type", "year", "authors", "journal", "publisher", *[c.alias(f"on_{k}") for k, c in flags.items()])
+    base = cut(marked, "views")
+
+    def seen(but: str | None = None) -> DataFrame:
+        return base.where(reduce(Column.__and__, [F.col(f"on_{k}") for k in flags if k != but]))
+
+    views = {"type": ag.count_types(seen("type")), "author": ag.rank(ag.count_values(seen("author"), "authors"), 50)}
+    views |= {f: ag.rank(ag.count_values(seen("venue"), f), 50) for f in ("journal", "publisher")}
+    views["years"] = seen("years").where("year <> 0").groupBy(F.col("year").cast("string").alias("key")).agg(F.count("*").alias("count"))
+    views["network"] = gr.coauthor_graph(seen("author"), 2)[1].select(F.concat_ws(" & ", "source", "target").alias("key"), F.col("weight").alias("count"))
+    views["list"] = seen().agg(F.count("*").alias("count")).select(F.lit("").alias("key"), "count")
+    return reduce(DataFrame.unionByName, [v.select(F.lit(k).alias("view"), "key", "count") for k, v in views.items()])
+
+
 def summary_counts(spark: SparkSession, d: str) -> DataFrame:
     got = ag.summary(cut(select(rec(spark, d), WIDE), "seen"))
     return got.withColumn("extent", fmt.extent_label(F.col("year_min"), F.col("year_max"))).withColumn("figure", fmt.figure(F.col("publications"), F.lit("–")))
@@ -307,7 +325,7 @@ def merged_groups(spark: SparkSession, d: str) -> DataFrame:
 def prepared_words(spark: SparkSession, d: str) -> DataFrame:
     """The 75 largest merged words with what a cloud needs of them."""
     merged = wd.merge_groups(_top_words(spark, d), F.col("unit"))
-    return wd.layout(wd.prepare(merged, 75, "text"), 960 * 540)
+    return wd.layout(wd.prepare(merged, 75, "text"), 960 * 540, least=12.0, most=90.0)
 
 
 def word_previews(spark: SparkSession, d: str) -> DataFrame:
@@ -463,7 +481,7 @@ def unit_html(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        type_counts_rank, xfilter_type, xfilter_author, xfilter_venue, xfilter_years, xfilter_network, xfilter_list_page, xfilter_all, dashboard_views, summary_counts,
+        type_counts_rank, xfilter_type, xfilter_author, xfilter_venue, xfilter_years, xfilter_network, xfilter_list_page, xfilter_all, dashboard_views, dashboard_all, summary_counts,
         series_order, stacked_years, meta_per_year, meta_types, year_ticks, year_options, search_substring, suggestions, list_pages, record_labels,
         merge_keys, venue_canonical, venue_merges, alias_lookup, author_split, name_keys, prefix_fold, name_display,
         coauthor_links, coauthor_nodes, neighbour_map, ego_network, drawn_network, network_signature, solo_authors,

@@ -138,8 +138,8 @@ def _words() -> dict[str, str]:
         "term_totals": f"WITH {t} SELECT unit, count(*) AS tokens FROM kept GROUP BY unit UNION ALL SELECT '(all)', count(*) FROM kept",
         "merged_groups": f"WITH {t} SELECT * FROM merged",
         "prepared_words": f"""{cloud % 75} SELECT text, size, rank, size / (SELECT max(size) FROM shown) * 100 AS share,
-            greatest(sqrt(518400.0 / ((SELECT count(*) FROM shown) * 1.5)) * (size / (SELECT max(size) FROM shown)), 10.0) AS font,
-            least(floor((rank - 1) / (SELECT count(*) FROM shown) * 6), 5)::INT AS slot FROM shown""",
+            least(greatest(sqrt(518400.0 / ((SELECT count(*) FROM shown) * 1.5)) * (size / (SELECT max(size) FROM shown)), 12.0), 90.0) AS font,
+            least(floor((rank - 1) / (SELECT count(*) FROM shown) * 6), 5)::INT AS slot, CASE WHEN rank > 12 AND left(md5(text), 1) IN ('0', '1', '2', '3') THEN 90 ELSE 0 END AS rotation FROM shown""",
         "word_previews": f"""{cloud % 31} SELECT text, i::INT AS slot, CASE WHEN lo = hi THEN 22 ELSE (13 + floor((size - lo) / (hi - lo) * 21 + 0.5))::INT END AS px
             FROM (SELECT unnest(range(0, (SELECT count(*) FROM shown))) AS i), (SELECT min(size) AS lo, max(size) AS hi, count(*) AS n FROM shown) m, shown WHERE rank - 1 = (i * 5) % n""",
         "word_context": f"WITH {t} SELECT sum(size)::BIGINT AS occurrences, count(*) AS terms FROM merged",
@@ -177,6 +177,11 @@ ORACLES: dict[str, str] = {
     "xfilter_list_page": f"WITH {_REC} SELECT slug, title, year, type FROM rec WHERE {_where(q.WIDE)} ORDER BY coalesce(year, 0) DESC, coalesce(title, ''), slug LIMIT 20 OFFSET 20",
     "xfilter_all": f"WITH {_REC} SELECT slug, year, type FROM rec WHERE {_where(q.CHOSEN)}",
     "dashboard_views": f"WITH {_REC} " + " UNION ALL ".join(f"SELECT '{d or 'all'}' AS view, count(*) AS records FROM rec WHERE {_where(q.CHOSEN, d)}" for d in ("type", "author", "venue", "years", "search", None)),
+    "dashboard_all": f"""WITH {_REC}, {_pairs(_where(q.WIDE, 'author'))}, """
+    + ", ".join(f"v_{k} AS (SELECT key, count(*) AS count FROM (SELECT {x} AS key FROM rec WHERE {_where(q.WIDE, but)}) WHERE key IS NOT NULL GROUP BY key)" for k, x, but in (("type", "coalesce(type, '')", "type"), ("author", "unnest(authors)", "author"), ("journal", "journal", "venue"), ("publisher", "publisher", "venue"), ("years", "year::VARCHAR", "years")))
+    + " SELECT 'type' AS view, key, count FROM v_type UNION ALL SELECT 'years', key, count FROM v_years"
+    + "".join(f" UNION ALL SELECT '{k}', key, count FROM (SELECT * FROM v_{k} ORDER BY count DESC, key LIMIT 50)" for k in ("author", "journal", "publisher"))
+    + f" UNION ALL SELECT 'network', source || ' & ' || target, weight FROM links UNION ALL SELECT 'list', '', count(*) FROM rec WHERE {_where(q.WIDE)}",
     "summary_counts": f"""WITH {_REC}, seen AS (SELECT * FROM rec WHERE {_where(q.WIDE)})
         SELECT count(*) AS publications, count(*) FILTER (type IS NULL) AS untyped, count(*) FILTER (year IS NULL) AS without_year, min(year) AS year_min, max(year) AS year_max,
           (SELECT count(DISTINCT a) FROM (SELECT unnest(authors) AS a FROM seen)) AS authors, CASE WHEN min(year) = max(year) THEN min(year)::VARCHAR ELSE min(year) || '–' || max(year) END AS extent, format('{{:,}}', count(*)) AS figure FROM seen""",

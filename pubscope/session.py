@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
 
 _OWN_DIRS: dict[str, str] = {}
+_SCRATCH: set[str] = set()
 
 
 def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "pubscope") -> SparkSession:
@@ -52,6 +55,29 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _OWN_DIRS[app]
 
 
+def scratch(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; it goes with the application."""
+    path = f"{checkpoint_root(spark)}/pubscope/{spark.sparkContext.applicationId}"
+    if path not in _SCRATCH:
+        _SCRATCH.add(path)
+        atexit.register(_remove, path)
+    return path
+
+
+def _remove(path: str) -> None:
+    """Delete a folder on any file system; what can't be deleted stays."""
+    try:
+        files, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+        files.delete_dir(at)
+    except (OSError, ValueError, pa.ArrowException):
+        pass
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete the tables that were cut so far, once the results that read them have been written."""
+    _remove(scratch(spark))
+
+
 def cut_counted(df: DataFrame, label: str = "cut") -> tuple[DataFrame, int]:
     """``cut``, and the number of rows, counted while they are written."""
     seen = Observation()
@@ -66,7 +92,7 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     being parquet, the table is compressed, can be pruned by column, and its size is known to the planner.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/pubscope/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
