@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pubscope.functions.text import INVISIBLE, _latin_pairs, clean_text, fold_py
+from pubscope.functions.text import INVISIBLE, clean_text, fold_py
 from pubscope.session import cut, small
 
 #: A node is constant if it is expected on more than this share of the host's pages.
@@ -94,20 +95,23 @@ def slug_start(text: str) -> str:
     return re.sub(r"[^a-z0-9]+", "-", fold_py(text)).strip("-")
 
 
-_FOLD = str.maketrans(*_latin_pairs())
-_GONE = str.maketrans("", "", INVISIBLE)
-_DIGITS = re.compile("[0-9]+")
+_GONE, _INVISIBLE = str.maketrans("", "", INVISIBLE), re.compile(f"[{INVISIBLE}]")
+_DIGITS = re.compile(b"[0-9]+")
 _HOST_NAME = re.compile("[a-z0-9-]{5,}")
 
 
-def node_key(block: str, name: str) -> int:
-    """A node's key: the hash of its folded text, digits masked, and the site's own name too, so that other hosts' notices compare."""
+def node_key(block: str, name: bytes) -> int:
+    """A node's key: the hash of its folded text, digits masked, and the site's own name too, so that other hosts' notices compare.
+
+    Folded: in lower case without accents; a text that is mostly of another script keeps its letters.
+    """
     low = block.lower()
-    if not low.isascii():
-        low = low.translate(_FOLD)
+    folded = low.encode() if low.isascii() else unicodedata.normalize("NFKD", low).encode("ascii", "ignore")
+    if 2 * len(folded) < len(low):
+        folded = low.encode("utf-8", "surrogatepass")
     if name:
-        low = low.replace(name, "@")
-    h = xxhash.xxh64_intdigest(_DIGITS.sub("#", low))
+        folded = folded.replace(name, b"@")
+    h = xxhash.xxh64_intdigest(_DIGITS.sub(b"#", folded))
     return h - (1 << 64) if h >> 63 else h
 
 
@@ -119,8 +123,8 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[], [], [], []]
         for host, paragraphs in zip(b.column(2).to_pylist(), b.column(5).to_pylist()):
             labels = host.split(".")
-            name = labels[-2] if len(labels) > 1 and _HOST_NAME.fullmatch(labels[-2]) else ""
-            blocks = [" ".join(x.translate(_GONE).split()) if x else "" for x in paragraphs]
+            name = labels[-2].encode() if len(labels) > 1 and _HOST_NAME.fullmatch(labels[-2]) else b""
+            blocks = [" ".join((x.translate(_GONE) if _INVISIBLE.search(x) else x).split()) if x else "" for x in paragraphs]
             keys = [node_key(x, name) for x in blocks]
             seen: dict[int, int] = {}
             nth = []
