@@ -21,7 +21,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -333,18 +335,29 @@ def one_slip(a: str, b: str) -> bool:
     return slip(a, b) > 0
 
 
-def _near(keys: DataFrame, key: str, wanted: str | None = None) -> DataFrame:
-    """x, y, like: keys that are one slip apart and likelier so than two names, both ways (``wanted``: x only where this column is true, y where it is false).
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each key with the hashes of itself and of what is left when one character is dropped."""
+    for b in batches:
+        flat, ends = [], [0]
+        for x in b.column(0).to_pylist():
+            flat += {xxhash.xxh64_intdigest(x), *(xxhash.xxh64_intdigest(x[:k] + x[k + 1 :]) for k in range(len(x)))}
+            ends.append(len(flat))
+        signs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.uint64).view(np.int64), pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column(0), signs], names=["x", "signs"])
+
+
+def _signed(keys: DataFrame, key: str) -> DataFrame:
+    """x, signs: the keys with their deletion signatures, cut, since they are looked at from both sides."""
+    return cut(keys.select(F.col(key).alias("x")).mapInArrow(_signatures, "x string, signs array<long>"), "signatures")
+
+
+def _near(left: DataFrame, right: DataFrame) -> DataFrame:
+    """x, y, like: keys (x, signs) of the left and of the right side that are one slip apart and likelier so than two names.
 
     Keys that share a text with one character dropped are candidates; such a text is shared by few keys.
     """
-    c = F.col(key)
-    dropped = F.transform(F.sequence(F.lit(1), F.length(c)), lambda k: F.concat(F.substring(c, F.lit(1), k - 1), F.substr(c, k + 1)))
-    side = F.col(wanted) if wanted else F.lit(None).cast("boolean")
-    signs = keys.select(c.alias("x"), side.alias("side"), F.explode(F.array_distinct(F.concat(F.array(c), dropped))).alias("t")).select("x", "side", F.xxhash64("t").alias("sign"))
-    left, right = (signs.where("side"), signs.where("not side")) if wanted else (signs, signs)
-    both = left.select("x", "sign").join(right.select(F.col("x").alias("y"), "sign"), "sign").where("x <> y").select("x", "y").distinct()
-    return both.mapInArrow(_keep_near, "x string, y string, like double")
+    a, b = left.select("x", F.explode("signs").alias("sign")), right.select(F.col("x").alias("y"), F.explode("signs").alias("sign"))
+    return a.join(b, "sign").where("x <> y").select("x", "y").distinct().mapInArrow(_keep_near, "x string, y string, like double")
 
 
 def _keep_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,10 +445,11 @@ def _whole_words(venues: DataFrame) -> DataFrame:
     open_ = cut(dotted.withColumnRenamed("w", "a").join(means, ["field", "a"]), "open")
     written = tok.join(means.select("field", "w").distinct(), ["field", "w"], "left_semi").select("ctx", "w").distinct()
     hits = cut(open_.join(written, ["ctx", "w"]), "hits")
+    contexts = cut(hits.select("field", "a", "by", "place", "ctx", "w").distinct(), "contexts")
     here = hits.groupBy("name_id", "k").agg(_only("w").alias("here"))
 
     def most(*keys: str) -> DataFrame:
-        seen = hits.groupBy(*keys, "w").agg(F.countDistinct("ctx").cast("double").alias("n"))
+        seen = contexts.groupBy(*keys, "w").agg(F.count("*").cast("double").alias("n"))
         if keys == ("field", "a", "place"):  # without any such venue, the words that stand there
             there = tok.groupBy("field", "place", "w").agg((F.count("*") / 1e6).alias("n")).join(means, ["field", "w"])
             # and the list, worth half an occurrence anywhere
@@ -496,7 +510,8 @@ def link_variants(forms: DataFrame, counts: DataFrame) -> DataFrame:
 
     # slips: every stem and its likelier neighbours
     stems = cut(placed.groupBy("stem").agg(F.sum("n").alias("n"), F.count("*").alias("forms")), "stems")
-    near = cut(_apart(cut(_near(stems.select("stem"), "stem"), "slips"), placed), "near")
+    signed = _signed(stems, "stem")
+    near = cut(_apart(cut(_near(signed, signed), "slips"), placed), "near")
     # the prior of a candidate is what it would explain: its own occurrences and those of its neighbours
     weight = F.col("n") + F.col("forms")
     explained = near.join(stems.select(F.col("stem").alias("y"), weight.alias("w")), "y").groupBy(F.col("x").alias("stem")).agg(F.sum(F.col("like") * F.col("w")).alias("around"))
@@ -520,7 +535,7 @@ def link_variants(forms: DataFrame, counts: DataFrame) -> DataFrame:
     exact = cut(readings.join(roots.select(F.col("stem").alias("alt"), "root"), "alt").select("stem", "root"), "exact")
     # with a slip, only where none is there as written
     lost = cut(readings.join(exact.select("stem").distinct(), "stem", "left_anti"), "lost")
-    slipped = _near(lost.select("alt").distinct().withColumn("asked", F.lit(True)).unionByName(stems.select(F.col("stem").alias("alt"), F.lit(False).alias("asked"))), "alt", "asked")
+    slipped = _near(_signed(lost.select("alt").distinct(), "alt"), signed)
     meant = lost.join(slipped.select(F.col("x").alias("alt"), "y"), "alt").join(roots.select(F.col("stem").alias("y"), "root"), "y").select("stem", "root")
     read_as = cut(exact.unionByName(meant).where("stem <> root").groupBy("stem").agg(_only("root").alias("as"), F.lit(True).alias("asked")), "read as")
     # a stem goes where its own reading leads, else where that of its root does; one of several readings goes nowhere
@@ -546,7 +561,7 @@ def link_variants(forms: DataFrame, counts: DataFrame) -> DataFrame:
     # surnames with a slip: only where the surname as written has nobody under this initial
     lost = heads.join(under, ["s", "i"], "left_anti").select(F.concat("s", F.lit("|"), "i").alias("k"))
     there = under.select(F.concat("s", F.lit("|"), "i").alias("k")).distinct()
-    slips = _near(lost.withColumn("asked", F.lit(True)).unionByName(there.withColumn("asked", F.lit(False))), "k", "asked")
+    slips = _near(_signed(lost, "k"), _signed(there, "k"))
     moved = slips.groupBy("x").agg(_only("y").alias("y")).where("y is not null")
     key = F.concat("s", F.lit("|"), "i")
     at = init.withColumn("x", key).join(moved, "x", "left").withColumn("k", F.coalesce("y", "x")).drop("x", "y")
