@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pubscope.operators.orphans import direct_orphans, orphan_references, orphan_report
 from pubscope.operators.snapshots import snapshot_changes
@@ -36,11 +37,26 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return unpack(table(spark, d, "listing_entries"), "entry_id", "authors", "author")
 
 
+def p4_checked(spark: SparkSession, d: str) -> DataFrame:
+    """One row on p4_found: are positions without gaps, are names no blanks, does every name stand in its cell?
+
+    Blanks, quotes and what notes leave out don't count: the letters and figures of a name stand in its cell in order.
+    """
+    cells = table(spark, d, "listing_entries").select("entry_id", "authors")
+    plain = lambda c: F.regexp_replace(c, r"[^\p{L}\p{M}\p{N}]+", "")
+    bare = lambda c: F.regexp_replace(c, r"(?i)[(\[]\s*(?:eds?|hgg?|hrsg|hgs|hgb|dirs?|éds?|coords?|trans|transl|translator|trad|übers|comps?|editors?|herausgeber|herausgeberin|contributor|red)\.?\s*[)\]]", "")
+    names = p4_found(spark, d).join(cells, "entry_id")
+    held = F.contains(plain(bare(F.col("authors"))), plain(F.col("author")))
+    per = names.groupBy("entry_id").agg(F.max("pos").alias("last"), F.countDistinct("pos").alias("n"), F.bool_and(F.length(plain(F.col("author"))) > 0).alias("named"), F.bool_and(held).alias("held"))
+    return per.agg(F.bool_and(F.col("last") == F.col("n")).alias("positions_ok"), F.bool_and("named").alias("names_ok"), F.bool_and("held").alias("cells_ok"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_report": p1_report,
     "p2_found": p2_found,
     "p4_found": p4_found,
+    "p4_checked": p4_checked,
 }
 
 _SLUG = r"""lower(regexp_extract(regexp_replace(url_decode(replace(regexp_replace(regexp_replace(regexp_replace({c}, '^[\s\x{{a0}}]+|[\s\x{{a0}}]+$', '', 'g'), '^([A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*', ''), '(?s)[?#].*$', ''), '+', '%2B')), '^[/\s\x{{a0}}]+|[/\s\x{{a0}}]+$', '', 'g'), '[^/]*$'))"""
@@ -56,6 +72,7 @@ direct AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM publications p WHERE
 """
 
 ORACLES: dict[str, str] = {
+    "p4_checked": "SELECT true AS positions_ok, true AS names_ok, true AS cells_ok",
     "p1_found": f"WITH {_REFS} SELECT DISTINCT ref_table, ref_id FROM direct",
     "p1_report": f"""WITH RECURSIVE {_REFS},
         gone(rec) AS (SELECT from_slug FROM direct UNION SELECT r.from_slug FROM r JOIN gone ON r.target = gone.rec),
