@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pubscope.functions.text import clean_text
 from pubscope.llm.boilerplate import main_blocks
 from pubscope.llm.cooccur import co_occurrence, latest_baskets
 from pubscope.llm.encode import decode_corpus, encode_corpus
 from pubscope.llm.mixture import CLOSE, mixture, sized
 from pubscope.llm.pieces import split_oversized
 from pubscope.llm.variants import link_variants, variant_pairs
-from pubscope.session import table
+from pubscope.session import cut, table
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -35,6 +36,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return main_blocks(table(spark, d, "unit_pages"))
 
 
+def p5_checked(spark: SparkSession, d: str) -> DataFrame:
+    """One row on p5_found: are its blocks there and not blank, is each given once, is none the page's own title?"""
+    pages = table(spark, d, "unit_pages")
+    got = main_blocks(pages).groupBy("page_id", "pos").agg(F.count("*").alias("n")).join(pages.select("page_id", "title", "paragraphs"), "page_id")
+    block = clean_text(F.get("paragraphs", F.col("pos") - 1))
+    return got.agg(F.bool_and(F.coalesce(F.length(block) > 0, F.lit(False))).alias("blocks_ok"), F.bool_and(F.col("n") == 1).alias("once_ok"), F.bool_and(F.coalesce(block != clean_text(F.col("title")), F.lit(True))).alias("titles_ok"))
+
+
 def _variants(spark: SparkSession, d: str) -> DataFrame:
     records = table(spark, d, "publications")
     forms = [records.select(F.lit("author").alias("field"), F.explode(F.array_distinct("authors")).alias("form"))]
@@ -53,6 +62,19 @@ def p6_entities(spark: SparkSession, d: str) -> DataFrame:
     return _variants(spark, d)
 
 
+def p6_checked(spark: SparkSession, d: str) -> DataFrame:
+    """One row on p6_found: are pairs in order and of one field, are they all pairs of their entities, are forms that differ in case alone linked?"""
+    forms = table(spark, d, "name_forms").select("name_id", "field", "form")
+    links = cut(_variants(spark, d).select("name_id", "field", "entity"), "links")
+    pairs = cut(variant_pairs(links), "pairs")
+    sides = pairs.join(forms.select(F.col("name_id").alias("name_id_a"), F.col("field").alias("fa")), "name_id_a").join(forms.select(F.col("name_id").alias("name_id_b"), F.col("field").alias("fb")), "name_id_b")
+    order = sides.agg(F.bool_and((F.col("name_id_a") < F.col("name_id_b")) & (F.col("fa") == F.col("fb"))).alias("pairs_ok"), F.count("*").alias("n"))
+    want = links.groupBy("field", "entity").agg(F.countDistinct("name_id").alias("k")).agg(F.coalesce(F.sum(F.col("k") * (F.col("k") - 1) / 2), F.lit(0.0)).cast("long").alias("want"))
+    cased = forms.where("form is not null").join(links.drop("field"), "name_id").groupBy("field", F.lower("form").alias("low")).agg(F.countDistinct("entity").alias("e"))
+    case = cased.where("field <> 'author'").agg(F.coalesce(F.max("e"), F.lit(1)).alias("most"))
+    return order.withColumn("want", want.scalar()).withColumn("most", case.scalar()).select("pairs_ok", (F.col("n") == F.col("want")).alias("all_ok"), (F.col("most") <= 1).alias("case_ok"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return encode_corpus(table(spark, d, "documents"))
@@ -119,7 +141,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_pairs": p3_pairs,
     "p5_found": p5_found,
+    "p5_checked": p5_checked,
     "p6_found": p6_found,
+    "p6_checked": p6_checked,
     "p6_entities": p6_entities,
     "p7_ids": p7_ids,
     "p7_decoded": p7_decoded,
@@ -140,6 +164,8 @@ _PAIRS = r"""WITH latest AS (SELECT slug, arg_max_null(authors, (harvested_at, i
             FROM pair JOIN marginal p ON a = p.name JOIN marginal q ON b = q.name)
 """
 ORACLES: dict[str, str] = {
+    "p5_checked": "SELECT true AS blocks_ok, true AS once_ok, true AS titles_ok",
+    "p6_checked": "SELECT true AS pairs_ok, true AS all_ok, true AS case_ok",
     "p7_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS digest, length(coalesce(text, '')) AS n_chars FROM documents",
     "p8_checked": "SELECT source, true AS repeats_ok, true AS budget_ok, true AS texts_ok FROM mix_targets",
     "p9_rebuilt": "SELECT doc_id, md5(coalesce(text, '')) AS digest, true AS ok FROM documents",

@@ -501,7 +501,7 @@ def link_variants(forms: DataFrame, counts: DataFrame) -> DataFrame:
     rows = forms.select("name_id", "field", "form").where("field is not null and form is not null")
     prior = counts.groupBy("field", "form").agg(F.sum("n").alias("n"))
     known = rows.join(prior, ["field", "form"], "left").select(F.col("name_id").cast("bigint").alias("name_id"), "field", "form", F.coalesce("n", F.lit(0)).alias("n"))
-    read = cut(known.mapInArrow(_read, _READ).distinct(), "read")
+    read = cut(known.distinct().mapInArrow(_read, _READ), "read")  # rows of a form are together after the join
 
     venues = read.where("kind = 'venue'").select("name_id", "field", "n", "words", "heads")
     venues = cut(_whole_words(venues).mapInArrow(_stems, "name_id long, field string, n long, stem string, s string, alt array<string>"), "venues")
