@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pubscope.functions.format import clean_word, font_size, palette_slot, rotation
 from pubscope.session import cut, small
@@ -69,31 +70,51 @@ def suffix_lemma(token: Column) -> Column:
     return F.when(noun != token, noun).otherwise(verb)
 
 
-def terms(texts: DataFrame, unit: str, text: str, min_length: int = 2, stop: list[str] | None = None, lemmas: DataFrame | None = None, mode: str = WORDS, position: list[str] | None = None) -> DataFrame:
-    """unit, term, position of every token that counts: letters only, long enough, no stopword before or after its lemma.
+def _tokens(texts: DataFrame, unit: str, text: str, mode: str, position: list[str] | None) -> DataFrame:
+    """unit, token, position of every token."""
+    where = [F.col(p) for p in position or []]
+    cut_up = texts.select(F.col(unit).alias("unit"), *[w.alias(f"p{i}") for i, w in enumerate(where)], F.posexplode(tokens_of(F.col(text), mode)).alias("at", "token"))
+    place: Column = F.struct(*[F.col(f"p{i}") for i in range(len(where))], "at")
+    if len(where) == 1 and isinstance(cut_up.schema["p0"].dataType, T.IntegralType):
+        # one number orders the same, and its minimum is found by hashing, where a struct's would sort all tokens
+        place = F.col("p0").cast("decimal(19,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("at").cast("decimal(10,0)")
+    return cut_up.select("unit", "token", place.alias("position"))
 
-    ``lemmas``: token, noun, verb (either may be null), as a dictionary gives them; without it the suffix rule stands
-    in. ``position`` columns order the texts of a unit, for ties by first use.
-    """
+
+def _lemmatised(tokens: DataFrame, min_length: int, stop: list[str] | None, lemmas: DataFrame | None) -> DataFrame:
+    """Rows with a token that counts, with its lemma as ``term``."""
     stop = stopwords() if stop is None else stop
-    keep = lambda c: c.rlike(r"^\p{L}+$") & (F.length(c) >= min_length) & ~c.isin(stop)
-    where = [F.col(p) for p in position or []]
-    kept = texts.select(F.col(unit).alias("unit"), *[w.alias(f"p{i}") for i, w in enumerate(where)], F.posexplode(tokens_of(F.col(text), mode)).alias("at", "token")).where(keep(F.col("token")))
-    place = F.struct(*[F.col(f"p{i}") for i in range(len(where))], "at").alias("position")
+    kept = tokens.where(F.col("token").rlike(r"^\p{L}+$") & (F.length("token") >= min_length) & ~F.col("token").isin(stop))
     if lemmas is None:
         lemma = suffix_lemma(F.col("token"))
     else:
         kept = kept.join(small(lemmas), "token", "left")
         lemma = F.when(F.col("noun") != F.col("token"), F.col("noun")).otherwise(F.coalesce("verb", "token"))
-    return kept.select("unit", lemma.alias("term"), place).where(~F.col("term").isin(stop))
+    return kept.withColumn("term", lemma).where(~F.col("term").isin(stop))
+
+
+def terms(texts: DataFrame, unit: str, text: str, min_length: int = 2, stop: list[str] | None = None, lemmas: DataFrame | None = None, mode: str = WORDS, position: list[str] | None = None) -> DataFrame:
+    """unit, term, position of every token that counts: letters only, long enough, no stopword before or after its lemma.
+
+    ``lemmas``: token, noun, verb (either may be null), as a dictionary gives them; without it the suffix rule stands
+    in. ``position`` columns order the texts of a unit, for ties by first use.
+    """
+    return _lemmatised(_tokens(texts, unit, text, mode, position), min_length, stop, lemmas).select("unit", "term", "position")
+
+
+def term_counts(texts: DataFrame, unit: str, text: str, min_length: int = 2, stop: list[str] | None = None, lemmas: DataFrame | None = None, mode: str = WORDS, position: list[str] | None = None) -> DataFrame:
+    """unit, term, n, first: the same tokens counted. They are counted as written first, so a token is judged and lemmatised once per unit."""
+    written = _tokens(texts, unit, text, mode, position).groupBy("unit", "token").agg(F.count("*").alias("n"), F.min("position").alias("first"))
+    return _lemmatised(written, min_length, stop, lemmas).groupBy("unit", "term").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
 
 def frequencies(found: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """unit, term, n, first: counts per unit, and combined under a null unit over the member units (all without ``members``).
 
-    One aggregation per (unit, term), cut, feeds both; the combined one sums its results.
+    One aggregation per (unit, term), cut, feeds both; the combined one sums its results. ``found``: ``terms`` or
+    ``term_counts``.
     """
-    per_unit = found.groupBy("unit", "term").agg(F.count("*").alias("n"), F.min("position").alias("first"))
+    per_unit = found if "n" in found.columns else found.groupBy("unit", "term").agg(F.count("*").alias("n"), F.min("position").alias("first"))
     per_unit = cut(per_unit, "terms")
     of = per_unit if members is None else per_unit.join(small(members.select("unit")), "unit", "left_semi")
     combined = of.groupBy("term").agg(F.sum("n").alias("n"), F.min("first").alias("first")).select(F.lit(None).cast(per_unit.schema["unit"].dataType).alias("unit"), "term", "n", "first")
@@ -108,7 +129,8 @@ def most_common(freq: DataFrame, top_n: int) -> DataFrame:
 
 def token_totals(found: DataFrame) -> DataFrame:
     """unit, tokens: how many tokens count per unit, and under a null unit in all."""
-    return found.rollup("unit").agg(F.count("*").alias("tokens"), F.grouping_id().alias("level")).select("unit", "tokens", "level")
+    n = F.sum("n") if "n" in found.columns else F.count("*")
+    return found.rollup("unit").agg(n.alias("tokens"), F.grouping_id().alias("level")).select("unit", "tokens", "level")
 
 
 def merge_groups(words: DataFrame, order: Column) -> DataFrame:

@@ -299,7 +299,7 @@ def solo_authors(spark: SparkSession, d: str) -> DataFrame:
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.coalesce("source", F.lit("none")).alias("source"), "doc_id", "text")
-    return wd.terms(docs, "source", "text", mode=wd.LETTERS, position=["doc_id"])
+    return wd.term_counts(docs, "source", "text", mode=wd.LETTERS, position=["doc_id"])
 
 
 def term_frequencies(spark: SparkSession, d: str) -> DataFrame:
