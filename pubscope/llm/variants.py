@@ -42,44 +42,33 @@ ann: nan nancy
 anthony: tony
 antonia: toni
 antonio: toni tonio
-barbara: babs barb
-bartholomew: bart
 benjamin: ben benny
-catherine: kate kitty cathy
-charles: charlie chuck chas
-christopher: kit chris topher
+catherine: kate kitty
+charles: charlie chuck
+christopher: kit chris
 christina: tina chris
 daniel: dan danny
-david: dave davy
+david: dave
 deborah: debbie
-dimitri: mitya dima
 dorothea: thea dora dorle
-dorothy: dot dolly dottie
 edward: ed eddie ned ted
-elisabeth: lisa liesl else elsa betty
+elisabeth: lisa liesl betty
 elizabeth: liz lizzie beth betty bess eliza lisa
-eugene: gene
-ferdinand: ferdi
-florence: flo flossie
-frances: fran fanny
+frances: fanny
 francesca: franca cesca
 francis: frank
 francisco: paco pancho
-franziska: franzi sissi
-frederick: fred freddie
+frederick: fred
 friedrich: fritz fred
-gerald: gerry jerry
-gertrude: trude trudy gerti
-giovanni: gianni nino
-giuseppe: beppe pino
-gottfried: friedel
+gerald: jerry
+giovanni: gianni
+giuseppe: beppe
 guillermo: memo
 gunther: gunni
 harold: harry hal
-heinrich: heinz heiner hinnerk
+heinrich: heinz heiner
 helena: lena leni
-helene: lene leni
-henry: hank harry hal
+henry: hank hal
 ibrahim: ibo
 ignacio: nacho
 ivan: vanya
@@ -102,52 +91,39 @@ leonard: len lenny leo
 ludwig: lutz
 magdalena: lena leni
 margaret: maggie meg peggy marge greta
-margarethe: grete greta gretel
-maria: mitzi mia
-martha: patty
+margarethe: grete greta
+maria: mia
 mary: molly polly
-matilda: tilly
-matthias: hias
 mehmet: memo
-michael: mike mick mickey misha
+michael: mike mick misha
 mikhail: misha
 mohammed: mo
 natalia: natasha
 nicholas: nick
-nikolai: kolya
 nikolaus: klaus klaas nico niko
-patricia: pat patty trish
-patrick: pat paddy
-pavel: pasha
+patricia: patty trish
+patrick: paddy
 penelope: penny
-philip: phil pip
 rebecca: becky
-reginald: reg
 richard: dick rick ricky
 robert: bob bobby rob robbie
-rosalind: roz
 rudolf: rolf rudi
-salvatore: toto
 samuel: sam sammy
 sarah: sally sadie
-sebastian: basti
-sergei: seryozha
 stephen: steve
 susan: sue susie
 susanna: sanna susi sue
 theodor: ted
 theodore: ted teddy
-theresa: tess terry
-therese: resi
+theresa: tess
 thomas: tom tommy
 tomasz: tomek
 ulrich: uli ulli
 ulrike: uli ulli rike
 victoria: vicky tori
 viktoria: vicky tori
-vladimir: volodya vova
-walter: walt
-wilhelm: willi willy helm
+vladimir: volodya
+wilhelm: willi willy
 wilhelmina: mina minna
 william: bill billy will willy liam
 zacharias: zach
@@ -198,8 +174,9 @@ SLIP_ODDS = 3.0
 ODDS = 3
 #: A word is one of its own and no slip of a neighbour if so many stems have it, and more than this share of those that have the neighbour.
 OWN_STEMS, SLIP_SHARE = 3, 0.2
-#: A short name is learned if it stands with the full one under so many surnames, so many times as often as chance.
-SHORT_SURNAMES, SHORT_LIFT = 3, 5.0
+#: A short name is learned if it stands with the full one under so many surnames, so many times as often as chance, and
+#: under this share of its own.
+SHORT_SURNAMES, SHORT_LIFT, SHORT_SHARE = 3, 5.0, 0.3
 
 _READ = "name_id long, field string, n long, kind string, stem string, words array<string>, heads array<int>, s string, i string, g string, mid string"
 
@@ -480,9 +457,10 @@ def _short_names(full: DataFrame) -> DataFrame:
     whole = names.where("length(g) >= 4").select("s", "g", F.explode(pieces).alias("t"))
     base = F.regexp_replace("g", "(?:ie|chen|lein|[aeiouy])$", "")
     asked = names.where("length(g) <= 7").select("s", F.col("g").alias("short"), F.explode(F.array_distinct(F.array(F.concat(F.lit("^"), "g"), F.concat(F.lit("^"), base), F.concat("g", F.lit("$"))))).alias("t"))
-    met = asked.join(whole, ["s", "t"]).where("length(short) < length(g)").select("s", "short", "g").distinct().groupBy("short", "g").agg(F.count("*").alias("both")).where(F.col("both") >= SHORT_SURNAMES)
+    met = asked.join(whole, ["s", "t"]).where((F.length("short") < F.length("g")) & (F.levenshtein("short", "g") > 1)).select("s", "short", "g").distinct().groupBy("short", "g").agg(F.count("*").alias("both")).where(F.col("both") >= SHORT_SURNAMES)
     met = met.join(per.select(F.col("g").alias("short"), F.col("n").alias("n1")), "short").join(per.select("g", F.col("n").alias("n2")), "g")
-    learned = met.where(F.col("both") * F.lit(surnames) >= SHORT_LIFT * F.col("n1") * F.col("n2")).select("short", "g")
+    often = F.col("both") * F.lit(surnames) >= SHORT_LIFT * F.col("n1") * F.col("n2")
+    learned = met.where(often & (F.col("both") >= SHORT_SHARE * F.col("n1"))).select("short", "g")
     listed = spark.createDataFrame([(spelled(a), spelled(b)) for a, b in _pairs_of(SHORT_NAMES)], "short string, g string")
     both = cut(learned.unionByName(listed).distinct(), "short names")
     # of "leo: lenny", "leo: leonard" and "lenny: leonard", the first says no more than the others
