@@ -14,7 +14,7 @@ from pubscope.llm.encode import decode_corpus, encode_corpus
 from pubscope.llm.mixture import CLOSE, mixture, sized
 from pubscope.llm.pieces import split_oversized
 from pubscope.llm.variants import link_variants, variant_pairs
-from pubscope.session import cut, table
+from pubscope.session import cut_large, table
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -64,9 +64,9 @@ def p6_entities(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_checked(spark: SparkSession, d: str) -> DataFrame:
     """One row on p6_found: are pairs in order and of one field, are they all pairs of their entities, are forms that differ in case alone linked?"""
-    forms = table(spark, d, "name_forms").select("name_id", "field", "form")
-    links = cut(_variants(spark, d).select("name_id", "field", "entity"), "links")
-    pairs = cut(variant_pairs(links), "pairs")
+    forms = table(spark, d, "name_forms").select("name_id", "field", "form").hint("merge")
+    links = cut_large(_variants(spark, d).select("name_id", "field", "entity"), "links")
+    pairs = cut_large(variant_pairs(links), "pairs")
     sides = pairs.join(forms.select(F.col("name_id").alias("name_id_a"), F.col("field").alias("fa")), "name_id_a").join(forms.select(F.col("name_id").alias("name_id_b"), F.col("field").alias("fb")), "name_id_b")
     order = sides.agg(F.bool_and((F.col("name_id_a") < F.col("name_id_b")) & (F.col("fa") == F.col("fb"))).alias("pairs_ok"), F.count("*").alias("n"))
     want = links.groupBy("field", "entity").agg(F.countDistinct("name_id").alias("k")).agg(F.coalesce(F.sum(F.col("k") * (F.col("k") - 1) / 2), F.lit(0.0)).cast("long").alias("want"))

@@ -13,7 +13,8 @@ share a beginning or an end and stand under the same surnames far more often tha
 another one (with or without its vowels) between the same other words. Short lists of irregular ones are the prior.
 
 All of this is done by equi-joins on keys (deletion signatures for slips, surname and initial for initials), so no
-group of namesakes is ever compared pair by pair.
+group of namesakes is ever compared pair by pair. Tables that grow with the register are joined by shuffle whatever the
+planner takes their size for, so the driver holds only the word lists and a bounded table of short names.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from pubscope.functions.names import PARTICLES
 from pubscope.functions.text import fold_py
-from pubscope.session import cut
+from pubscope.session import cut_large, small
 
 # Short forms of given names in general use (English, German, Spanish, Italian, French, Slavic, Turkish)
 # that don't follow from their beginning or end alone.
@@ -177,6 +178,8 @@ OWN_STEMS, SLIP_SHARE = 3, 0.2
 #: A short name is learned if it stands with the full one under so many surnames, so many times as often as chance, and
 #: under this share of its own.
 SHORT_SURNAMES, SHORT_LIFT, SHORT_SHARE = 3, 5.0, 0.3
+#: Most short names, and most bytes of them, that are broadcast: few names are borne by very many.
+SHORT_ROWS, SHORT_BYTES = 100_000, 8 << 20
 
 _READ = "name_id long, field string, n long, kind string, stem string, words array<string>, heads array<int>, s string, i string, g string, mid string"
 
@@ -325,7 +328,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _signed(keys: DataFrame, key: str) -> DataFrame:
     """x, signs: the keys with their deletion signatures, cut, since they are looked at from both sides."""
-    return cut(keys.select(F.col(key).alias("x")).mapInArrow(_signatures, "x string, signs array<long>"), "signatures")
+    return cut_large(keys.select(F.col(key).alias("x")).mapInArrow(_signatures, "x string, signs array<long>"), "signatures")
 
 
 def _near(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -358,33 +361,33 @@ def _apart(near: DataFrame, placed: DataFrame) -> DataFrame:
     """
     venue = F.col("kind") == "venue"
     words = placed.select("stem", "kind", F.when(venue, F.split("s", " ")).otherwise(F.split(F.regexp_replace("stem", "^[^:]*:", ""), r"\|")).alias("words"))
-    words = cut(words.groupBy("stem").agg(F.max(F.struct(F.size("words").alias("n"), "words", "kind")).alias("w")).select("stem", "w.words", "w.kind"), "words")
+    words = cut_large(words.groupBy("stem").agg(F.max(F.struct(F.size("words").alias("n"), "words", "kind")).alias("w")).select("stem", "w.words", "w.kind"), "words")
     role = F.concat(F.substring_index("stem", ":", 1), F.when(venue, F.lit("")).otherwise(F.col("i").cast("string")))
     borne = words.select("stem", "kind", F.posexplode("words").alias("i", "word")).select(role.alias("role"), "word", "stem").groupBy("role", "word").agg(F.countDistinct("stem").alias("stems"))
-    borne = cut(borne.where(F.col("stems") >= OWN_STEMS), "borne")
+    borne = cut_large(borne.where(F.col("stems") >= OWN_STEMS), "borne")
     both = near.where("x < y").join(words.select(F.col("stem").alias("x"), F.col("words").alias("wx"), "kind"), "x").join(words.select(F.col("stem").alias("y"), F.col("words").alias("wy")), "y")
     other = F.filter(F.arrays_zip(F.sequence(F.lit(0), F.size("wx") - 1).alias("i"), F.col("wx").alias("a"), F.col("wy").alias("b")), lambda z: z["a"] != z["b"])
     one = both.where("size(wx) = size(wy)").select("x", "y", "kind", F.col("x").alias("stem"), other.alias("d")).where("size(d) = 1").select("x", "y", "kind", "stem", F.col("d")[0]["i"].alias("i"), F.col("d")[0]["a"].alias("a"), F.col("d")[0]["b"].alias("b"))
     known = one.withColumn("role", role).join(borne.select("role", F.col("word").alias("a"), F.col("stems").alias("na")), ["role", "a"]).join(borne.select("role", F.col("word").alias("b"), F.col("stems").alias("nb")), ["role", "b"])
-    known = cut(known.select("x", "y", "role", "a", "b", "na", "nb"), "known")
+    known = cut_large(known.select("x", "y", "role", "a", "b", "na", "nb"), "known")
     # slips of one common word are one slip apart too, and are as rare as each other
     sides = known.select("role", F.col("a").alias("w"), F.col("na").alias("n"), F.col("nb").alias("m")).unionByName(known.select("role", F.col("b").alias("w"), F.col("nb").alias("n"), F.col("na").alias("m")))
-    slips = sides.where(F.col("n") <= SLIP_SHARE * F.col("m")).select("role", "w").distinct()
+    slips = sides.where(F.col("n") <= SLIP_SHARE * F.col("m")).select("role", "w").distinct().hint("merge")
     two = known.join(slips.withColumnRenamed("w", "a"), ["role", "a"], "left_anti").join(slips.withColumnRenamed("w", "b"), ["role", "b"], "left_anti").select("x", "y")
-    two = cut(two.unionByName(two.select(F.col("y").alias("x"), F.col("x").alias("y"))), "apart")
-    left = cut(near.join(two, ["x", "y"], "left_anti"), "left")
+    two = cut_large(two.unionByName(two.select(F.col("y").alias("x"), F.col("x").alias("y"))), "apart")
+    left = cut_large(near.join(two, ["x", "y"], "left_anti"), "left")
     around = two.join(left.select("x", F.col("y").alias("z")), "x").join(left.select(F.col("x").alias("y"), F.col("y").alias("z")), ["y", "z"])
     return left.join(around.select(F.col("z").alias("y")).distinct(), "y", "left_anti")
 
 
 def _roots(stems: DataFrame, parents: DataFrame) -> DataFrame:
     """stem, root: the end of each stem's chain of parents. Parents rank higher, so chains end; each round halves them."""
-    at = cut(stems.join(parents, "stem", "left").select("stem", F.coalesce("parent", "stem").alias("root")), "roots")
+    at = cut_large(stems.join(parents, "stem", "left").select("stem", F.coalesce("parent", "stem").alias("root")), "roots")
     while True:
         up = at.select(F.col("stem").alias("root"), F.col("root").alias("up"))
         moved = Observation()
         nxt = at.join(up, "root").select("stem", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved"))
-        at = cut(nxt.observe(moved, F.count_if("moved").alias("n")).select("stem", "root"), "roots")
+        at = cut_large(nxt.observe(moved, F.count_if("moved").alias("n")).select("stem", "root"), "roots")
         if not moved.get["n"]:
             return at
 
@@ -407,22 +410,22 @@ def _whole_words(venues: DataFrame) -> DataFrame:
         F.xxhash64("field", "k", rest).alias("ctx"), F.coalesce(F.get(words, F.col("k") + 1), F.get(words, F.col("k") - 1), F.lit("")).alias("by"),
         F.when(F.col("k") == 0, "first").when(F.col("k") == F.size("words") - 1, "last").otherwise("inside").alias("place"),
     )
-    tok = cut(tok, "tokens")
+    tok = cut_large(tok, "tokens")
     vocab = tok.groupBy("field", "w").agg(F.count_if("dotted").alias("nd"), F.count("*").alias("n"))
     listed = venues.sparkSession.createDataFrame([(spelled(a), spelled(w)) for a, w in _pairs_of(SHORT_WORDS)], "a string, w string")
-    vocab = cut(vocab.join(F.broadcast(listed.select(F.col("a").alias("w"), F.lit(True).alias("listed")).distinct()), "w", "left"), "words")
-    short = cut(vocab.where("(nd * 2 >= n or listed) and w <> '&'").select("field", F.col("w").alias("a")), "short")
+    vocab = cut_large(vocab.join(F.broadcast(listed.select(F.col("a").alias("w"), F.lit(True).alias("listed")).distinct()), "w", "left"), "words")
+    short = cut_large(vocab.where("(nd * 2 >= n or listed) and w <> '&'").select("field", F.col("w").alias("a")), "short")
     full = vocab.where("nd * 2 < n and listed is null and length(w) > 2").select("field", "w")
     bones = F.concat(F.left("w", F.lit(1)), F.regexp_replace(F.substr("w", F.lit(2)), "[aeiou]", ""))
     starts = lambda c, least: F.transform(F.sequence(F.lit(least), F.greatest(F.length(c), F.lit(least))), lambda k: F.left(c, k))
     begun = full.select("field", "w", F.explode(F.array_distinct(F.concat(starts(F.col("w"), 1), starts(bones, 2)))).alias("a")).where("length(a) < length(w)")
     listed = full.join(F.broadcast(listed), "w").select("field", "w", "a")
-    means = cut(begun.unionByName(listed).distinct().join(short, ["field", "a"]), "means")
+    means = cut_large(begun.unionByName(listed).distinct().join(short, ["field", "a"]), "means")
     dotted = tok.join(short.withColumnRenamed("a", "w"), ["field", "w"], "left_semi")
-    open_ = cut(dotted.withColumnRenamed("w", "a").join(means, ["field", "a"]), "open")
+    open_ = cut_large(dotted.withColumnRenamed("w", "a").join(means, ["field", "a"]), "open")
     written = tok.join(means.select("field", "w").distinct(), ["field", "w"], "left_semi").select("ctx", "w").distinct()
-    hits = cut(open_.join(written, ["ctx", "w"]), "hits")
-    contexts = cut(hits.select("field", "a", "by", "place", "ctx", "w").distinct(), "contexts")
+    hits = cut_large(open_.join(written, ["ctx", "w"]), "hits")
+    contexts = cut_large(hits.select("field", "a", "by", "place", "ctx", "w").distinct(), "contexts")
     here = hits.groupBy("name_id", "k").agg(_only("w").alias("here"))
 
     def most(*keys: str) -> DataFrame:
@@ -433,7 +436,7 @@ def _whole_words(venues: DataFrame) -> DataFrame:
             known = listed.join(short, ["field", "a"]).select("field", "a", F.explode(F.array(*[F.lit(x) for x in ("first", "inside", "last")])).alias("place"), "w", F.lit(0.5).alias("n"))
             seen = seen.unionByName(there.select(*keys, "w", "n")).unionByName(known).groupBy(*keys, "w").agg(F.sum("n").alias("n"))
         top = seen.groupBy(*keys).agg(F.max(F.struct("n", "w")).alias("top"), F.sum("n").alias("all"))
-        return top.where(F.col("top.n") >= ODDS * (F.col("all") - F.col("top.n"))).select(*keys, F.col("top.w").alias("most_" + keys[-1]))
+        return top.where(F.col("top.n") >= ODDS * (F.col("all") - F.col("top.n"))).select(*keys, F.col("top.w").alias("most_" + keys[-1])).hint("merge")
 
     asked = dotted.withColumnRenamed("w", "a").select("name_id", "field", "k", "a", "by", "place")
     told = asked.join(here, ["name_id", "k"], "left").join(most("field", "a", "by"), ["field", "a", "by"], "left").join(most("field", "a", "place"), ["field", "a", "place"], "left")
@@ -449,7 +452,7 @@ def _short_names(full: DataFrame) -> DataFrame:
     pairs are formed under a surname by equal beginnings and ends, never by comparing all names of a surname.
     """
     spark = full.sparkSession
-    names = cut(full.select("s", "g").distinct(), "given")
+    names = cut_large(full.select("s", "g").distinct(), "given")
     per = names.groupBy("g").agg(F.count("*").alias("n"))
     surnames = names.select("s").distinct().count()
     length = F.length("g")
@@ -462,11 +465,11 @@ def _short_names(full: DataFrame) -> DataFrame:
     often = F.col("both") * F.lit(surnames) >= SHORT_LIFT * F.col("n1") * F.col("n2")
     learned = met.where(often & (F.col("both") >= SHORT_SHARE * F.col("n1"))).select("short", "g")
     listed = spark.createDataFrame([(spelled(a), spelled(b)) for a, b in _pairs_of(SHORT_NAMES)], "short string, g string")
-    both = cut(learned.unionByName(listed).distinct(), "short names")
+    both = cut_large(learned.unionByName(listed).distinct(), "short names")
     # of "leo: lenny", "leo: leonard" and "lenny: leonard", the first says no more than the others
     x, y, z = (both.select(F.col("short").alias(a), F.col("g").alias(b)) for a, b in (("p", "q"), ("q", "r"), ("p", "r")))
     over = x.join(y, "q").join(z, ["p", "r"]).select(F.col("p").alias("short"), F.col("q").alias("g")).distinct()
-    return cut(both.join(over, ["short", "g"], "left_anti"), "short names")
+    return cut_large(both.join(over, ["short", "g"], "left_anti"), "short names")
 
 
 def link_variants(forms: DataFrame, counts: DataFrame) -> DataFrame:
@@ -478,62 +481,62 @@ def link_variants(forms: DataFrame, counts: DataFrame) -> DataFrame:
     """
     rows = forms.select("name_id", "field", "form").where("field is not null and form is not null")
     prior = counts.groupBy("field", "form").agg(F.sum("n").alias("n"))
-    known = rows.join(prior, ["field", "form"], "left").select(F.col("name_id").cast("bigint").alias("name_id"), "field", "form", F.coalesce("n", F.lit(0)).alias("n"))
-    read = cut(known.distinct().mapInArrow(_read, _READ), "read")  # rows of a form are together after the join
+    known = rows.join(prior.hint("merge"), ["field", "form"], "left").select(F.col("name_id").cast("bigint").alias("name_id"), "field", "form", F.coalesce("n", F.lit(0)).alias("n"))
+    read = cut_large(known.distinct().mapInArrow(_read, _READ), "read")  # rows of a form are together after the join
 
     venues = read.where("kind = 'venue'").select("name_id", "field", "n", "words", "heads")
-    venues = cut(_whole_words(venues).mapInArrow(_stems, "name_id long, field string, n long, stem string, s string, alt array<string>"), "venues")
+    venues = cut_large(_whole_words(venues).mapInArrow(_stems, "name_id long, field string, n long, stem string, s string, alt array<string>"), "venues")
     persons = read.where("kind in ('full', 'bare')").select("name_id", "field", "n", "kind", "stem", "s", "i", "g", "mid")
-    placed = cut(persons.unionByName(venues.select("name_id", "field", "n", F.lit("venue").alias("kind"), "stem", "s", *[F.lit("").alias(c) for c in ("i", "g", "mid")])), "placed")
+    placed = cut_large(persons.unionByName(venues.select("name_id", "field", "n", F.lit("venue").alias("kind"), "stem", "s", *[F.lit("").alias(c) for c in ("i", "g", "mid")])), "placed")
 
     # slips: every stem and its likelier neighbours
-    stems = cut(placed.groupBy("stem").agg(F.sum("n").alias("n"), F.count("*").alias("forms")), "stems")
+    stems = cut_large(placed.groupBy("stem").agg(F.sum("n").alias("n"), F.count("*").alias("forms")), "stems")
     signed = _signed(stems, "stem")
-    near = cut(_apart(cut(_near(signed, signed), "slips"), placed), "near")
+    near = cut_large(_apart(cut_large(_near(signed, signed), "slips"), placed), "near")
     # the prior of a candidate is what it would explain: its own occurrences and those of its neighbours
     weight = F.col("n") + F.col("forms")
     explained = near.join(stems.select(F.col("stem").alias("y"), weight.alias("w")), "y").groupBy(F.col("x").alias("stem")).agg(F.sum(F.col("like") * F.col("w")).alias("around"))
-    mass = cut(explained.join(stems, "stem").select("stem", (F.col("around") + weight).alias("n"), weight.alias("own")), "mass")
+    mass = cut_large(explained.join(stems, "stem").select("stem", (F.col("around") + weight).alias("n"), weight.alias("own")), "mass")
     rank = lambda: F.struct("n", "own", "stem")
     ranked = near.join(mass.select(F.col("stem").alias("x"), rank().alias("rx")), "x").join(mass.select(F.col("stem").alias("y"), rank().alias("ry")), "y").where("ry > rx")
     # the posterior: prior times likelihood of the slip
     post = F.struct((F.col("ry.n") * F.col("like")).alias("p"), F.col("ry.own").alias("own"), F.col("ry.stem").alias("stem"))
-    best = cut(ranked.select(F.col("x").alias("stem"), post.alias("c")).groupBy("stem").agg(F.max("c").alias("best"), F.collect_set("c").alias("all")), "slips")
+    best = cut_large(ranked.select(F.col("x").alias("stem"), post.alias("c")).groupBy("stem").agg(F.max("c").alias("best"), F.collect_set("c").alias("all")), "slips")
     roots = _roots(stems.select("stem"), best.select("stem", F.col("best.stem").alias("parent")))
     # a stem whose candidates belong to different entities, none of them clearly likelier, belongs to neither
     rivals = best.select("stem", "best", F.explode("all").alias("c")).where(F.col("c.p") * ODDS >= F.col("best.p"))
-    torn = rivals.join(roots.select(F.col("stem").alias("cs"), F.col("root").alias("cr")), F.col("c.stem") == F.col("cs")).groupBy("stem").agg(F.min("cr").alias("a"), F.max("cr").alias("b")).where("a <> b").select("stem")
+    torn = rivals.join(roots.select(F.col("stem").alias("cs"), F.col("root").alias("cr")), F.col("c.stem") == F.col("cs")).groupBy("stem").agg(F.min("cr").alias("a"), F.max("cr").alias("b")).where("a <> b").select("stem").hint("merge")
 
     # other readings of a stem, where the register has them: the full name of a short one, the title before a subtitle
     full = persons.where("kind = 'full'")
-    fuller = full.select("field", "stem", "s", F.col("g").alias("short")).distinct().join(_short_names(full), "short")
+    fuller = full.select("field", "stem", "s", F.col("g").alias("short")).distinct().join(small(_short_names(full), SHORT_ROWS, SHORT_BYTES), "short")
     fuller = fuller.select("stem", F.concat("field", F.lit(":"), "s", F.lit("|"), "g").alias("alt"))
     heads = venues.select("stem", F.explode("alt").alias("alt")).distinct()
-    readings = cut(fuller.unionByName(heads).where("stem <> alt"), "readings")
-    exact = cut(readings.join(roots.select(F.col("stem").alias("alt"), "root"), "alt").select("stem", "root"), "exact")
+    readings = cut_large(fuller.unionByName(heads).where("stem <> alt"), "readings")
+    exact = cut_large(readings.join(roots.select(F.col("stem").alias("alt"), "root"), "alt").select("stem", "root"), "exact")
     # with a slip, only where none is there as written
-    lost = cut(readings.join(exact.select("stem").distinct(), "stem", "left_anti"), "lost")
+    lost = cut_large(readings.join(exact.select("stem").distinct(), "stem", "left_anti"), "lost")
     slipped = _near(_signed(lost.select("alt").distinct(), "alt"), signed)
     meant = lost.join(slipped.select(F.col("x").alias("alt"), "y"), "alt").join(roots.select(F.col("stem").alias("y"), "root"), "y").select("stem", "root")
-    read_as = cut(exact.unionByName(meant).where("stem <> root").groupBy("stem").agg(_only("root").alias("as"), F.lit(True).alias("asked")), "read as")
+    read_as = cut_large(exact.unionByName(meant).where("stem <> root").groupBy("stem").agg(_only("root").alias("as"), F.lit(True).alias("asked")), "read as")
     # a stem goes where its own reading leads, else where that of its root does; one of several readings goes nowhere
     of_root = read_as.select(F.col("stem").alias("root"), F.col("as").alias("as_root"), F.col("asked").alias("asked_root"))
     to = roots.join(read_as, "stem", "left").join(of_root, "root", "left")
     to = to.select("stem", F.when(F.col("asked"), F.col("as")).when(F.col("asked_root"), F.col("as_root")).otherwise(F.col("root")).alias("root"))
     to = to.join(of_root, "root", "left").select("stem", F.coalesce("as_root", "root").alias("root"))
-    rooted = cut(placed.join(to.where("root is not null"), "stem").join(torn, "stem", "left_anti"), "rooted")
+    rooted = cut_large(placed.join(to.where("root is not null"), "stem").join(torn, "stem", "left_anti"), "rooted")
 
     # middle initials: one per entity; with several, a form without one fits them all
     middles = rooted.where("mid <> ''").groupBy("root").agg(F.min("mid").alias("m1"), F.max("mid").alias("m2"))
     split = F.col("m1") != F.col("m2")
     entity = F.when(F.coalesce(~split, F.lit(True)), F.col("root")).when(F.col("mid") != "", F.concat("root", F.lit("|"), "mid"))
-    whole = cut(rooted.join(middles, "root", "left").select("name_id", "field", "kind", "s", "i", "mid", "root", "m1", entity.alias("entity"), split.alias("split")), "whole")
+    whole = cut_large(rooted.join(middles, "root", "left").select("name_id", "field", "kind", "s", "i", "mid", "root", "m1", entity.alias("entity"), split.alias("split")), "whole")
 
     # initials: the entities under a surname and initial, by middle initial
     own_mid = F.when(F.coalesce("split", F.lit(False)), F.col("mid")).otherwise(F.coalesce("m1", F.lit("")))
     root_s = F.regexp_extract("root", r"^[^:]*:([^|]*)\|", 1)
     persons = whole.where("kind = 'full' and entity is not null").withColumn("own", own_mid)
-    under = cut(persons.select("entity", "own", "i", F.explode(F.array_distinct(F.array("s", root_s))).alias("s")).select("s", "i", "own", "entity").distinct(), "under")
+    under = cut_large(persons.select("entity", "own", "i", F.explode(F.array_distinct(F.array("s", root_s))).alias("s")).select("s", "i", "own", "entity").distinct(), "under")
     init = read.where("kind = 'init'").select("name_id", "field", "s", "i", "mid")
     heads = init.select("s", "i").distinct()
     # surnames with a slip: only where the surname as written has nobody under this initial
@@ -548,8 +551,8 @@ def link_variants(forms: DataFrame, counts: DataFrame) -> DataFrame:
     none_mid = by_mid.where("mid = ''").select("k", F.col("one").alias("plain"), F.lit(True).alias("has_plain"))
     fit = at.join(by_mid, ["k", "mid"], "left").join(none_mid, "k", "left")
     named = F.when(F.col("some"), F.col("one")).when(F.col("has_plain"), F.col("plain")).otherwise(F.concat(F.lit("author:"), F.col("k"), F.lit(".|"), F.col("mid")))
-    with_mid = cut(fit.where("mid <> ''").select("name_id", "field", "k", named.alias("entity")), "initials")
-    all_k = under.select(key.alias("k"), "entity").unionByName(with_mid.where("entity is not null").select("k", "entity")).groupBy("k").agg(_only("entity").alias("one"), F.lit(True).alias("some"))
+    with_mid = cut_large(fit.where("mid <> ''").select("name_id", "field", "k", named.alias("entity")), "initials")
+    all_k = under.select(key.alias("k"), "entity").unionByName(with_mid.where("entity is not null").select("k", "entity")).groupBy("k").agg(_only("entity").alias("one"), F.lit(True).alias("some")).hint("merge")
     without = at.where("mid = ''").join(all_k, "k", "left").select("name_id", "field", F.when(F.col("some"), F.col("one")).otherwise(F.concat(F.lit("author:"), F.col("k"), F.lit("."))).alias("entity"))
     return whole.select("name_id", "field", "entity").unionByName(with_mid.select("name_id", "field", "entity")).unionByName(without).where("entity is not null")
 
@@ -561,9 +564,9 @@ def variant_pairs(links: DataFrame) -> DataFrame:
     its first members: its rows are salted by id on the one side and repeated per salt on the other.
     """
     salts = 16
-    member = cut(links.select(F.xxhash64("field", "entity").alias("e"), F.xxhash64("entity", "field").alias("f"), "name_id").distinct(), "members")
+    member = cut_large(links.select(F.xxhash64("field", "entity").alias("e"), F.xxhash64("entity", "field").alias("f"), "name_id").distinct(), "members")
     sizes = member.groupBy("e", "f").agg(F.count("*").alias("n")).where("n > 1").select("e", "f", F.when(F.col("n") > 1000, F.lit(salts)).otherwise(F.lit(1)).alias("salts"))
     sized = member.join(sizes, ["e", "f"])
     a = sized.select("e", "f", F.col("name_id").alias("name_id_a"), F.pmod(F.xxhash64("name_id"), F.col("salts")).cast("int").alias("salt"))
     b = sized.select("e", "f", F.col("name_id").alias("name_id_b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    return a.join(b, ["e", "f", "salt"]).where("name_id_a < name_id_b").select("name_id_a", "name_id_b")
+    return a.join(b.hint("merge"), ["e", "f", "salt"]).where("name_id_a < name_id_b").select("name_id_a", "name_id_b")

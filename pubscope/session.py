@@ -97,6 +97,15 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_large(df: DataFrame, label: str = "cut") -> DataFrame:
+    """``cut`` of a table that grows with the input: joins shuffle it, unless it is counted first (``small``).
+
+    The planner takes a table for as large as its files, which are compressed, so what it broadcasts unasked may be many
+    times its threshold, all of it in the driver's memory.
+    """
+    return cut(df, label).hint("merge")
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``limit`` rows and ``most`` bytes, else unchanged (Spark then shuffles).
 

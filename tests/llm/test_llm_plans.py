@@ -20,6 +20,24 @@ def test_no_product_of_two_tables(spark, data, monkeypatch, name):
     assert all("CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p and "BatchEvalPython" not in p for p in plans)
 
 
+@pytest.mark.parametrize("name", ["p6_found", "p6_checked"])
+def test_no_growing_table_is_broadcast_unasked(spark, data, monkeypatch, name):
+    from pyspark.sql import DataFrameWriter
+    from pyspark.sql import functions as F
+
+    plans, write = [], DataFrameWriter.parquet
+
+    def parquet(self, path, *args, **kwargs):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    monkeypatch.setattr(F, "broadcast", lambda df: df)  # what is left is the planner's own choice
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    plans.append(QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 20 and not [p for p in plans if "BroadcastExchange" in p]
+
+
 def test_equal_long_texts_come_as_often_as_they_are_there(spark):
     from pubscope.llm.encode import decode_corpus, encode_corpus
 
